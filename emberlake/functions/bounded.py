@@ -1,0 +1,14 @@
+"""Reading small sides whose size is checked first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+
+
+def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
+    """All rows when there are at most ``max_rows`` of them, otherwise ``None``.
+
+    At most ``max_rows + 1`` rows ever reach the driver.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
