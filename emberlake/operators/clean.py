@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlake.functions import parsing as P
-from emberlake.operators.profile import per_column, value_counts
+from emberlake.operators.profile import value_counts
 from emberlake.operators.project import string_columns
 from emberlake.spec import CollectionSpec
 
@@ -66,28 +66,36 @@ class ColumnEvidence:
 
 
 def evidence_report(df: DataFrame) -> DataFrame:
-    """The shares behind every decision, one row per text column, from one pass over all rows."""
-    names = string_columns(df)
-
-    def meant(c: str) -> Column:
-        text = F.trim(c)
-        return text.isNotNull() & ~text.isin(P.MISSING_WORDS)
-
-    def share(c: str, hit: Column) -> Column:
-        return F.coalesce(F.try_divide(F.count_if(meant(c) & hit).cast("double"), F.count_if(meant(c))), F.lit(0.0))
+    """The shares behind every decision, one row per text column, from one pass over all rows.
 
-    return per_column(df, names, {
-        "filled": lambda c: F.count_if(meant(c)),
-        "numeric": lambda c: share(c, P.numeric_like(F.col(c))),
-        "unit": lambda c: share(c, P.numeric_like(F.col(c)) & F.col(c).rlike(UNIT_WORDS)),
-        "date": lambda c: share(c, F.trim(c).rlike(DATE_LIKE)),
-        "date_parsed": lambda c: share(c, P.parsed_timestamp(F.col(c)).isNotNull()),
-        "epoch": lambda c: share(c, F.trim(c).rlike(r"^\d{9,10}(\.\d+)?$")),
+    The columns are laid out as ``column, value`` rows, so each test is written once however many
+    columns there are; a task sends one partial row per column.
+    """
+    names = string_columns(df)
+    value = F.col("value")
+    text = F.trim(value)
+    flags = {
+        "is_numeric": P.numeric_like(value), "has_unit": value.rlike(UNIT_WORDS), "is_date": text.rlike(DATE_LIKE),
+        "is_epoch": text.rlike(r"^\d{9,10}(\.\d+)?$"), "is_truth": value.isin(list(P.TRUTH_WORDS)),
+        "has_digits": F.regexp_replace(value, r"[^0-9.]", "").try_cast("double") > 0,
+    }
+    rows = df.select(*names).unpivot([], names, "column", "value").select(
+        "column", "value", (value.isNotNull() & ~text.isin(P.MISSING_WORDS)).alias("meant"), *[c.alias(n) for n, c in flags.items()]
+    ).withColumn("is_moment", F.when(F.col("is_date"), P.parsed_timestamp(value)).isNotNull())
+
+    def share(*conditions: str) -> Column:
+        hit = F.col("meant")
+        for c in conditions:
+            hit = hit & F.col(c)
+        return F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count_if("meant")), F.lit(0.0))
+
+    return rows.groupBy("column").agg(
+        F.count_if("meant").alias("filled"), share("is_numeric").alias("numeric"), share("is_numeric", "has_unit").alias("unit"),
+        share("is_date").alias("date"), share("is_moment").alias("date_parsed"), share("is_epoch").alias("epoch"),
         # Only the ten known words can enter this set.
-        "truth_words": lambda c: F.size(F.collect_set(F.when(F.col(c).isin(list(P.TRUTH_WORDS)), F.col(c)))),
-        "other_words": lambda c: F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(P.TRUTH_WORDS))),
-        "digits": lambda c: share(c, F.regexp_replace(c, r"[^0-9.]", "").try_cast("double") > 0),
-    })
+        F.size(F.collect_set(F.when(F.col("is_truth"), value))).alias("truth_words"),
+        F.count_if(value.isNotNull() & ~F.col("is_truth")).alias("other_words"), share("has_digits").alias("digits"),
+    )
 
 
 def numeric_threshold(unit_share: float) -> float:

@@ -8,10 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlake.functions.geometry import decode, to_geojson, to_wkt
 
-GEOMETRY = "wkt string, geojson string, min_x double, min_y double, max_x double, max_y double"
+GEOMETRY = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("wkt", "geojson")]
+    + [T.StructField(n, T.DoubleType()) for n in ("min_x", "min_y", "max_x", "max_y")]
+)
 # The box that holds the United Kingdom, in degrees.
 UK_WEST, UK_EAST, UK_SOUTH, UK_NORTH = -10.0, 10.0, 49.0, 61.0
 

@@ -288,7 +288,7 @@ def collection_info(df: DataFrame, name: str) -> DataFrame:
 
 def readable_size(size: Column) -> Column:
     """Bytes as text with a unit up to TB."""
-    power = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)))), F.lit(4)).cast("int")
+    power = sum(((size >= 1024**i).cast("int") for i in range(2, 5)), (size >= 1024).cast("int"))
     units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")])
     text = F.concat(F.format_string("%.2f", size / F.pow(F.lit(1024.0), power)), F.lit(" "), F.element_at(units, power + 1))
     return F.when(size == 0, F.lit("0B")).otherwise(text)

@@ -36,7 +36,11 @@ def coerce_declared(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def cast_columns(df: DataFrame, to_double: Sequence[str] = (), to_long: Sequence[str] = ()) -> DataFrame:
     changes = {c: F.col(c).try_cast("double") for c in to_double if c in df.columns}
-    changes |= {c: F.col(c).try_cast("bigint") for c in to_long if c in df.columns}
+    # A text such as "25.2" counts as 25, like any number cast to a long.
+    changes |= {
+        c: F.coalesce(F.col(c).try_cast("bigint"), F.col(c).try_cast("decimal(38,10)").try_cast("bigint"))
+        for c in to_long if c in df.columns
+    }
     return df.withColumns(changes) if changes else df
 
 
