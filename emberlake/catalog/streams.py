@@ -1 +1,144 @@
-"""Registered queries."""
+"""INC and STR queries: each runs a stream over a whole table to its end and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberlake.catalog.base import query, rounded
+from emberlake.operators import incremental as I
+from emberlake.operators.project import composite_id, labelled_text
+from emberlake.operators.vector import embed_text
+from emberlake.plans.stand_ins import QUERY_LOG_SQL, query_log_of
+from emberlake.session import fresh_path
+from emberlake.sources.readers import table
+from emberlake.streaming import jobs as J
+
+LOG = f"{QUERY_LOG_SQL} q"
+
+
+def _log_stream(spark, sf):
+    return query_log_of(J.table_stream(spark, sf, "events", table(spark, sf, "events").schema))
+
+
+def _windows(df):
+    # Means of few four-digit numbers: nine digits leave no ties to round.
+    return rounded(df.withColumn("avg_duration", F.round("avg_duration", 9)), 4, keep="avg_")
+
+
+def _stats(group: str) -> str:
+    return f"""count(*) AS count, round(avg(duration), 9) AS avg_duration, round(min(duration), 4) AS min_duration, round(max(duration), 4) AS max_duration,
+  round(count(*) FILTER (success) * 100.0 / count(*), 4) AS success_rate FROM {group}"""
+
+
+_TUMBLING = f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+  {_stats(LOG)} GROUP BY 1, 2"""
+
+
+@query("str02_windows_on_stream", _TUMBLING)
+def _(spark, sf):
+    path = fresh_path(spark, "windows")
+    J.replace_with(J.windowed_performance(_log_stream(spark, sf)), f"{path}/result", f"{path}/checkpoint")
+    return _windows(J.newest_result(spark, f"{path}/result"))
+
+
+@query("str02_windows_on_table", _TUMBLING)
+def _(spark, sf):
+    return _windows(J.windowed_performance(query_log_of(table(spark, sf, "events"))))
+
+
+@query("str02_sliding_windows", f"""
+WITH w AS (SELECT *, unnest(generate_series(0, 11)) AS k FROM {LOG}),
+x AS (SELECT *, to_timestamp(floor(epoch(ts) / 300) * 300 - k * 300) AT TIME ZONE 'UTC' AS start FROM w)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(start + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, {_stats("x")} GROUP BY 1, 2""")
+def _(spark, sf):
+    return _windows(J.windowed_performance(query_log_of(table(spark, sf, "events")), "1 hour", "5 minutes"))
+
+
+@query("str01_event_ingest", f"SELECT event_id, log_level, component FROM {LOG}")
+def _(spark, sf):
+    path = fresh_path(spark, "ingest")
+    J.append_to(_log_stream(spark, sf).select("event_id", "log_level", "component"), f"{path}/log", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/log")
+
+
+@query("str03_alerts", f"SELECT event_id, CASE WHEN duration > 5 THEN 'CRITICAL' ELSE 'WARNING' END AS level FROM {LOG} WHERE duration > 2")
+def _(spark, sf):
+    path = fresh_path(spark, "alerts")
+    J.append_to(J.alerts(_log_stream(spark, sf)).select("event_id", "level"), f"{path}/alerts", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/alerts")
+
+
+@query("str04_counters", f"SELECT event_type, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM {LOG} GROUP BY 1")
+def _(spark, sf):
+    path = fresh_path(spark, "counters")
+    J.replace_with(J.counters(_log_stream(spark, sf), ["event_type"]), f"{path}/result", f"{path}/checkpoint")
+    return J.newest_result(spark, f"{path}/result")
+
+
+@query("str06_usage", f"""
+SELECT collection_name, intent AS answer_intent, count(*) + 1 AS usage_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM {LOG} GROUP BY 1, 2""")
+def _(spark, sf):
+    path = fresh_path(spark, "usage")
+    learning = _log_stream(spark, sf).select("collection_name", F.col("intent").alias("detected_intent"), F.col("ts").alias("created_at"))
+    J.replace_with(J.usage_stream(learning), f"{path}/result", f"{path}/checkpoint")
+    uses = J.newest_result(spark, f"{path}/result")
+    patterns = uses.select("collection_name", "answer_intent", F.lit(1).cast("long").alias("usage_count"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return rounded(J.apply_usage(patterns, uses))
+
+
+@query("inc01_resumable_load", "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders")
+def _(spark, sf):
+    path = fresh_path(spark, "index")
+    for _ in range(2):  # the second run finds a finished collection and does nothing
+        source = J.table_stream(spark, sf, "orders", table(spark, sf, "orders").schema)
+        target = J.build_index(spark, source, f"{path}/orders", f"{path}/progress", "orders", id_column="o_orderkey")
+    return rounded(J.read_index(spark, target, "o_orderkey").select("o_orderkey", "o_totalprice"), 2)
+
+
+@query("inc02_progress", "SELECT 'orders' AS collection, -1 AS last, count(*) AS rows FROM orders")
+def _(spark, sf):
+    path = fresh_path(spark, "index")
+    schema = table(spark, sf, "orders").schema
+    target = J.build_index(spark, J.table_stream(spark, sf, "orders", schema), f"{path}/orders", f"{path}/progress", "orders", id_column="o_orderkey")
+    J.reset_progress(spark, f"{path}/progress", "orders")
+    target = J.build_index(spark, J.table_stream(spark, sf, "orders", schema), target, f"{path}/progress", "orders", id_column="o_orderkey", force=True)
+    rows = J.read_index(spark, target, "o_orderkey").agg(F.count(F.lit(1))).scalar()
+    return J.progress(spark, f"{path}/progress").select("collection", F.col("offset").alias("last"), rows.alias("rows"))
+
+
+@query("inc03_used_ids", """
+SELECT CAST(d.doc_id AS STRING) || '-' || d.lang AS row_key FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)""")
+def _(spark, sf):
+    docs = I.with_id(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id", "lang"])
+    first = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    path = fresh_path(spark, "tracker")
+    I.tracker_rows(first, "documents", "raw").write.parquet(path)
+    return I.new_rows(docs, spark.read.parquet(path), "documents", "raw").select("row_key")
+
+
+@query("inc04_training_pairs", """
+SELECT q.text AS text1, a.text AS text2, 1.0::DOUBLE AS label FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+WHERE q.role = 'user' AND a.role = 'assistant' UNION ALL SELECT CAST(doc_id AS STRING), lang, 1.0 FROM documents""")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    told = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = I.training_pairs(asked.join(told, ["conv_id", "turn"]))
+    return pairs.unionByName(I.training_pairs(table(spark, sf, "documents").select("doc_id", "lang", "source")))
+
+
+@query("inc05_chunked_build")
+def _(spark, sf):
+    """Read, join, describe, encode and store, batch by batch; ids are key hashes, unique across batches."""
+    path = fresh_path(spark, "build")
+    parts = table(spark, sf, "part")
+
+    def prepare(batch):
+        joined = batch.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        named = joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("p_type").alias("premise_type"), F.col("p_size").alias("bedroom_count"), F.col("p_name").alias("street_name"))
+        described = labelled_text(named).withColumn("id", F.sha2(composite_id(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), 256))
+        return embed_text(described.select("id", "text"), "text", 32, "vector")
+
+    source = J.table_stream(spark, sf, "lineitem", table(spark, sf, "lineitem").schema)
+    target = J.build_index(spark, source, f"{path}/points", f"{path}/progress", "lines", id_column="id", prepare=prepare)
+    return J.read_index(spark, target, "id").select("id", "text")

@@ -26,6 +26,11 @@ OBJECT_ID = r"^[0-9a-fA-F]{24}$"
 PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def strip(column: Column | str) -> Column:
+    """Text without white space at its ends; ``trim`` alone removes only spaces."""
+    return F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.]", "").try_cast("double")
 
@@ -41,7 +46,7 @@ def smart_number(column: Column) -> Column:
     A plain signed or scientific number is read as it stands; only other text goes through the
     range, unit and digits-only rules.
     """
-    text = F.trim(column)
+    text = strip(column)
     parts = F.when(text.contains("-"), F.split(text, "-")).otherwise(F.split(text, " to "))
     low, high = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     is_range = F.size(parts) == 2
@@ -49,7 +54,7 @@ def smart_number(column: Column) -> Column:
     return (
         F.when(text.isin(MISSING_WORDS), F.lit(None).cast("double"))
         .when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
-        .when(text.contains("%"), F.trim(F.replace(text, F.lit("%"), F.lit(""))).try_cast("double") / 100)
+        .when(text.contains("%"), strip(F.replace(text, F.lit("%"), F.lit(""))).try_cast("double") / 100)
         .when(is_range & middle.isNotNull(), middle)
         .when(text.rlike(UNIT_NUMBER), F.regexp_extract(text, UNIT_NUMBER, 1).try_cast("double"))
         .otherwise(_digits(text))
@@ -58,7 +63,7 @@ def smart_number(column: Column) -> Column:
 
 def capacity_number(column: Column) -> Column:
     """``smart_number`` for capacity columns: text after an ellipsis is cut, ``1.2.3`` reads as 1.2."""
-    text = F.trim(column)
+    text = strip(column)
     head = F.element_at(F.split(text, r"\.\.\."), 1)
     cut = F.when(text.contains("...") & head.rlike(r"\d"), F.regexp_replace(head, r"[^0-9.]", "")).otherwise(text)
     only = F.regexp_replace(cut, r"[^0-9.]", "")
@@ -68,7 +73,7 @@ def capacity_number(column: Column) -> Column:
 
 def numeric_like(column: Column) -> Column:
     """True when the text is a number, with or without one of the known units."""
-    text = F.trim(column)
+    text = strip(column)
     return text.rlike(PLAIN_NUMBER) | text.rlike(UNIT_NUMBER)
 
 
@@ -77,13 +82,13 @@ def parsed_timestamp(column: Column) -> Column:
 
     The shape is tested first: a failed parse raises and catches an exception, which is slow.
     """
-    text = F.trim(column)
+    text = strip(column)
     tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS.items()]
     return F.coalesce(*tries)
 
 
 def epoch_timestamp(column: Column) -> Column:
-    return F.timestamp_seconds(F.trim(column).try_cast("double"))
+    return F.timestamp_seconds(strip(column).try_cast("double"))
 
 
 def truth_value(column: Column) -> Column:
@@ -93,7 +98,7 @@ def truth_value(column: Column) -> Column:
 
 def value_kind(column: Column) -> Column:
     """The kind of value a text looks like."""
-    text = F.trim(column)
+    text = strip(column)
     return (
         F.when(text.rlike(r"^[+-]?\d+$"), "integer")
         .when(text.rlike(PLAIN_NUMBER), "number")
@@ -105,5 +110,5 @@ def value_kind(column: Column) -> Column:
 
 
 def json_like(column: Column) -> Column:
-    text = F.trim(column)
+    text = strip(column)
     return text.rlike(r"^\{[\s\S]*\}$") | text.rlike(r"^\[[\s\S]*\]$")

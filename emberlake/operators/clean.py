@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlake.functions import parsing as P
+from emberlake.functions.parsing import strip
 from emberlake.operators.profile import value_counts
 from emberlake.operators.project import string_columns
 from emberlake.spec import CollectionSpec
@@ -73,7 +74,7 @@ def evidence_report(df: DataFrame) -> DataFrame:
     """
     names = string_columns(df)
     value = F.col("value")
-    text = F.trim(value)
+    text = strip(value)
     flags = {
         "is_numeric": P.numeric_like(value), "has_unit": value.rlike(UNIT_WORDS), "is_date": text.rlike(DATE_LIKE),
         "is_epoch": text.rlike(r"^\d{9,10}(\.\d+)?$"), "is_truth": value.isin(list(P.TRUTH_WORDS)),
@@ -154,7 +155,7 @@ def converted(column: str, action: Action) -> Column:
     value = F.col(column)
     return {
         "number": P.smart_number,
-        "plain_number": lambda v: P.plain_number(F.trim(v)),
+        "plain_number": lambda v: P.plain_number(strip(v)),
         "capacity": P.capacity_number,
         "timestamp": P.parsed_timestamp,
         "epoch": P.epoch_timestamp,
@@ -183,9 +184,9 @@ def category_report(df: DataFrame) -> DataFrame:
     names = string_columns(df)
     value = F.col("value")
     looks = (
-        (F.length(F.trim(value)) < 50)
-        & ~F.regexp_replace(F.trim(value), "[.-]", "").rlike(r"^\d+$")
-        & ~F.trim(value).isin("", "N/A", "NA", "None")
+        (F.length(strip(value)) < 50)
+        & ~F.regexp_replace(strip(value), "[.-]", "").rlike(r"^\d+$")
+        & ~strip(value).isin("", "N/A", "NA", "None")
     )
     counted = value_counts(df, names).groupBy("column").agg(
         F.sum("count").alias("rows"), F.count("value").alias("distinct"),

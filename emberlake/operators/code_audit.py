@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.functions.parsing import strip
+
 # Risky constructs by name, as regular expressions over lower-case code.
 RISKY = {
     "exec": r"\bexec\s*\(", "eval": r"\beval\s*\(", "compile": r"\bcompile\s*\(", "__import__": r"\b__import__\s*\(",
@@ -29,8 +31,8 @@ FRAME_REFERENCE = r"\b(df\d+)\b"
 
 def without_fences(code: Column) -> Column:
     """The code without a leading and trailing triple-backtick fence."""
-    opened = F.regexp_replace(F.trim(code), r"(?i)^```(?:python)?\s*", "")
-    return F.trim(F.regexp_replace(F.trim(opened), r"```$", ""))
+    opened = F.regexp_replace(strip(code), r"(?i)^```(?:python)?\s*", "")
+    return strip(F.regexp_replace(strip(opened), r"```$", ""))
 
 
 def bare_code(code: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake import spec as S
+from emberlake.functions.parsing import strip
 from emberlake.spec import CollectionSpec
 
 WORD = r"([\p{L}\p{N}_]+)"
@@ -143,7 +144,7 @@ def query_features(question: Column) -> Column:
 
 
 def too_short(question: Column, least: int = 8) -> Column:
-    return F.length(F.trim(question)) < least
+    return F.length(strip(question)) < least
 
 
 def mentions_column(question: Column, columns: Sequence[str]) -> Column:

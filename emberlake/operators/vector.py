@@ -130,7 +130,7 @@ def _ranked_blocks(
     right = (
         queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("w"))
         .withColumn("c", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        .withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     )
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -223,11 +223,11 @@ def text_search(
     terms = sorted({w for w in _words(query) if w not in stop_words})
     if not terms:
         return df.limit(0).select(id_column, F.lit(0.0).alias("score"))
-    counts = [
-        F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"__f{i}") for i, t in enumerate(terms)
-    ]
+    def count_of(term: str) -> Column:
+        return F.size(F.filter("__t", lambda x: x == term))
+
     rows = df.select(id_column, tokens(F.col(text_column)).alias("__t")).select(
-        id_column, *counts
+        id_column, *[count_of(t).alias(f"__f{i}") for i, t in enumerate(terms)]
     )
     seen = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     weights = [math.log(1 + seen["n"] / seen[f"d{i}"]) if seen[f"d{i}"] else 0.0 for i in range(len(terms))]

@@ -8,13 +8,12 @@ before the join and a key that holds a third of all documents costs no more than
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators.combine import newest_per_key
 from emberlake.operators.questions import analyse, relevance
+from emberlake.session import stage
 from emberlake.spec import CollectionSpec
 
 WORD = r"([\p{L}\p{N}_]+)"
@@ -22,35 +21,36 @@ WORD = r"([\p{L}\p{N}_]+)"
 
 def document_keys(documents: DataFrame, key: str, spec: CollectionSpec) -> DataFrame:
     """``kind, term, doc`` rows: what each document can be found by."""
-    parts = [
-        F.transform(F.col(f).cast("array<string>"), lambda v, f=f: F.struct(F.lit(f).alias("kind"), v.alias("term")))
-        for f in spec.exact_match_fields if f in documents.columns
-    ]
+    def entries_of(kind: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    parts = [entries_of(f, F.col(f).cast("array<string>")) for f in spec.exact_match_fields if f in documents.columns]
     if "POSTCODE" in documents.columns:
         prefixes = F.flatten(F.transform("POSTCODE", lambda p: F.transform(
             F.when(F.length(p) >= 2, F.sequence(F.lit(2), F.length(p))).otherwise(F.array().cast("array<int>")),
             lambda n: F.substring(F.upper(p), F.lit(1), n),
         )))
-        parts.append(F.transform(prefixes, lambda t: F.struct(F.lit("POSTCODE").alias("kind"), t.alias("term"))))
+        parts.append(entries_of("POSTCODE", prefixes))
     if "ADDRESS" in documents.columns:
         words = F.flatten(F.transform("ADDRESS", lambda a: F.regexp_extract_all(F.upper(a), F.lit(WORD), 1)))
-        parts.append(F.transform(words, lambda t: F.struct(F.lit("ADDRESS").alias("kind"), t.alias("term"))))
+        parts.append(entries_of("ADDRESS", words))
     entries = F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<struct<kind:string,term:string>>")) for p in parts]))
     return documents.select(F.col(key).alias("doc"), F.explode(entries).alias("e")).select("e.kind", "e.term", "doc")
 
 
 def _grams(text: Column) -> Column:
     """All distinct pieces of one to three letters of a word."""
-    pieces = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))
-        for n in (1, 2, 3)
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
+    return F.array_distinct(F.concat(*[of_size(n) for n in (1, 2, 3)]))
 
-def question_terms(analysed: DataFrame, question_id: str) -> DataFrame:
-    """``question, criterion, kind, term``: the criteria of each question, all of which must hold.
 
+def question_terms(analysed: DataFrame, question_id: str) -> tuple[DataFrame, DataFrame]:
+    """``question_id, search`` per question, and ``search, criteria, criterion, kind, term`` per search.
+
+    A search is a set of criteria that must all hold; questions with the same criteria share one.
     Postcodes are one criterion with several terms. Without any criterion the first number of the
     question is looked up as a property reference.
     """
@@ -66,9 +66,14 @@ def question_terms(analysed: DataFrame, question_id: str) -> DataFrame:
         F.array_compact(F.array(F.when(F.col("street").isNotNull(), term(F.lit("ADDRESS"), F.lit("ADDRESS"), F.col("street"))))),
         F.array_compact(F.array(F.when(none & F.col("number").isNotNull(), term(F.lit("UPRN"), F.lit("UPRN"), F.col("number"))))),
     )
-    return analysed.select(F.col(question_id).alias("question_id"), terms.alias("terms")).select(
-        "question_id", F.size(F.array_distinct(F.transform("terms", lambda t: t["criterion"]))).alias("criteria"), F.explode("terms").alias("t")
-    ).select("question_id", "criteria", "t.*")
+    asked = stage(analysed.select(F.col(question_id).alias("question_id"), F.array_sort(terms).alias("terms")).withColumn(
+        "search", F.sha2(F.to_json("terms"), 256)
+    ), "searches")
+    searches = asked.where(F.size("terms") > 0).groupBy("search").agg(F.any_value("terms").alias("terms"))
+    criteria = F.size(F.array_distinct(F.transform("terms", lambda t: t["criterion"])))
+    return asked.select("question_id", "search", (F.size("terms") == 0).alias("is_open")), searches.select(
+        "search", criteria.alias("criteria"), F.explode("terms").alias("t")
+    ).select("search", "criteria", "t.*")
 
 
 def _with_address_words(terms: DataFrame, keys: DataFrame) -> DataFrame:
@@ -85,45 +90,57 @@ def _with_address_words(terms: DataFrame, keys: DataFrame) -> DataFrame:
         .join(by_piece, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word").distinct()
     )
     address = terms.where("kind = 'ADDRESS'").join(pairs, "term").select(
-        "question_id", "criteria", "criterion", "kind", F.col("word").alias("term")
+        "search", "criteria", "criterion", "kind", F.col("word").alias("term")
     )
     return terms.where("kind <> 'ADDRESS'").unionByName(address)
 
 
-def find_documents(analysed: DataFrame, documents: DataFrame, spec: CollectionSpec, question_id: str, key: str, limit: int = 20) -> DataFrame:
-    """``question_id, doc``: up to ``limit`` documents per question, by document key."""
-    keys = document_keys(documents, key, spec)
-    terms = question_terms(analysed, question_id)
-    lookups = _with_address_words(terms, keys)
+def find_documents(
+    analysed: DataFrame, documents: DataFrame, spec: CollectionSpec, question_id: str, key: str, limit: int = 20,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """``question_id, doc``: up to ``limit`` documents per question, by document key.
+
+    ``index`` is a stored ``document_keys`` table; without one it is built for this call.
+    """
+    keys = stage(document_keys(documents, key, spec), "keys") if index is None else index
+    asked, terms = question_terms(analysed, question_id)
+    lookups = stage(_with_address_words(terms, keys), "lookups")
 
     first = newest_per_key(keys, ["kind", "term"], [F.col("doc")], limit)
-    single = lookups.where("criteria = 1").join(first, ["kind", "term"]).select("question_id", "doc").distinct()
+    single = lookups.where("criteria = 1").join(first, ["kind", "term"]).select("search", "doc").distinct()
 
-    # Several criteria: one of them finds candidates, each candidate must be found by all of them.
+    # Several criteria: the one with the fewest documents gives candidates, the others test them.
     several = lookups.where("criteria > 1")
-    hits = several.join(keys, ["kind", "term"]).select("question_id", "criteria", "criterion", "doc").distinct()
-    both = hits.groupBy("question_id", "doc").agg(
-        F.count(F.lit(1)).alias("met"), F.any_value("criteria").alias("criteria")
-    ).where("met = criteria").select("question_id", "doc")
+    frequency = keys.join(several.select("kind", "term").distinct(), ["kind", "term"], "left_semi").groupBy("kind", "term").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    leading = several.join(frequency, ["kind", "term"]).groupBy("search", "criterion").agg(F.sum("n").alias("n")).groupBy("search").agg(
+        F.min(F.struct("n", "criterion")).alias("least")
+    ).select("search", F.col("least.criterion").alias("leading"))
+    marked = several.join(leading, "search")
+    candidates = marked.where("criterion = leading").join(keys, ["kind", "term"]).select("search", "doc").distinct()
+    tests = marked.where("criterion <> leading").join(candidates, "search")
+    both = tests.join(keys, ["kind", "term", "doc"], "left_semi").select("search", "criteria", "criterion", "doc").distinct().groupBy(
+        "search", "doc"
+    ).agg(F.count(F.lit(1)).alias("met"), F.any_value("criteria").alias("criteria")).where("met = criteria - 1").select("search", "doc")
 
-    # No criterion and no number: the first documents of the collection.
-    open_questions = analysed.where(
-        (F.size("exact") == 0) & (F.size("postcodes") == 0) & F.col("street").isNull() & F.col("number").isNull()
-    ).select(F.col(question_id).alias("question_id"), F.lit(1).alias("any"))
-    start = documents.select(F.col(key).alias("doc")).orderBy("doc").limit(limit).withColumn("any", F.lit(1))
-    general = open_questions.join(F.broadcast(start), "any").select("question_id", "doc")  # at most ``limit`` rows
+    found = newest_per_key(single.unionByName(both), ["search"], [F.col("doc")], limit)
+    answered = asked.where("NOT is_open").join(found, "search").select("question_id", "doc")
 
-    found = single.unionByName(both).unionByName(general)
-    return newest_per_key(found, ["question_id"], [F.col("doc")], limit)
+    # No criterion and no number: the first documents of the collection, at most ``limit`` rows.
+    start = documents.select(F.col(key).alias("doc")).orderBy("doc").limit(limit).withColumn("is_open", F.lit(True))
+    general = asked.where("is_open").join(F.broadcast(start), "is_open").select("question_id", "doc")
+    return answered.unionByName(general)
 
 
 def schema_search(
     questions: DataFrame, documents: DataFrame, spec: CollectionSpec, *, question: str = "question", question_id: str = "question_id",
-    key: str = "_id", limit: int = 20, arrays: Mapping[str, bool] | None = None,
+    key: str = "_id", limit: int = 20, index: DataFrame | None = None,
 ) -> DataFrame:
     """Documents found for each question, with intent, confidence and relevance."""
-    analysed = analyse(questions, spec, question)
-    pairs = find_documents(analysed, documents, spec, question_id, key, limit)
+    analysed = stage(analyse(questions, spec, question), "analysed")
+    pairs = find_documents(analysed, documents, spec, question_id, key, limit, index)
     fields = [c for c in spec.essential_columns if c in documents.columns and c not in spec.exclude_columns]
     kinds = {f.name: f.dataType.typeName() for f in documents.schema}
     view = {

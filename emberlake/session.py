@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -49,3 +49,13 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and read it back.
+
+    Unlike a cache it survives the loss of executors, and later plans start from a plain scan.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
