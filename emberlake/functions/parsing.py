@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,23 @@ PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def strip(column: Column | str) -> Column:
-    """Text without white space at its ends; ``trim`` alone removes only spaces."""
-    return F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(" \t\n\r\x0b\x0c"))
+    """Text without white space at its ends; ``trim`` alone removes only spaces.
+
+    Most texts have none, so only those whose first or last character is white space are rewritten.
+    """
+    text = F.col(column) if isinstance(column, str) else column
+    space = [" ", "\t", "\n", "\r", "\x0b", "\x0c"]
+    edges = F.substring(text, 1, 1).isin(space) | F.substring(text, -1, 1).isin(space)
+    return F.when(edges, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column that an expression mentions several times is otherwise copied into each place, and
+    branches of a ``when`` do not share it.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def _digits(text: Column) -> Column:
@@ -40,41 +57,52 @@ def plain_number(text: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
-def smart_number(column: Column) -> Column:
-    """Missing words, percentages, ranges and units to a double.
+def _number_of(text: Column) -> Column:
+    def with_parts(parts: Column) -> Column:
+        middle = (_digits(parts[0]) + _digits(parts[1])) / 2
+        return (
+            F.when((F.size(parts) == 2) & parts[0].rlike(r"\d") & parts[1].rlike(r"\d"), middle)
+            .when(text.rlike(UNIT_NUMBER), F.regexp_extract(text, UNIT_NUMBER, 1).try_cast("double"))
+        )
 
-    A plain signed or scientific number is read as it stands; only other text goes through the
-    range, unit and digits-only rules.
-    """
-    text = strip(column)
     parts = F.when(text.contains("-"), F.split(text, "-")).otherwise(F.split(text, " to "))
-    low, high = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
-    is_range = F.size(parts) == 2
-    middle = (_digits(low) + _digits(high)) / 2
     return (
         F.when(text.isin(MISSING_WORDS), F.lit(None).cast("double"))
         .when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
         .when(text.contains("%"), strip(F.replace(text, F.lit("%"), F.lit(""))).try_cast("double") / 100)
-        .when(is_range & middle.isNotNull(), middle)
-        .when(text.rlike(UNIT_NUMBER), F.regexp_extract(text, UNIT_NUMBER, 1).try_cast("double"))
-        .otherwise(_digits(text))
+        .when(~text.rlike(r"\d"), F.lit(None).cast("double"))
+        .otherwise(F.coalesce(let(parts, with_parts), _digits(text)))
     )
 
 
+def smart_number(column: Column) -> Column:
+    """Missing words, percentages, ranges and units to a double.
+
+    A plain signed or scientific number is read as it stands; only other text goes through the
+    range, unit and digits-only rules.
+    """
+    return let(strip(column), _number_of)
+
+
 def capacity_number(column: Column) -> Column:
     """``smart_number`` for capacity columns: text after an ellipsis is cut, ``1.2.3`` reads as 1.2."""
-    text = strip(column)
-    head = F.element_at(F.split(text, r"\.\.\."), 1)
-    cut = F.when(text.contains("...") & head.rlike(r"\d"), F.regexp_replace(head, r"[^0-9.]", "")).otherwise(text)
-    only = F.regexp_replace(cut, r"[^0-9.]", "")
-    two_parts = F.regexp_extract(only, r"^(\d*\.\d*)\.", 1).try_cast("double")
-    return F.when(~text.isin(CAPACITY_MISSING_WORDS), F.coalesce(smart_number(cut), two_parts))
+    def cut(text: Column) -> Column:
+        head = F.substring_index(text, "...", 1)
+        return F.when(text.contains("...") & head.rlike(r"\d"), F.regexp_replace(head, r"[^0-9.]", "")).otherwise(text)
+
+    def two_parts(text: Column) -> Column:
+        first = F.regexp_extract(F.regexp_replace(text, r"[^0-9.]", ""), r"^(\d*\.\d*)\.", 1)
+        return F.when(first.rlike(r"\d"), first.try_cast("double"))
+
+    def read(text: Column) -> Column:
+        return F.when(~text.isin(CAPACITY_MISSING_WORDS), let(cut(text), lambda t: F.coalesce(_number_of(t), two_parts(t))))
+
+    return let(strip(column), read)
 
 
 def numeric_like(column: Column) -> Column:
     """True when the text is a number, with or without one of the known units."""
-    text = strip(column)
-    return text.rlike(PLAIN_NUMBER) | text.rlike(UNIT_NUMBER)
+    return let(strip(column), lambda text: text.rlike(PLAIN_NUMBER) | text.rlike(UNIT_NUMBER))
 
 
 def parsed_timestamp(column: Column) -> Column:
@@ -82,9 +110,12 @@ def parsed_timestamp(column: Column) -> Column:
 
     The shape is tested first: a failed parse raises and catches an exception, which is slow.
     """
-    text = strip(column)
-    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS.items()]
-    return F.coalesce(*tries)
+    def read(text: Column) -> Column:
+        return F.coalesce(*[
+            F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS.items()
+        ])
+
+    return let(strip(column), read)
 
 
 def epoch_timestamp(column: Column) -> Column:
@@ -98,17 +129,18 @@ def truth_value(column: Column) -> Column:
 
 def value_kind(column: Column) -> Column:
     """The kind of value a text looks like."""
-    text = strip(column)
-    return (
-        F.when(text.rlike(r"^[+-]?\d+$"), "integer")
-        .when(text.rlike(PLAIN_NUMBER), "number")
-        .when(text.isin("True", "False", "true", "false"), "boolean")
-        .when(text.rlike(r"^\[[\s\S]*\]$"), "array")
-        .when(text.rlike(r"^\{[\s\S]*\}$"), "object")
-        .otherwise("text")
-    )
+    def kind(text: Column) -> Column:
+        return (
+            F.when(text.rlike(r"^[+-]?\d+$"), "integer")
+            .when(text.rlike(PLAIN_NUMBER), "number")
+            .when(text.isin("True", "False", "true", "false"), "boolean")
+            .when(text.startswith("[") & text.endswith("]"), "array")
+            .when(text.startswith("{") & text.endswith("}"), "object")
+            .otherwise("text")
+        )
+
+    return let(strip(column), kind)
 
 
 def json_like(column: Column) -> Column:
-    text = strip(column)
-    return text.rlike(r"^\{[\s\S]*\}$") | text.rlike(r"^\[[\s\S]*\]$")
+    return let(strip(column), lambda t: (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")))

@@ -10,10 +10,13 @@ still the exact, linearly interpolated quantile.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.session import stage
+
 STATS = ("n", "mean", "std", "low", "high")
 
 
@@ -32,96 +35,67 @@ def grouped_quantiles(
     always null.
     """
     keys, extras = list(keys), extras or {}
-    measures = {f"__m{i}": name for i, name in enumerate(columns)}
     source = df.dropna(subset=keys) if keys else df
-    source = source.select(
-        *keys,
-        *[F.col(name).cast("double").alias(alias) for alias, name in measures.items()],
-        *[c for c in source.columns if c not in keys],
-    )
     margin = 4.0 / accuracy
-    edges = [edge for p in probs for edge in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    marks = [mark for p in probs for mark in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    everything = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(probs))
 
-    def stat(alias: str) -> Column:
+    def stat(name: str) -> Column:
+        value = F.col(name).cast("double")
+        # A group of at most ``accuracy`` values keeps them all.
+        edges = F.when(F.count(value) > accuracy, F.percentile_approx(value, marks, accuracy)).otherwise(everything)
         return F.struct(
-            F.lit(measures[alias]).alias("measure"),
-            F.count(alias).alias("n"),
-            F.avg(alias).alias("mean"),
-            F.stddev_samp(alias).alias("std"),
-            F.min(alias).alias("low"),
-            F.max(alias).alias("high"),
-            F.percentile_approx(alias, edges, accuracy).alias("edges"),
+            F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+            F.min(value).alias("low"), F.max(value).alias("high"), edges.alias("edges"),
         )
 
-    summary = (
-        source.groupBy(*keys)
-        .agg(
-            *[expr.alias(name) for name, expr in extras.items()],
-            F.array(*[stat(alias) for alias in measures]).alias("stats"),
-        )
-        .select(*keys, *extras, F.inline("stats"))
-        .where("n > 0")
-    )
-    small = F.col("n") <= accuracy
-    brackets = summary.select(
-        *keys,
-        *extras,
-        "measure",
-        *STATS,
-        *[F.when(~small, F.col("edges")[2 * i]).otherwise(F.lit(float("-inf"))).alias(f"__lo{i}") for i in range(len(probs))],
-        *[F.when(~small, F.col("edges")[2 * i + 1]).otherwise(F.lit(float("inf"))).alias(f"__hi{i}") for i in range(len(probs))],
-    )
-    values = source.select(
-        *keys,
-        F.inline(F.array(*[
-            F.struct(F.lit(name).alias("measure"), F.col(alias).alias("__v"))
-            for alias, name in measures.items()
-        ])),
-    ).where(F.col("__v").isNotNull())
-
-    # A row below the bracket only adds to a counter (null candidate); above it, it is dropped.
-    places = F.array(*[
-        F.when(
-            F.col("__v") <= F.col(f"__hi{i}"),
-            F.struct(
-                F.lit(i).alias("__p"),
-                F.when(F.col("__v") >= F.col(f"__lo{i}"), F.col("__v")).alias("__c"),
-            ),
-        )
-        for i in range(len(probs))
-    ])
-    carried = [*extras, *STATS]
-    counted = (
-        values.join(brackets, [*keys, "measure"])
-        .select(*keys, "measure", *carried, F.explode(F.array_compact(places)).alias("__x"))
-        .groupBy(*keys, "measure", F.col("__x.__p").alias("__p"), F.col("__x.__c").alias("__c"))
-        .agg(F.count(F.lit(1)).alias("__k"), *[F.any_value(c).alias(c) for c in carried])
+    # One row per group, read by the second pass and again for the result.
+    summary = stage(
+        source.groupBy(*keys).agg(
+            *[expr.alias(name) for name, expr in extras.items()], F.array(*[stat(c) for c in columns]).alias("stats")
+        ),
+        "quantiles",
     )
-    group = [*keys, "measure", "__p"]
+    edges = summary.select(*keys, F.transform("stats", lambda s: s["edges"]).alias("__edges"), F.lit(1).alias("__one"))
+    values = source.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("__values"), F.lit(1).alias("__one"))
+
+    # One row per value with the edges of its measure. The edges cut the line into cells; a value inside
+    # a bracket is a candidate and kept, all others of a cell are only counted.
+    placed = values.join(edges, keys or ["__one"]).select(
+        *keys, F.posexplode(F.arrays_zip("__values", "__edges")).alias("__m", "__x")
+    ).select(*keys, "__m", F.col("__x.__values").alias("__v"), F.col("__x.__edges").alias("__e")).where(F.col("__v").isNotNull())
+    value = F.col("__v")
+    lows = [F.col("__e")[2 * j] for j in range(len(probs))]
+    highs = [F.col("__e")[2 * j + 1] for j in range(len(probs))]
+    cell = sum(((value > e).cast("int") for e in highs), F.lit(0)) + sum(((value >= e).cast("int") for e in lows), F.lit(0))
+    inside = reduce(lambda a, b: a | b, [(value >= lo) & (value <= hi) for lo, hi in zip(lows, highs)])
+    counted = placed.select(*keys, "__m", cell.alias("__cell"), F.when(inside, value).alias("__c")).groupBy(
+        *keys, "__m", "__cell", "__c"
+    ).agg(F.count(F.lit(1)).alias("__k"))
+    long = summary.select(*keys, *extras, F.posexplode("stats").alias("__m", "__s")).select(
+        *keys, *extras, "__m", *[F.col(f"__s.{s}").alias(s) for s in STATS]
+    ).where("n > 0")
     running = F.sum("__k").over(
-        Window.partitionBy(*group).orderBy(F.col("__c").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "__m").orderBy("__cell", "__c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__p") + 1)
-    position = (F.col("n") - 1) * prob
-    ranked = counted.withColumn("__end", running).withColumn("__pos", position)
+    ranked = counted.withColumn("__end", running).join(long.select(*keys, "__m", "n"), [*keys, "__m"])
 
     def at(rank: Column) -> Column:
-        inside = (rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__k"))
-        return F.max(F.when(inside, F.col("__c")))
-
-    picked = ranked.groupBy(*group).agg(
-        at(F.floor("__pos")).alias("__a"),
-        at(F.ceil("__pos")).alias("__b"),
-        F.any_value("__pos").alias("__pos"),
-        *[F.any_value(c).alias(c) for c in carried],
-    )
-    missed = F.col("__a").isNull() | F.col("__b").isNull()
-    quantile = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")).otherwise(
-        F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__pos") - F.floor("__pos"))
+        return F.max(F.when((rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__k")), F.col("__c")))
+
+    positions = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    picked = ranked.groupBy(*keys, "__m").agg(
+        *[at(F.floor(p)).alias(f"__a{j}") for j, p in enumerate(positions)],
+        *[at(F.ceil(p)).alias(f"__b{j}") for j, p in enumerate(positions)],
     )
-    per_prob = picked.withColumn("__q", quantile)
-    return per_prob.groupBy(*keys, "measure").agg(
-        *[F.any_value(c).alias(c) for c in carried],
-        F.array(*[F.max(F.when(F.col("__p") == i, F.col("__q"))) for i in range(len(probs))]).alias("q"),
+
+    def quantile(j: int) -> Column:
+        a, b = F.col(f"__a{j}"), F.col(f"__b{j}")
+        found = a + (b - a) * (positions[j] - F.floor(positions[j]))
+        missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
+        return F.when(a.isNull() | b.isNull(), missed).otherwise(found)
+
+    measure = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__m") + 1)
+    return picked.join(long, [*keys, "__m"]).select(
+        *keys, measure.alias("measure"), *extras, *STATS, F.array(*[quantile(j) for j in range(len(probs))]).alias("q")
     )

@@ -73,16 +73,23 @@ def evidence_report(df: DataFrame) -> DataFrame:
     columns there are; a task sends one partial row per column.
     """
     names = string_columns(df)
-    value = F.col("value")
-    text = strip(value)
-    flags = {
-        "is_numeric": P.numeric_like(value), "has_unit": value.rlike(UNIT_WORDS), "is_date": text.rlike(DATE_LIKE),
-        "is_epoch": text.rlike(r"^\d{9,10}(\.\d+)?$"), "is_truth": value.isin(list(P.TRUTH_WORDS)),
-        "has_digits": F.regexp_replace(value, r"[^0-9.]", "").try_cast("double") > 0,
-    }
-    rows = df.select(*names).unpivot([], names, "column", "value").select(
-        "column", "value", (value.isNotNull() & ~text.isin(P.MISSING_WORDS)).alias("meant"), *[c.alias(n) for n, c in flags.items()]
-    ).withColumn("is_moment", F.when(F.col("is_date"), P.parsed_timestamp(value)).isNotNull())
+    value, text = F.col("value"), F.col("text")
+
+    def digits(cleaned: Column) -> Column:
+        return cleaned.rlike(r"^(\d+\.?\d*|\.\d+)$") & cleaned.rlike("[1-9]")
+
+    with_unit = text.rlike(P.UNIT_NUMBER)
+    rows = df.select(*names).unpivot([], names, "column", "value").withColumn("text", strip("value")).select(
+        "column", "value", (value.isNotNull() & ~text.isin(P.MISSING_WORDS)).alias("meant"), "text",
+        F.struct(text.rlike(P.PLAIN_NUMBER).alias("plain"), with_unit.alias("unit")).alias("number"),
+        text.rlike(DATE_LIKE).alias("is_date"), text.rlike(r"^\d{9,10}(\.\d+)?$").alias("is_epoch"),
+        value.isin(list(P.TRUTH_WORDS)).alias("is_truth"),
+        P.let(F.regexp_replace(value, r"[^0-9.]", ""), digits).alias("has_digits"),
+    ).withColumns({
+        "is_numeric": F.col("number.plain") | F.col("number.unit"),
+        "has_unit": F.col("number.unit") & text.rlike(UNIT_WORDS),
+        "is_moment": F.when(F.col("is_date"), P.parsed_timestamp(value)).isNotNull(),
+    })
 
     def share(*conditions: str) -> Column:
         hit = F.col("meant")

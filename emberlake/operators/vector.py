@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from emberlake.functions.bounded import rows_if_small
 from emberlake.functions.vectors import as_matrix, best_rows, ranking_task, score_block
 from emberlake.operators.combine import newest_per_key, tagged_union
 from emberlake.operators.filters import scored_at_least
+from emberlake.session import stage
 from emberlake.spec import STOP_WORDS
 
 MAX_SEARCH_LIMIT = 100
@@ -217,23 +219,32 @@ def text_search(
 ) -> DataFrame:
     """Rows with any query term, ranked by summed term count times ``ln(1 + rows / rows with the term)``.
 
-    The terms are literals: the first pass counts their rows, the second scores each row where it
-    lies. Nothing is exploded or joined, so frequent terms cost no more than rare ones.
+    The text is read once: rows that contain a term leave their counts, which are then weighted.
+    Nothing is exploded or joined, so frequent terms cost no more than rare ones.
     """
     terms = sorted({w for w in _words(query) if w not in stop_words})
     if not terms:
         return df.limit(0).select(id_column, F.lit(0.0).alias("score"))
+    letter = r"[\p{L}\p{N}_]"
+    whole_words = rf"(?<!{letter})({'|'.join(terms)})(?!{letter})"
+    text = F.col("__text")
+    present = reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
+
     def count_of(term: str) -> Column:
-        return F.size(F.filter("__t", lambda x: x == term))
+        return F.size(F.filter("__hits", lambda x: x == term))
 
-    rows = df.select(id_column, tokens(F.col(text_column)).alias("__t")).select(
-        id_column, *[count_of(t).alias(f"__f{i}") for i, t in enumerate(terms)]
+    counts = stage(
+        df.select(id_column, F.lower(text_column).alias("__text")).where(present)
+        .select(id_column, F.regexp_extract_all("__text", F.lit(whole_words), 1).alias("__hits"))
+        .select(id_column, *[count_of(t).alias(f"__f{i}") for i, t in enumerate(terms)]),
+        "terms",
     )
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
-    weights = [math.log(1 + seen["n"] / seen[f"d{i}"]) if seen[f"d{i}"] else 0.0 for i in range(len(terms))]
+    total = df.count()
+    seen = counts.agg(*[F.count_if(F.col(f"__f{i}") > 0) for i in range(len(terms))]).first()
+    weights = [math.log(1 + total / n) if n else 0.0 for n in seen]
     score = sum((F.col(f"__f{i}") * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
     return (
-        rows.select(id_column, F.round(score, 6).alias("score")).where("score > 0")
+        counts.select(id_column, F.round(score, 6).alias("score")).where("score > 0")
         .orderBy(F.desc("score"), id_column).limit(limit)
     )
 
