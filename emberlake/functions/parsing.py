@@ -12,13 +12,8 @@ MISSING_WORDS = ["", "N/A", "NA", "None", "Unknown", "TBD", "n/a", "na", "NULL",
 CAPACITY_MISSING_WORDS = MISSING_WORDS + [
     "nan", "NaN", "NAN", "inf", "Inf", "INF", "-inf", "-Inf", "-INF",
 ]
-DATE_LAYOUTS = {
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
-    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
-    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
-}
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2})?$"
+MONTH_DAY_YEAR, DAY_MONTH_YEAR = r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}-\d{2}-\d{4}$"
 UNIT_NUMBER = r"(?i)^(\d+\.?\d*)\s*(?:kwh/100km?|l/100km?|kwh|kw|wh|w|kah|mah|ah|km|mi|mpg)$"
 TRUTH_WORDS = {
     "Yes": True, "No": False, "True": True, "False": False, "1": True, "0": False,
@@ -108,12 +103,17 @@ def numeric_like(column: Column) -> Column:
 def parsed_timestamp(column: Column) -> Column:
     """The timestamp of a text in one of the known layouts; anything else gives null.
 
-    The shape is tested first: a failed parse raises and catches an exception, which is slow.
+    Texts are brought into ISO order and cast, which is far cheaper than a formatter per layout.
     """
+    def part(text: Column, start: int, size: int) -> Column:
+        return F.substring(text, start, size)
+
     def read(text: Column) -> Column:
-        return F.coalesce(*[
-            F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS.items()
-        ])
+        return (
+            F.when(text.rlike(ISO_MOMENT), text.try_cast("timestamp"))
+            .when(text.rlike(MONTH_DAY_YEAR), F.concat_ws("-", part(text, 7, 4), part(text, 1, 2), part(text, 4, 2)).try_cast("timestamp"))
+            .when(text.rlike(DAY_MONTH_YEAR), F.concat_ws("-", part(text, 7, 4), part(text, 4, 2), part(text, 1, 2)).try_cast("timestamp"))
+        )
 
     return let(strip(column), read)
 

@@ -3,8 +3,8 @@
 ``percentile``/``median`` keep every distinct value of a group in the memory of one task. Here a
 mergeable sketch first finds, per group, a narrow bracket around each wanted rank. A second pass
 counts the rows below the bracket and keeps only the values inside it, so that one task orders a
-small share of a group (eight ten-thousandths with the default accuracy) and the answer is
-still the exact, linearly interpolated quantile.
+small share of a group and the answer is still the exact, linearly interpolated quantile. Groups
+whose brackets would still be large are sketched again, finer.
 """
 
 from __future__ import annotations
@@ -26,36 +26,26 @@ def grouped_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     extras: dict[str, Column] | None = None,
-    accuracy: int = 10_000,
+    accuracies: Sequence[int] = (1_000, 100_000),
+    max_candidates: int = 5_000_000,
 ) -> DataFrame:
     """One row per group and measure: ``keys, measure, n, mean, std, low, high, q, *extras``.
 
     ``q`` is an array holding one exact quantile per entry of ``probs``. ``extras`` are further
     aggregates of the whole group. Rows with a null key are dropped, as are groups whose measure is
     always null.
+
+    A bracket spans ``8 / accuracy`` of a group. The next accuracy is used when that is more than
+    ``max_candidates`` rows of the largest group.
     """
     keys, extras = list(keys), extras or {}
     source = df.dropna(subset=keys) if keys else df
-    margin = 4.0 / accuracy
-    marks = [mark for p in probs for mark in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    everything = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(probs))
-
-    def stat(name: str) -> Column:
-        value = F.col(name).cast("double")
-        # A group of at most ``accuracy`` values keeps them all.
-        edges = F.when(F.count(value) > accuracy, F.percentile_approx(value, marks, accuracy)).otherwise(everything)
-        return F.struct(
-            F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-            F.min(value).alias("low"), F.max(value).alias("high"), edges.alias("edges"),
-        )
-
-    # One row per group, read by the second pass and again for the result.
-    summary = stage(
-        source.groupBy(*keys).agg(
-            *[expr.alias(name) for name, expr in extras.items()], F.array(*[stat(c) for c in columns]).alias("stats")
-        ),
-        "quantiles",
-    )
+    for accuracy in accuracies:
+        # One row per group, read by the second pass and again for the result.
+        summary = stage(_summary(source, keys, columns, probs, extras, accuracy), "quantiles")
+        largest = summary.agg(F.max(F.array_max(F.transform("stats", lambda s: s["n"])))).first()[0] or 0
+        if largest * 8 / accuracy <= max_candidates:
+            break
     edges = summary.select(*keys, F.transform("stats", lambda s: s["edges"]).alias("__edges"), F.lit(1).alias("__one"))
     values = source.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("__values"), F.lit(1).alias("__one"))
 
@@ -99,3 +89,23 @@ def grouped_quantiles(
     return picked.join(long, [*keys, "__m"]).select(
         *keys, measure.alias("measure"), *extras, *STATS, F.array(*[quantile(j) for j in range(len(probs))]).alias("q")
     )
+
+
+def _summary(source: DataFrame, keys: list[str], columns: Sequence[str], probs: Sequence[float], extras: dict[str, Column], accuracy: int) -> DataFrame:
+    """Per group: the extras, and for every measure its statistics and the edges of its brackets."""
+    margin = 4.0 / accuracy
+    marks = [mark for p in probs for mark in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    everything = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(probs))
+
+    def stat(name: str) -> Column:
+        value = F.col(name).cast("double")
+        # A group of at most ``accuracy`` values keeps them all.
+        edges = F.when(F.count(value) > accuracy, F.percentile_approx(value, marks, accuracy)).otherwise(everything)
+        return F.struct(
+            F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+            F.min(value).alias("low"), F.max(value).alias("high"), edges.alias("edges"),
+        )
+
+    return source.groupBy(*keys).agg(
+        *[expr.alias(name) for name, expr in extras.items()], F.array(*[stat(c) for c in columns]).alias("stats")
+    )

@@ -41,7 +41,6 @@ CATEGORY_NAME_WORDS = (
     "status type category brand make model version color fuel transmission drive body segment level grade "
     "class rating tier group family"
 ).split()
-UNIT_WORDS = r"(?i)kwh|km|mi|mpg|l/100"
 DATE_LIKE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})"
 # -----------------------------------------------------------------------------------------------
 
@@ -73,36 +72,38 @@ def evidence_report(df: DataFrame) -> DataFrame:
     columns there are; a task sends one partial row per column.
     """
     names = string_columns(df)
-    value, text = F.col("value"), F.col("text")
+    value = F.col("value")
 
     def digits(cleaned: Column) -> Column:
         return cleaned.rlike(r"^(\d+\.?\d*|\.\d+)$") & cleaned.rlike("[1-9]")
 
-    with_unit = text.rlike(P.UNIT_NUMBER)
-    rows = df.select(*names).unpivot([], names, "column", "value").withColumn("text", strip("value")).select(
-        "column", "value", (value.isNotNull() & ~text.isin(P.MISSING_WORDS)).alias("meant"), "text",
-        F.struct(text.rlike(P.PLAIN_NUMBER).alias("plain"), with_unit.alias("unit")).alias("number"),
-        text.rlike(DATE_LIKE).alias("is_date"), text.rlike(r"^\d{9,10}(\.\d+)?$").alias("is_epoch"),
-        value.isin(list(P.TRUTH_WORDS)).alias("is_truth"),
-        P.let(F.regexp_replace(value, r"[^0-9.]", ""), digits).alias("has_digits"),
-    ).withColumns({
-        "is_numeric": F.col("number.plain") | F.col("number.unit"),
-        "has_unit": F.col("number.unit") & text.rlike(UNIT_WORDS),
-        "is_moment": F.when(F.col("is_date"), P.parsed_timestamp(value)).isNotNull(),
-    })
-
-    def share(*conditions: str) -> Column:
-        hit = F.col("meant")
-        for c in conditions:
-            hit = hit & F.col(c)
-        return F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count_if("meant")), F.lit(0.0))
+    def tests(text: Column) -> Column:
+        plain, dated = text.rlike(P.PLAIN_NUMBER), text.rlike(DATE_LIKE)
+        word_bit = F.lit(0)
+        for i, word in enumerate(P.TRUTH_WORDS):
+            word_bit = F.when(text == word, F.lit(1 << i)).otherwise(word_bit)
+        return F.struct(
+            (~text.isin(P.MISSING_WORDS)).alias("meant"), plain.alias("plain"),
+            (~plain & text.rlike(P.UNIT_NUMBER)).alias("unit"), dated.alias("date"),
+            (dated & P.parsed_timestamp(text).isNotNull()).alias("moment"), text.rlike(r"^\d{9,10}(\.\d+)?$").alias("epoch"),
+            word_bit.alias("word_bit"), (F.col("named") & P.let(F.regexp_replace(text, r"[^0-9.]", ""), digits)).alias("digits"),
+        )
+
+    # Only a column with a telling name is judged by its digits.
+    named = F.col("column").isin([c for c in names if _named(c, LAST_PASS_NAME_WORDS)])
+    rows = df.select(*names).unpivot([], names, "column", "value").withColumn("named", named).select(
+        "column", P.let(strip(value), lambda t: F.when(t.isNotNull(), tests(t))).alias("f")
+    ).select("column", "f.*")
+
+    def share(condition: Column) -> Column:
+        return F.coalesce(F.try_divide(F.count_if(F.col("meant") & condition).cast("double"), F.count_if("meant")), F.lit(0.0))
 
     return rows.groupBy("column").agg(
-        F.count_if("meant").alias("filled"), share("is_numeric").alias("numeric"), share("is_numeric", "has_unit").alias("unit"),
-        share("is_date").alias("date"), share("is_moment").alias("date_parsed"), share("is_epoch").alias("epoch"),
-        # Only the ten known words can enter this set.
-        F.size(F.collect_set(F.when(F.col("is_truth"), value))).alias("truth_words"),
-        F.count_if(value.isNotNull() & ~F.col("is_truth")).alias("other_words"), share("has_digits").alias("digits"),
+        F.count_if("meant").alias("filled"), share(F.col("plain") | F.col("unit")).alias("numeric"), share(F.col("unit")).alias("unit"),
+        share(F.col("date")).alias("date"), share(F.col("moment")).alias("date_parsed"), share(F.col("epoch")).alias("epoch"),
+        # One bit per known word.
+        F.bit_count(F.coalesce(F.bit_or(F.col("word_bit")), F.lit(0))).alias("truth_words"),
+        F.count_if(F.col("word_bit") == 0).alias("other_words"), share(F.col("digits")).alias("digits"),
     )
 
 
