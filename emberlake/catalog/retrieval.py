@@ -112,18 +112,18 @@ def _(spark, sf):
     })
 
 
+# One query per label; its text stage finds the French documents of the source with the label's number.
 @query("vec07_fallback_per_query", """
-WITH t AS (SELECT l.label AS query_id, d.doc_id, row_number() OVER (PARTITION BY l.label ORDER BY d.doc_id) AS n
-  FROM (SELECT DISTINCT label FROM embeddings) l JOIN documents d ON d.doc_id % 10 = l.label AND d.lang = 'fr' AND l.label < 5)
+WITH l AS (SELECT DISTINCT label FROM embeddings),
+t AS (SELECT l.label AS query_id, d.doc_id, row_number() OVER (PARTITION BY l.label ORDER BY d.doc_id) AS n FROM l JOIN documents d ON d.source = 'src' || l.label AND d.lang = 'fr')
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, 'text_search' AS source FROM t WHERE n <= 5
-UNION ALL SELECT CAST(label AS BIGINT), -1, 'sample_fallback' FROM (SELECT DISTINCT label FROM embeddings) WHERE label NOT IN (SELECT query_id FROM t)""")
-def _(spark, sf):
-    queries = _vectors(spark, sf).select(F.col("label").alias("query_id")).distinct()
-    text = V.newest_per_key(
-        table(spark, sf, "documents").where("lang = 'fr'").select((F.col("doc_id") % 10).cast("int").alias("query_id"), "doc_id").where("query_id < 5"),
-        ["query_id"], [F.col("doc_id")], 5,
-    ).join(queries, "query_id", "left_semi")
-    sample = queries.select("query_id", F.lit(-1).cast("long").alias("doc_id"))
+UNION ALL SELECT CAST(label AS BIGINT), -1, 'sample_fallback' FROM l WHERE label NOT IN (SELECT query_id FROM t)""")
+def _(spark, sf):
+    asked = _vectors(spark, sf).select(F.col("label").alias("query_id")).distinct()
+    named = asked.withColumn("source", F.concat(F.lit("src"), F.col("query_id").cast("string")))
+    french = V.newest_per_key(table(spark, sf, "documents").where("lang = 'fr'").select("source", "doc_id"), ["source"], [F.col("doc_id")], 5)
+    text = named.join(french, "source").select("query_id", "doc_id")
+    sample = asked.select("query_id", F.lit(-1).cast("long").alias("doc_id"))
     return rounded(V.first_nonempty_stage({"text_search": text, "sample_fallback": sample}, "query_id").select("query_id", "doc_id", "source"))
 
 
