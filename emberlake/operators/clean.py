@@ -77,34 +77,41 @@ def evidence_report(df: DataFrame) -> DataFrame:
     def digits(cleaned: Column) -> Column:
         return cleaned.rlike(r"^(\d+\.?\d*|\.\d+)$") & cleaned.rlike("[1-9]")
 
-    def tests(text: Column) -> Column:
+    def tests(text: Column) -> list[Column]:
         plain, dated = text.rlike(P.PLAIN_NUMBER), text.rlike(DATE_LIKE)
         word_bit = F.lit(0)
         for i, word in enumerate(P.TRUTH_WORDS):
             word_bit = F.when(text == word, F.lit(1 << i)).otherwise(word_bit)
-        return F.struct(
+        return [
             (~text.isin(P.MISSING_WORDS)).alias("meant"), plain.alias("plain"),
             (~plain & text.rlike(P.UNIT_NUMBER)).alias("unit"), dated.alias("date"),
             (dated & P.parsed_timestamp(text).isNotNull()).alias("moment"), text.rlike(r"^\d{9,10}(\.\d+)?$").alias("epoch"),
             word_bit.alias("word_bit"), (F.col("named") & P.let(F.regexp_replace(text, r"[^0-9.]", ""), digits)).alias("digits"),
-        )
+        ]
 
     # Only a column with a telling name is judged by its digits.
     named = F.col("column").isin([c for c in names if _named(c, LAST_PASS_NAME_WORDS)])
-    rows = df.select(*names).unpivot([], names, "column", "value").withColumn("named", named).select(
-        "column", P.let(strip(value), lambda t: F.when(t.isNotNull(), tests(t))).alias("f")
-    ).select("column", "f.*")
+    rows = df.select(*names).unpivot([], names, "column", "value").where(value.isNotNull()).select(
+        "column", named.alias("named"), strip(value).alias("text")
+    ).select("column", *tests(F.col("text")))
 
     def share(condition: Column) -> Column:
         return F.coalesce(F.try_divide(F.count_if(F.col("meant") & condition).cast("double"), F.count_if("meant")), F.lit(0.0))
 
-    return rows.groupBy("column").agg(
+    found = rows.groupBy("column").agg(
         F.count_if("meant").alias("filled"), share(F.col("plain") | F.col("unit")).alias("numeric"), share(F.col("unit")).alias("unit"),
         share(F.col("date")).alias("date"), share(F.col("moment")).alias("date_parsed"), share(F.col("epoch")).alias("epoch"),
         # One bit per known word.
         F.bit_count(F.coalesce(F.bit_or(F.col("word_bit")), F.lit(0))).alias("truth_words"),
         F.count_if(F.col("word_bit") == 0).alias("other_words"), share(F.col("digits")).alias("digits"),
     )
+    # A column without any value has no rows above; it is reported with nothing in it.
+    return _with_empty_columns(found, names)
+
+
+def _with_empty_columns(found: DataFrame, names: list[str]) -> DataFrame:
+    every = found.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    return every.join(found, "column", "left").fillna(0)
 
 
 def numeric_threshold(unit_share: float) -> float:
