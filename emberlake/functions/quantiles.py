@@ -47,7 +47,7 @@ def grouped_quantiles(
         if largest * 8 / accuracy <= max_candidates:
             break
     edges = summary.select(*keys, F.transform("stats", lambda s: s["edges"]).alias("__edges"), F.lit(1).alias("__one"))
-    values = source.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("__values"), F.lit(1).alias("__one"))
+    values = source.select(*keys, F.array(*[_number(c) for c in columns]).alias("__values"), F.lit(1).alias("__one"))
 
     # One row per value with the edges of its measure. The edges cut the line into cells; a value inside
     # a bracket is a candidate and kept, all others of a cell are only counted.
@@ -91,6 +91,12 @@ def grouped_quantiles(
     )
 
 
+def _number(name: str) -> Column:
+    """The value as a double; NaN counts as missing."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _summary(source: DataFrame, keys: list[str], columns: Sequence[str], probs: Sequence[float], extras: dict[str, Column], accuracy: int) -> DataFrame:
     """Per group: the extras, and for every measure its statistics and the edges of its brackets."""
     margin = 4.0 / accuracy
@@ -98,7 +104,7 @@ def _summary(source: DataFrame, keys: list[str], columns: Sequence[str], probs:
     everything = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(probs))
 
     def stat(name: str) -> Column:
-        value = F.col(name).cast("double")
+        value = _number(name)
         # A group of at most ``accuracy`` values keeps them all.
         edges = F.when(F.count(value) > accuracy, F.percentile_approx(value, marks, accuracy)).otherwise(everything)
         return F.struct(

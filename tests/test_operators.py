@@ -46,7 +46,7 @@ def test_quantiles_match_pandas_with_a_hot_group_and_ties(spark):
 
 
 def test_quantiles_of_tiny_groups_and_null_keys(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 3.0), (None, 9.0), ("c", None)], "g string, x double")
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 3.0), ("b", float("nan")), (None, 9.0), ("c", None)], "g string, x double")
     got = {r.g: r.q for r in grouped_quantiles(df, ["g"], ["x"], [0.25]).collect()}
     assert got == {"a": [1.75], "b": [3.0]}
 
