@@ -15,7 +15,9 @@ from emberlake.operators import clean as C
 from emberlake.operators import geo as G
 from emberlake.operators import nested as N
 from emberlake.plans.stand_ins import CONNECTIONS_SQL, DIRTY_SQL, connections, dirty_readings
-from emberlake.sources.readers import table
+from emberlake.session import fresh_path
+from emberlake.sources.readers import read_folder, table
+from emberlake.sources.writers import overwrite
 
 _DIGITS = "TRY_CAST(regexp_replace({x}, '[^0-9.]', '', 'g') AS DOUBLE)"
 _SMART = f"""CASE WHEN trim(reading) IN ('', 'N/A', 'NA', 'None', 'Unknown', 'TBD', 'n/a', 'na', 'NULL', 'null') THEN NULL
@@ -165,6 +167,20 @@ def _(spark, sf):
     return G.with_geometry(_buildings(spark, sf))
 
 
+@query("geo02_reproject")
+def _(spark, sf):
+    bounds = ("min_x", "min_y", "max_x", "max_y")
+    return rounded(G.with_geometry(_buildings(spark, sf)).select("c_custkey", *bounds), 6)
+
+
+@query("src07_geometry_layer", "SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 3 ELSE 133 END AS bytes FROM customer")
+def _(spark, sf):
+    """A building layer with its binary column, landed as Parquet; the same rows come from ``read_jdbc``."""
+    path = fresh_path(spark, "layer")
+    overwrite(_buildings(spark, sf), path)
+    return rounded(read_folder(spark, path).select("c_custkey", F.length("geom").alias("bytes")))
+
+
 @query("geo03_text_forms")
 def _(spark, sf):
     return G.with_geometry(_buildings(spark, sf)).select("c_custkey", "wkt", "geojson")

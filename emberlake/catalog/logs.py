@@ -106,7 +106,7 @@ def _(spark, sf):
     return login.join(code, "event_id").join(LO.sql_events(rows).select("event_id", F.col("message").alias("sql")), "event_id")
 
 
-@query("log07_search_logs")
+@query("vec10_search_logs")
 def _(spark, sf):
     logs = embed_text(query_log(spark, sf).withColumn("text", F.concat_ws(" ", "event_type", "log_level", "component", "props")), "text")
     wanted = embed_text(spark.createDataFrame([("error error part-3",)], "text string"), "text").first().embedding
