@@ -209,14 +209,14 @@ def encode(docs: DataFrame, vocab_path: str, text_column: str = "text", output:
     """``docs`` with the token ids of ``text_column`` as an ``array<int>``. ``vocab_path`` must exist on every executor."""
     kept = docs.drop(output)
     schema = StructType([*kept.schema.fields]).add(output, ArrayType(IntegerType(), False), False)
-    where = kept.columns.index(text_column)
+    names, where = [*kept.columns, output], kept.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = [codec(vocab_path).encode(t) for t in batch.column(where).to_pylist()]
             offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept.columns, output])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
 
     return kept.mapInArrow(run, schema)
 
@@ -225,7 +225,7 @@ def decode(coded: DataFrame, vocab_path: str, ids_column: str = "ids", output: s
     """``coded`` with the text of the token ids in ``ids_column``."""
     kept = coded.drop(output)
     schema = StructType([*kept.schema.fields]).add(output, StringType(), False)
-    where = kept.columns.index(ids_column)
+    names, where = [*kept.columns, output], kept.columns.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A string array is one byte buffer with an offset table: taking ids copies their slices.
@@ -238,7 +238,7 @@ def decode(coded: DataFrame, vocab_path: str, ids_column: str = "ids", output: s
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int64))
                 tokens = strings.take(lists.flatten().cast(pa.int32())).cast(pa.large_string())
                 texts = pc.binary_join(pa.LargeListArray.from_arrays(offsets, tokens), " ").cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept.columns, output])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
     return kept.mapInArrow(run, schema)
 
