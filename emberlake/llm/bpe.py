@@ -231,14 +231,16 @@ def decode(coded: DataFrame, vocab_path: str, ids_column: str = "ids", output: s
         # A string array is one byte buffer with an offset table: taking ids copies their slices.
         strings = pa.array(codec(vocab_path).strings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(where).fill_null(pa.scalar([], part.column(where).type)) if part.column(where).null_count else part.column(where)
-                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int64))
-                tokens = strings.take(lists.flatten().cast(pa.int32())).cast(pa.large_string())
-                texts = pc.binary_join(pa.LargeListArray.from_arrays(offsets, tokens), " ").cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
+            column = batch.column(where)
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            done, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:  # some million tokens at a time, as one buffer holds 2 GB
+                end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 5_000_000, "right")))
+                offsets = pa.array(np.r_[0, np.cumsum(sizes[at:end])].astype(np.int32))
+                tokens = strings.take(column.slice(at, end - at).flatten().cast(pa.int32()))
+                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, texts], names=names)
+                at = end
 
     return kept.mapInArrow(run, schema)
 
