@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm.bpe import op6_bpe
 from emberlake.llm.simhash import op10_simhash
+from emberlake.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
 }
