@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm.bpe import op6_bpe
+from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.simhash import op10_simhash
 from emberlake.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_host_rules": op3_host_rules,
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_host_rules": OP3_SQL,
+}
