@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberlake.llm.bpe import op6_bpe
 from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
+from emberlake.llm.html_text import op9_html
 from emberlake.llm.simhash import op10_simhash
 from emberlake.llm.toxicity import op4_toxicity
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op9_html": op9_html,
     "op10_simhash": op10_simhash,
 }
 
