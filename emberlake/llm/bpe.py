@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 _END = "\n"  # stands for the suffix at the end of a word; no token has a raw line feed
-_MAX_WORDS = 300_000  # of the per-task tables of encoded words and chunks; a table starts anew when full
-_MAX_PAIRS = 2_000_000
+_MAX_WORDS = 150_000  # of the per-task tables of encoded words and chunks; a table starts anew when full
+_MAX_PAIRS = 300_000
 # The Unicode characters of the property White_Space.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 # Python's str.split() also cuts at these, which are no white space in Unicode.
@@ -60,9 +60,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, number in self.special.items():
             vocab.setdefault(token, number)
-        self.strings = [""] * (max(vocab.values()) + 1)
-        for token, number in vocab.items():
-            self.strings[number] = token
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.find_words = regex.compile(pattern).findall
@@ -87,17 +84,18 @@ class Codec:
             pair = (vocab[first], vocab[second])
             self.rank[pair] = order
             self.parts[vocab[first + second]] = (*pair, order)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging ``left``'s and ``right``'s symbols in order leaves the border between them."""
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= _MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._border_stays(left, right)
+            known = self.pairs[key] = self._border_stays(left, right)
         return known
 
     def _border_stays(self, left: int, right: int) -> bool:
@@ -121,13 +119,14 @@ class Codec:
         """The tokens of one word, without its suffix in ``word``."""
         # Visible ASCII letters stand for themselves; words hold no spaces or line ends.
         text = (word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)) + _END
-        size, pairs = len(text), self.pairs
+        size, known = len(text), self.pairs.get
         found = [match for _, match in self.automaton.iter_long(text)]
         tokens = [number for _, number in found]
         if sum([length for length, _ in found]) == size:
             # Always the longest match: the encoder's first way down, and its result if all neighbours fit.
-            for pair in zip(tokens, tokens[1:]):
-                if not pairs[pair] if pair in pairs else not self.fits(*pair):
+            for left, right in zip(tokens, tokens[1:]):
+                fit = known(left << 32 | right)
+                if not (self.fits(left, right) if fit is None else fit):
                     break
             else:
                 return tokens
@@ -205,6 +204,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def token_strings(path: str) -> pa.StringArray:
+    """All token strings by id: one byte buffer and its offset table."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    numbers = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    strings = [""] * (max(numbers.values()) + 1)
+    for token, number in numbers.items():
+        strings[number] = token
+    return pa.array(strings)
+
+
 def encode(docs: DataFrame, vocab_path: str, text_column: str = "text", output: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text_column`` as an ``array<int>``. ``vocab_path`` must exist on every executor."""
     kept = docs.drop(output)
@@ -228,8 +239,7 @@ def decode(coded: DataFrame, vocab_path: str, ids_column: str = "ids", output: s
     names, where = [*kept.columns, output], kept.columns.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A string array is one byte buffer with an offset table: taking ids copies their slices.
-        strings = pa.array(codec(vocab_path).strings)
+        strings = token_strings(vocab_path)  # taking ids copies the slices that the offsets name
         for batch in batches:
             column = batch.column(where)
             sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
