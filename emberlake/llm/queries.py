@@ -11,9 +11,11 @@ from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
 from emberlake.llm.html_text import op9_html
 from emberlake.llm.simhash import op10_simhash
+from emberlake.llm.surrogates import op2_surrogates
 from emberlake.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_surrogates": op2_surrogates,
     "op3_host_rules": op3_host_rules,
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
