@@ -10,6 +10,7 @@ from emberlake.llm.bpe import op6_bpe
 from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
 from emberlake.llm.html_text import op9_html
+from emberlake.llm.line_dedup import OP8_SQL, op8_lines
 from emberlake.llm.simhash import op10_simhash
 from emberlake.llm.surrogates import op2_surrogates
 from emberlake.llm.toxicity import op4_toxicity
@@ -20,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_lines": op8_lines,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
+    "op8_lines": OP8_SQL,
 }
