@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm.bpe import op6_bpe
+from emberlake.llm.decontaminate import op5_decontaminate
 from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
 from emberlake.llm.html_text import op9_html
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_surrogates": op2_surrogates,
     "op3_host_rules": op3_host_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_lines": op8_lines,
