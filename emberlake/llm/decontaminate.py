@@ -156,11 +156,11 @@ class Index:
 def indexes(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Index]:
     """One index per shard of the items; a shard has a bounded number of characters."""
     known = items.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text"))
-    token = known.select(F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("word"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))
     size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.count("*").alias("n")).first()
-    n_words = token.count()
+    n_words = known.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0]
     shards = max(1, -(-size["characters"] // SHARD_CHARACTERS))
-    frequencies = token.distinct().groupBy("word").agg(F.count("*").alias("n"))
+    frequencies = known.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     for shard in range(shards):
         own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect() if words(r["text"])]
