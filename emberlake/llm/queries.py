@@ -13,10 +13,12 @@ from emberlake.llm.language import op7_language
 from emberlake.llm.html_text import op9_html
 from emberlake.llm.line_dedup import OP8_SQL, op8_lines
 from emberlake.llm.simhash import op10_simhash
+from emberlake.llm.suffix_dedup import op1_suffix_dedup
 from emberlake.llm.surrogates import op2_surrogates
 from emberlake.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_surrogates": op2_surrogates,
     "op3_host_rules": op3_host_rules,
     "op4_toxicity": op4_toxicity,
