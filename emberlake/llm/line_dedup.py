@@ -13,8 +13,8 @@ So that many variants of one line are not paired with each other, each set first
 posting list with about its length; sets removed that way no longer ask, and only the others meet whole lists.
 
 Edge cases: null and empty texts have no lines; lines without a word never match and stay; equal lines within one
-document count as repeats; rows of equal id are taken in the order of their text; an empty table gives an empty
-result; rows without an id are left as they are; other columns are kept.
+document count as repeats; rows that share an id count as one document, whose lines at one place go together; an
+empty table gives an empty result; rows without an id are left as they are; other columns are kept.
 """
 
 from __future__ import annotations
@@ -112,12 +112,11 @@ def _filtered(met: DataFrame, percent: int) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the lines that ``matches`` names; a document that loses all its lines keeps an empty text."""
-    gone = matches(docs, id_column, text_column, percent).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("place").alias("gone_places"))
-    joined = docs.join(gone, docs[id_column] == F.col("gone_id"), "left")
-    places = F.array_except(F.sequence(F.lit(0), F.size(F.split(text_column, "\n")) - 1), F.col("gone_places"))
-    joined = joined.withColumns({"kept_places": places, "all_lines": F.split(text_column, "\n")})
-    text = F.array_join(F.transform("kept_places", lambda p: F.get("all_lines", p)), "\n")
-    return joined.withColumn(text_column, F.when(F.col("gone_places").isNull(), F.col(text_column)).otherwise(text)).select(*docs.columns)
+    gone = matches(docs, id_column, text_column, percent).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("place").alias("__gone"))
+    joined = docs.join(gone, docs[id_column] == F.col("__gone_id"), "left").withColumn("__lines", F.split(text_column, "\n"))
+    joined = joined.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
+    text = F.array_join(F.transform("__kept", lambda p: F.get("__lines", p)), "\n")
+    return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(text)).select(*docs.columns)
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:

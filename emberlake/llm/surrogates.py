@@ -225,10 +225,10 @@ def pseudonymise(docs: DataFrame, key: str, id_column: str = "doc_id", text_colu
     found = stage(mentions(docs, id_column, text_column).distinct(), "mentions")
     surrogates = assign(stage(found.select("kind", "canonical").distinct(), "entities"), key)
     edits = found.join(surrogates, ["kind", "canonical"]).groupBy("doc_id", "text_hash")
-    edits = edits.agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("edits"))
-    edits = edits.select(F.col("doc_id").alias("edits_id"), F.col("text_hash").alias("edits_hash"), "edits")
-    same = F.col(id_column).cast("string").eqNullSafe(F.col("edits_id")) & (F.xxhash64(text_column) == F.col("edits_hash"))
-    joined = docs.join(edits, same, "left").select(*[docs[c] for c in docs.columns], "edits")
+    edits = edits.agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("__edits"))
+    edits = edits.select(F.col("doc_id").alias("__edits_id"), F.col("text_hash").alias("__edits_hash"), "__edits")
+    same = F.col(id_column).cast("string").eqNullSafe(F.col("__edits_id")) & (F.xxhash64(text_column) == F.col("__edits_hash"))
+    joined = docs.join(edits, same, "left").select(*[docs[c] for c in docs.columns], "__edits")
     names, where = docs.columns, docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
