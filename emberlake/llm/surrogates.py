@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,19 +49,25 @@ _SOUNDS = {
 
 _GENDER_OF = {w: g for g, words in (*_TITLES.items(), *_GIVEN.items()) for w in words}
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][\w'’]*[^\W\d_]"
-_PATTERN = re.compile(
-    "|".join([
-        r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})",
-        r"(?P<secret>(?:(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)\s*[=:]\s*[\"']?(?P<secret_value>[\w+/=.~-]{6,}))|\b(?P<secret_key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}))",
-        r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
-        r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
-        r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-        r"(?P<card>(?<![\w+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))",
-        r"(?P<phone>(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))",
-        rf"(?P<person>\b(?:(?P<title>{'|'.join(w for t in _TITLES.values() for w in t)})\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}|(?:{'|'.join(w for t in _GIVEN.values() for w in t)}) {_CAPITAL})\b)",
-    ])
-)
-_ANY = re.compile(r"[@=:+]|\d{3}|\d\.\d|AKIA|gh._|sk-|" + "|".join(rf"\b{w}\b" for t in (*_TITLES.values(), *_GIVEN.values()) for w in t))
+_NAMES = frozenset(_GENDER_OF)
+_CALLED = frozenset([*_NAMES, *(f"{w}." for words in _TITLES.values() for w in words)])
+_TITLE = "|".join(w for words in _TITLES.values() for w in words)
+_FIRST = "|".join(w for words in _GIVEN.values() for w in words)
+
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}")
+_SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)\s*[=:]\s*[\"']?(?P<value>[\w+/=.~-]{6,})")
+_KEY = re.compile(r"\b(?P<value>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})")
+_NUMBERS = {
+    "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    "card": re.compile(r"(?<![\w+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])"),
+}
+_PERSON = re.compile(rf"\b(?:(?P<title>{_TITLE})\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}|(?:{_FIRST}) {_CAPITAL})\b")
+_DIGIT = re.compile(r"\d")
+_OPENING = re.compile(r"[(\[{\"'«“‘„/-]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _luhn(digits: str) -> int:
@@ -74,18 +81,40 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[:1] <= "ӿ" else "greek" if "Ͱ" <= word[:1] <= "Ͽ" else "latin"
 
 
+def _named(text: str) -> bool:
+    """Whether a title or a given name may occur: a cheap test before the pattern for persons."""
+    if not _CALLED.isdisjoint(text.split()):
+        return True
+    return _OPENING.search(text) is not None and not _NAMES.isdisjoint(_LETTERS.findall(text))
+
+
+def _matches(text: str) -> Iterator[tuple[str, re.Match[str]]]:
+    """Matches by kind, the more telling kinds first; patterns run only where the text has what they need."""
+    if "@" in text:
+        yield from (("email", m) for m in _EMAIL.finditer(text))
+    if "=" in text or ":" in text:
+        yield from (("secret", m) for m in _SECRET.finditer(text))
+    if "AKIA" in text or "gh" in text and "_" in text or "sk-" in text:
+        yield from (("secret", m) for m in _KEY.finditer(text))
+    if _DIGIT.search(text):
+        for kind, pattern in _NUMBERS.items():
+            yield from ((kind, m) for m in pattern.finditer(text))
+    if _named(text):
+        yield from (("person", m) for m in _PERSON.finditer(text))
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, canonical form)`` of every mention, from left to right and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
-    if not text or not _ANY.search(text):
-        return found
-    for m in _PATTERN.finditer(text):
-        kind = next(k for k in ("email", "secret", "ip", "iban", "ssn", "card", "phone", "person") if m[k] is not None)
-        start, end, value = m.start(), m.end(), m[0]
-        if kind == "secret":
-            group = "secret_value" if m["secret_value"] is not None else "secret_key"
-            found.append((*m.span(group), kind, m[group]))
-        elif kind == "email":
+    taken: list[tuple[int, int]] = []
+    for kind, m in _matches(text) if text else ():
+        start, end = m.span("value") if kind == "secret" else m.span()
+        at = bisect(taken, (start, end))
+        if at and taken[at - 1][1] > start or at < len(taken) and taken[at][0] < end:
+            continue
+        taken.insert(at, (start, end))
+        value = text[start:end]
+        if kind == "email":
             found.append((start, end, kind, value.lower()))
         elif kind == "person":
             words = [(w.start() + start, w.end() + start, w[0]) for w in re.finditer(r"[\w'’]+", value)]
@@ -99,7 +128,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((start, end, kind, re.sub(r"[^A-Z0-9]", "", value)))
         else:
             found.append((start, end, kind, value))
-    return found
+    return sorted(found)
 
 
 class _Draw:
