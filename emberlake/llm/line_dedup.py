@@ -9,8 +9,8 @@ its prefix: similar sets share a word there. Pairs that meet in a prefix pass th
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
 that is the same for all lines gives the exact join; rarity only keeps the posting lists short.
 
-So that many variants of one line are not paired with each other, each set first meets only the earliest set of its
-posting list with about its length; sets removed that way no longer ask, and only the others meet whole lists.
+So that many variants of one line are not paired with each other, each set first meets, by its rarest words, only the earliest
+set of about its length; sets removed that way no longer ask, and only the others meet whole lists.
 
 Edge cases: null and empty texts have no lines; lines without a word never match and stay; equal lines within one
 document count as repeats; rows that share an id count as one document, whose lines at one place go together; an
@@ -26,7 +26,9 @@ from emberlake.llm.common import WORD_GAP
 from emberlake.session import stage
 
 PERCENT = 80
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: How many words of a prefix the first, cheap round looks at.
+_RAREST = 3
 _GAPS = " \t\n\x0b\x0c\r"
 
 
@@ -67,10 +69,13 @@ def _sets(lines: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc_id", "place", "n", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs (doc_id, place, other_doc, other_place)`` whose lines are similar enough, by their words."""
-    theirs = lines.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("line").alias("other_line"))
-    both = pairs.join(theirs, ["other_doc", "other_place"]).join(lines, ["doc_id", "place"])
+def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (doc_id, place, other_doc, other_place)`` whose lines are similar enough, by their words.
+
+    ``placed`` holds the lines dealt out by document and place; both joins read that one exchange.
+    """
+    theirs = placed.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("line").alias("other_line"))
+    both = pairs.join(theirs, ["other_doc", "other_place"]).join(placed, ["doc_id", "place"])
     both = both.withColumns({"a": F.array_distinct(_words("line")), "b": F.array_distinct(_words("other_line"))})
     both = both.withColumn("overlap", F.size(F.array_intersect("a", "b")))
     similar = 100 * F.col("overlap") >= percent * (F.size("a") + F.size("b") - F.col("overlap"))
@@ -81,20 +86,24 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """``(doc_id, place, other_doc, other_place)`` of every line to remove, with an earlier line like it."""
     lines = lines_of(docs, id_column, text_column)
     sets = stage(_sets(lines, percent), "line-sets")
+    placed = lines.repartition("doc_id", "place")
     equal = sets.where("doc_id <> first_doc or place <> first_place").select("doc_id", "place", F.col("first_doc").alias("other_doc"), F.col("first_place").alias("other_place"))
-    # A band holds sizes up to a quarter apart; a set and the first of its band in a list are worth a comparison.
-    postings = sets.where("prefix is not null").select("doc_id", "place", "n", F.posexplode("prefix").alias("at", "word"))
-    postings = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
-    first = postings.groupBy("word", "band").agg(F.min(F.struct("doc_id", "place", "n", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("word", "band", F.col("f.doc_id").alias("other_doc"), F.col("f.place").alias("other_place"), F.col("f.n").alias("m"), F.col("f.at").alias("other_at"))
-    met = postings.join(first, ["word", "band"])
-    near = stage(_verified(_filtered(met, percent), lines, percent).dropDuplicates(["doc_id", "place"]), "near-lines")
-
-    # The others meet all earlier sets of their lists.
-    asking = postings.join(near.select("doc_id", "place"), ["doc_id", "place"], "left_anti").drop("band")
-    listed = postings.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("n").alias("m"), F.col("at").alias("other_at"))
-    rest = _filtered(asking.join(listed, "word"), percent)
-    rest = _verified(rest, lines, percent)
+    firsts = sets.where("prefix is not null").select("doc_id", "place", "n", "prefix")
+
+    # By their rarest words sets of about one size (bands a quarter apart) meet the earliest one.
+    rarest = firsts.select("doc_id", "place", "n", F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
+    rarest = rarest.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    lists = Window.partitionBy("word", "band").orderBy("doc_id", "place")
+    earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"))}
+    near = _verified(_filtered(rarest.withColumns(earliest), percent), placed, percent).dropDuplicates(["doc_id", "place"])
+    near = stage(near, "near-lines")
+
+    # Those not removed so far ask all earlier sets of their lists; both sides read one exchange.
+    resolved = near.select("doc_id", "place", F.lit(False).alias("asks"))
+    listed = firsts.join(resolved, ["doc_id", "place"], "left").withColumn("asks", F.col("asks").isNull())
+    listed = listed.select("doc_id", "place", "n", "asks", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    rest = _verified(_filtered(listed.where("asks").join(others, "word"), percent), placed, percent)
     found = near.unionByName(rest).groupBy("doc_id", "place").agg(F.min(F.struct("other_doc", "other_place")).alias("o"))
     return equal.unionByName(found.select("doc_id", "place", "o.other_doc", "o.other_place"))
 
@@ -103,11 +112,10 @@ def _filtered(met: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of a set with an earlier one that pass the length and the positional filter."""
     earlier = (F.col("other_doc") < F.col("doc_id")) | ((F.col("other_doc") == F.col("doc_id")) & (F.col("other_place") < F.col("place")))
     lengths = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    # Overlap o gives a similarity of o / (n + m - o); at their first common word the sets may still share the rest.
+    # Overlap o gives a similarity of o / (n + m - o); from a common word on the sets may still share the rest.
     needed = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     position = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= needed
-    pairs = met.where(earlier & lengths).groupBy("doc_id", "place", "other_doc", "other_place").agg(F.max(position).alias("possible"))
-    return pairs.where("possible").drop("possible")
+    return met.where(earlier & lengths & position).select("doc_id", "place", "other_doc", "other_place").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
