@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.functions.bounded import rows_if_small
 from emberlake.operators.questions import mentioned, mentions_any
 from emberlake.spec import MATCH_THRESHOLD, CollectionSpec, Pattern
 
@@ -81,31 +80,21 @@ def _best(patterns: Column, lowered: Column, keywords: Column, threshold: float)
 
 def match_patterns(
     df: DataFrame, spec: CollectionSpec, question: str = "question", stored: DataFrame | None = None,
-    threshold: float = MATCH_THRESHOLD, max_stored: int = 2000,
+    threshold: float = MATCH_THRESHOLD,
 ) -> DataFrame:
     """Add ``match``: the best pattern at or above the threshold, null without one.
 
     ``stored`` holds further patterns (``question_pattern, answer_intent, samples, entities,
     expected_columns, search_strategy, confidence_score``), taken after the collection's own in order
-    of confidence. Up to ``max_stored`` become a constant; more are matched chunk by chunk.
+    of confidence, pattern and intent, and matched chunk by chunk; those without a pattern are left out.
     """
     q = F.col(question)
     prepared = df.withColumns({"__q": F.lower(q), "__k": keyword_share(q, spec)})
     own = pattern_array(spec.patterns)
     best = _best(own, F.col("__q"), F.col("__k"), threshold)
     if stored is not None:
-        rows = _stored_rows(stored)
-        small = rows_if_small(rows, max_stored)
-        if small is not None:
-            ordered = sorted(small, key=lambda r: (-(r.confidence_score or 0.0), r.question_pattern))
-            extra = pattern_array([
-                Pattern(r.question_pattern, r.answer_intent, tuple(r.entities), tuple(r.samples), tuple(r.expected_columns), r.search_strategy)
-                for r in ordered
-            ])
-            late = _best(extra, F.col("__q"), F.col("__k"), threshold)
-        else:
-            prepared = _chunked_best(prepared, rows, threshold)
-            late = F.col("__late")
+        prepared = _chunked_best(prepared, _stored_rows(stored), threshold)
+        late = F.col("__late")
         best = F.when(best.isNull() | (late["negative"] < best["negative"]), late).otherwise(best) if spec.patterns else late
     return prepared.withColumn("__m", best).withColumn("match", F.when(F.col("__m").isNotNull(), F.struct(
         F.col("__m.question_pattern").alias("question_pattern"), F.col("__m.answer_intent").alias("answer_intent"),
@@ -118,7 +107,7 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
     def array_or_empty(name: str) -> Column:
         return F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name)
 
-    return stored.select(
+    return stored.where("question_pattern is not null").select(
         "question_pattern", "answer_intent", array_or_empty("samples"), array_or_empty("entities"),
         array_or_empty("expected_columns"), F.coalesce("search_strategy", F.lit("")).alias("search_strategy"),
         F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
