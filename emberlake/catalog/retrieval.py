@@ -63,7 +63,7 @@ def _(spark, sf):
     return rounded(V.search(_vectors(spark, sf), _question(spark, sf), 25, id_column="vec_id", threshold=0.2, payload=["label"]), 6)
 
 
-@query("vec05_filtered_search", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 2 AND score >= 0.01 ORDER BY s.score DESC, vec_id LIMIT 100")
+@query("vec05_filtered_search", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 2 AND score >= 0.01 ORDER BY s.score DESC, vec_id LIMIT 500")
 def _(spark, sf):
     hits = V.search(_vectors(spark, sf), _question(spark, sf), 500, id_column="vec_id", threshold=0.01, where=F.col("label") == 2)
     return rounded(hits, 6)
@@ -137,7 +137,7 @@ def _(spark, sf):
     return rounded(V.vector_sizes(_vectors(spark, sf)))
 
 
-_TERMS = ("nation", "trade", "data", "ring", "model")
+_TERMS = ("licensed", "version", "apache", "idiot", "pathetic")
 
 
 def _text_sql() -> str:
@@ -151,7 +151,7 @@ SELECT doc_id, score FROM r WHERE score > 0 ORDER BY r.score DESC, doc_id LIMIT
 
 @query("vec11_text_search", _text_sql())
 def _(spark, sf):
-    return V.text_search(table(spark, sf, "documents"), "text", "The nation, its trade; and the data of a Ring model", id_column="doc_id")
+    return V.text_search(table(spark, sf, "documents"), "text", "The licensed version; of an Apache and this idiot was Pathetic", id_column="doc_id")
 
 
 @query("vec12_several_tables", f"""

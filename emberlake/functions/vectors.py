@@ -51,11 +51,14 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def as_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as a float64 matrix, and the mask of rows that have this width."""
+    """Rows of a list column as a float64 matrix, and the mask of rows that have a vector; other sizes are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     usable = lengths == width
+    wrong = lengths[(lengths >= 0) & ~usable]
+    if len(wrong):
+        raise ValueError(f"vectors of size {wrong[0]} among those of size {width}")
     kept = column if usable.all() else column.filter(pa.array(usable))
     flat = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(-1, width), usable

@@ -22,7 +22,6 @@ from emberlake.operators.filters import scored_at_least
 from emberlake.session import stage
 from emberlake.spec import STOP_WORDS
 
-MAX_SEARCH_LIMIT = 100
 # Query vectors that may travel to every task: 8 MB of doubles.
 MAX_QUERY_NUMBERS = 1_000_000
 
@@ -75,10 +74,10 @@ def search(
     df: DataFrame, vector: Sequence[float], limit: int = 5, *, id_column: str, vector_column: str = "embedding",
     threshold: float | None = None, payload: Sequence[str] = (), where: Column | None = None,
 ) -> DataFrame:
-    """Cosine search with an optional filter before ranking; at most a hundred hits."""
+    """Cosine search with an optional filter before ranking; as many hits as asked for."""
     rows = df if where is None else df.where(where)
     hits = nearest(
-        rows, vector, min(limit, MAX_SEARCH_LIMIT), id_column=id_column, vector_column=vector_column, threshold=threshold
+        rows, vector, limit, id_column=id_column, vector_column=vector_column, threshold=threshold
     )
     return with_payload(hits, df, id_column, payload) if payload else hits
 
