@@ -187,9 +187,9 @@ def _(spark, sf):
     return connections(spark, sf).where(FL.array_has("MPRN", "9200000300")).select("_id")
 
 
-@query("flt05_array_prefix", f"SELECT _id FROM {CONNECTIONS_SQL} c WHERE regexp_matches(POSTCODE[1], '^(A|B)', 'i')")
+@query("flt05_array_prefix", f"SELECT _id FROM {CONNECTIONS_SQL} c WHERE regexp_matches(POSTCODE[1], '^(NT|NS)', 'i')")
 def _(spark, sf):
-    return connections(spark, sf).where(FL.array_has_prefix("POSTCODE", ["a", "B"])).select("_id")
+    return connections(spark, sf).where(FL.array_has_prefix("POSTCODE", ["nt", "NS"])).select("_id")
 
 
 @query("flt06_array_part", f"SELECT _id FROM {CONNECTIONS_SQL} c WHERE contains(ADDRESS[1], 'MACHINERY')")

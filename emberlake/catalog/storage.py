@@ -53,7 +53,7 @@ def _(spark, sf):
     return rounded(R.read_lake_table(spark, f"{sf}/customer.parquet"))
 
 
-@query("src08_documents", "SELECT doc_id, lang FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 5000")
+@query("src08_documents", "SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
 def _(spark, sf):
     docs = table(spark, sf, "documents").withColumn("_id", F.col("doc_id")).select("_id", "doc_id", "lang").orderBy("doc_id")
     return R.read_documents(docs, F.col("lang") == "fr")

@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.functions.bounded import rows_if_small
 from emberlake.functions.parsing import json_like
 from emberlake.operators.profile import per_column
 from emberlake.operators.project import string_columns
 
 SCALARS = (T.StringType, T.NumericType, T.BooleanType)
-MAX_MAP_KEYS = 2000
 
 
 def unpack_struct(df: DataFrame, column: str) -> DataFrame:
@@ -22,13 +20,14 @@ def unpack_struct(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({f"{column}_{f}": F.col(column).getField(f) for f in fields})
 
 
-def map_keys_of(df: DataFrame, column: str, max_keys: int = MAX_MAP_KEYS) -> list[str]:
-    """All keys of a map column, sorted. They become columns, so their number has a limit."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
-    rows = rows_if_small(keys, max_keys)
-    if rows is None:
-        raise ValueError(f"{column} has more than {max_keys} keys; keep it as a map or explode it")
-    return sorted(str(r.k) for r in rows)
+def map_keys_of(df: DataFrame, column: str) -> list[str]:
+    """All keys of a map column, sorted: one per column of the result. Where keys grow with the data, use ``map_entries``."""
+    return sorted(str(r.k) for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
+
+
+def map_entries(df: DataFrame, column: str) -> DataFrame:
+    """The map's entries as rows ``<column>_key, <column>_value`` beside the other columns, for any number of keys."""
+    return df.select(*[c for c in df.columns if c != column], F.explode_outer(column).alias(f"{column}_key", f"{column}_value"))
 
 
 def unpack_map(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:

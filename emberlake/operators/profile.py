@@ -75,9 +75,10 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5,
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def context_profile(df: DataFrame, categorical: int = 5, values: int = 10, numeric: int = 5) -> DataFrame:
+def context_profile(df: DataFrame, categorical: Sequence[str] | None = None, values: int = 10, numeric: Sequence[str] | None = None) -> DataFrame:
     """The rows a context text is assembled from: frequent values, and minimum, maximum and mean."""
-    names, numbers = string_columns(df)[:categorical], numeric_columns(df)[:numeric]
+    names = string_columns(df) if categorical is None else list(categorical)
+    numbers = numeric_columns(df) if numeric is None else list(numeric)
     parts = []
     if names:
         parts.append(top_values(df, names, values, keep_null=False).select(

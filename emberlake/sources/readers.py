@@ -86,9 +86,14 @@ def read_lake_table(spark: SparkSession, name_or_path: str, format: str = "parqu
     return df if limit is None else df.limit(limit)
 
 
-def read_documents(df: DataFrame, where: Column | None = None, limit: int | None = 5000) -> DataFrame:
+def read_documents(df: DataFrame, where: Column | None = None, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """All documents that meet the condition; a limit takes the first in the given order."""
     rows = df if where is None else df.where(where)
-    return (rows if limit is None else rows.limit(limit)).drop("_id")
+    if limit is not None:
+        if not order:
+            raise ValueError("a limit needs an order")
+        rows = rows.orderBy(*order).limit(limit)
+    return rows.drop("_id")
 
 
 def response_items(df: DataFrame, table_name: str) -> DataFrame:
