@@ -22,25 +22,28 @@ from emberlake.spec import CollectionSpec
 Action = Literal["number", "plain_number", "capacity", "timestamp", "epoch", "boolean", "keep"]
 
 # --- Fixed values: words in a column name that hint at its type --------------------------------
-NUMERIC_NAME_WORDS = (
-    "capacity efficiency range consumption economy battery voltage current speed weight length width height "
-    "volume area price cost rate ratio percentage score rating index factor coefficient metric power energy "
-    "wlpt nedc real estimate teh fuel co2 available status count total average mean max min sum difference gap margin"
-).split()
-LAST_PASS_NAME_WORDS = (
-    "capacity efficiency range consumption economy battery voltage current speed weight length width height "
-    "volume area price cost rate ratio percentage score rating index factor coefficient metric power energy "
-    "wlpt nedc real estimate teh fuel co2"
-).split()
-DATE_NAME_WORDS = (
-    "date time created updated launch release from to start end modified timestamp available published "
-    "expired valid effective"
-).split()
+NUMERIC_NAME_WORDS = [
+    "capacity", "efficiency", "range", "consumption", "economy", "battery", "voltage", "current", "speed", "weight",
+    "length", "width", "height", "volume", "area", "price", "cost", "rate", "ratio", "percentage", "score", "rating",
+    "index", "factor", "coefficient", "metric", "power", "energy", "wlpt", "nedc", "real", "estimate", "teh", "fuel",
+    "co2", "available", "status", "count", "total", "average", "mean", "max", "min", "sum", "difference", "gap",
+    "margin",
+]
+LAST_PASS_NAME_WORDS = [
+    "capacity", "efficiency", "range", "consumption", "economy", "battery", "voltage", "current", "speed", "weight",
+    "length", "width", "height", "volume", "area", "price", "cost", "rate", "ratio", "percentage", "score", "rating",
+    "index", "factor", "coefficient", "metric", "power", "energy", "wlpt", "nedc", "real", "estimate", "teh", "fuel",
+    "co2",
+]
+DATE_NAME_WORDS = [
+    "date", "time", "created", "updated", "launch", "release", "from", "to", "start", "end", "modified", "timestamp",
+    "available", "published", "expired", "valid", "effective",
+]
 BOOLEAN_NAME_WORDS = ["status", "active", "enabled", "available", "is_", "has_"]
-CATEGORY_NAME_WORDS = (
-    "status type category brand make model version color fuel transmission drive body segment level grade "
-    "class rating tier group family"
-).split()
+CATEGORY_NAME_WORDS = [
+    "status", "type", "category", "brand", "make", "model", "version", "color", "fuel", "transmission", "drive",
+    "body", "segment", "level", "grade", "class", "rating", "tier", "group", "family",
+]
 DATE_LIKE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})"
 # -----------------------------------------------------------------------------------------------
 
