@@ -67,7 +67,15 @@ def _(spark, sf):
     return rounded(P.context_profile(table(spark, sf, "part")))
 
 
-@query("prf06_context_text")
+@query("prf06_context_text", """
+WITH n AS (SELECT 'p_name' AS "column", p_name AS value, count(*) AS count FROM part GROUP BY 2
+  UNION ALL SELECT 'p_brand', p_brand, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM n),
+s AS (SELECT 'p_partkey' AS "column", min(p_partkey)::DOUBLE AS a, max(p_partkey)::DOUBLE AS b, avg(p_partkey) AS m FROM part
+  UNION ALL SELECT 'p_size', min(p_size), max(p_size), avg(p_size) FROM part
+  UNION ALL SELECT 'p_retailprice', min(p_retailprice), max(p_retailprice), avg(p_retailprice) FROM part)
+SELECT 'value' AS kind, "column", string_agg(value, ', ' ORDER BY rank) AS line FROM r WHERE rank <= 10 GROUP BY 2
+UNION ALL SELECT 'statistic', "column", printf('max=%.2f, mean=%.2f, min=%.2f', b, m, a) FROM s""")
 def _(spark, sf):
     return P.context_text(P.context_profile(table(spark, sf, "part")))
 

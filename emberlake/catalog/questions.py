@@ -60,7 +60,7 @@ def _(spark, sf):
     names = list(S.TABLE_KEYWORDS)
     q = F.col("question")
     return rounded(_all_questions(spark, sf).select(
-        "question_id", Q.routed_tables(q, names).alias("routed"), Q.routed_tables(q, names, ["epcDomesticScotlands"]).alias("with_selection")
+        "question_id", Q.routed_tables(q, names, most=2).alias("routed"), Q.routed_tables(q, names, ["epcDomesticScotlands"]).alias("with_selection")
     ))
 
 

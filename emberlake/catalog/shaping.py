@@ -266,7 +266,7 @@ def _(spark, sf):
 
 @query("lim02_basic_context", "SELECT doc_id, text FROM documents ORDER BY md5(CAST(doc_id AS STRING) || '|42'), doc_id LIMIT 10")
 def _(spark, sf):
-    return L.basic_context(table(spark, sf, "documents"), ["doc_id"])
+    return L.basic_context(table(spark, sf, "documents"), ["doc_id"], ["doc_id", "text"])
 
 
 @query("lim04_page", "SELECT o_orderkey FROM orders ORDER BY 1 OFFSET 40 LIMIT 20")

@@ -124,7 +124,7 @@ def _(spark, sf):
     asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = I.training_pairs(asked.join(told, ["conv_id", "turn"]))
-    return pairs.unionByName(I.training_pairs(table(spark, sf, "documents").select("doc_id", "lang", "source")))
+    return pairs.unionByName(I.training_pairs(table(spark, sf, "documents"), ("doc_id", "lang")))
 
 
 @query("inc05_chunked_build")

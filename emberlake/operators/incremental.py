@@ -26,10 +26,8 @@ def tracker_rows(df: DataFrame, table: str, kind: str, key: str = "row_key") ->
     return df.select(F.lit(table).alias("table"), F.lit(kind).alias("kind"), F.col(key).alias("row_key")).distinct()
 
 
-def training_pairs(df: DataFrame, skip: Sequence[str] = ("row_key",)) -> DataFrame:
-    """``text1, text2, label``: question and answer, else the first two columns."""
-    names = [c for c in df.columns if c not in skip]
-    pair = ("question", "answer") if {"question", "answer"} <= set(names) else tuple(names[:2])
-    if len(pair) < 2:
+def training_pairs(df: DataFrame, pair: Sequence[str] = ("question", "answer")) -> DataFrame:
+    """``text1, text2, label`` of the two named columns."""
+    if len(pair) != 2 or not set(pair) <= set(df.columns):
         raise ValueError("two columns are needed for a pair")
     return df.select(F.col(pair[0]).cast("string").alias("text1"), F.col(pair[1]).cast("string").alias("text2"), F.lit(1.0).alias("label"))

@@ -21,15 +21,15 @@ def sample_rows(df: DataFrame, keys: Sequence[str], size: int = 500, seed: int =
     return df.orderBy(sample_order(keys, seed), *keys).limit(size)
 
 
-def basic_context(df: DataFrame, keys: Sequence[str], size: int = 10, columns: int = 2) -> DataFrame:
-    names = df.columns[:columns]
-    return sample_rows(df, keys, size).select(*names)
+def basic_context(df: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = 10) -> DataFrame:
+    """Sampled rows with the named columns."""
+    return sample_rows(df, keys, size).select(*columns)
 
 
 def optimised_context(df: DataFrame, spec: CollectionSpec | None, keys: Sequence[str]) -> DataFrame:
-    """Sampled rows, chosen columns, cut text, as the collection's description asks."""
+    """Sampled rows, chosen columns, cut text, as the collection's description asks; without one all columns."""
     if spec is None:
-        return basic_context(df, keys)
+        return basic_context(df, keys, df.columns)
     lengths = {e.column: e.max_length for e in spec.dictionary if e.max_length}
     return truncate_text(
         keep_essential(sample_rows(df, keys, spec.max_rows), spec), lengths, spec.max_field_length

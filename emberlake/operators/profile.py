@@ -101,7 +101,7 @@ def context_text(profile: DataFrame) -> DataFrame:
     """The profile as one line per column; a column has at most ten values."""
     line = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value", "number"))),
-        lambda x: F.coalesce(F.format_string("%s=%.2f", x["value"], x["number"]), x["value"]),
+        lambda x: F.when(x["number"].isNull(), x["value"]).otherwise(F.format_string("%s=%.2f", x["value"], x["number"])),
     ), ", ")
     return profile.groupBy("kind", "column").agg(line.alias("line"))
 

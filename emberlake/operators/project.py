@@ -72,10 +72,10 @@ def keep_configured(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def keep_essential(df: DataFrame, spec: CollectionSpec) -> DataFrame:
-    """Essential columns, or the first two when none exists; without a list, drop the excluded ones."""
+    """Essential columns, or all when none of them exists; without a list, drop the excluded ones."""
     if spec.essential_columns:
         present = [c for c in spec.essential_columns if c in df.columns]
-        return df.select(*(present or df.columns[:2]))
+        return df.select(*(present or df.columns))
     allowed = [c for c in df.columns if c not in spec.exclude_columns]
     return df.select(*allowed) if allowed else df
 

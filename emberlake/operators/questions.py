@@ -39,14 +39,14 @@ def wants_chart(question: Column) -> Column:
     return mentions_any(question, S.CHART_WORDS)
 
 
-def routed_tables(question: Column, available: Sequence[str], selected: Sequence[str] = (), known: Mapping[str, Sequence[str]] = S.TABLE_KEYWORDS) -> Column:
-    """Tables a question is about; all when none is recognised. Without a selection the first two."""
+def routed_tables(question: Column, available: Sequence[str], selected: Sequence[str] = (), known: Mapping[str, Sequence[str]] = S.TABLE_KEYWORDS, most: int | None = None) -> Column:
+    """Tables a question is about; all when none is recognised. ``most`` keeps the first so many when nothing is selected."""
     hits = F.array_compact(F.array(*[
         F.when(mentions_any(question, words), F.lit(name)) for name, words in known.items() if name in available
     ]))
     relevant = F.when(F.size(hits) > 0, hits).otherwise(F.array(*[F.lit(t) for t in available]))
     if not selected:
-        return F.slice(relevant, 1, 2)
+        return relevant if most is None else F.slice(relevant, 1, most)
     return F.array_sort(F.array_union(F.array(*[F.lit(t) for t in selected]), relevant))
 
 
