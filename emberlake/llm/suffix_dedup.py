@@ -25,6 +25,8 @@ repeated rows included; rows without an id are left out of the result; an empty
 from __future__ import annotations
 
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -41,6 +43,8 @@ _FRAME = 2 * WINDOW - ANCHOR
 _CHUNK = 1 << 20
 _A = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _A_INVERSE = pow(_A, -1, 1 << 64)
+_HIGH = np.uint64((1 << 64) - (1 << 24))
+_RUN_TYPES = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
 _ANSWER = "block int, bucket int, kind int, payload binary"
 
 
@@ -67,14 +71,22 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(out[: len(data) - ANCHOR + 1])
 
 
-def _leftmost_least(values: np.ndarray) -> np.ndarray:
-    """For every start the position of the least of ``_SPAN`` values, the leftmost of equals."""
-    at, size = np.arange(len(values), dtype=np.int32), 1
+def _leftmost_least(hashes: np.ndarray) -> np.ndarray:
+    """For every start the position of the least of ``_SPAN`` hashes, the leftmost of equals.
+
+    Compares the first 40 bits; the rest of a number holds the position.
+    """
+    keys, size = (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64), 1
     while size < _SPAN:
         step = min(size, _SPAN - size)
-        right = values[step:] < values[:-step]
-        values, at, size = np.where(right, values[step:], values[:-step]), np.where(right, at[step:], at[:-step]), size + step
-    return at
+        keys, size = np.minimum(keys[:-step], keys[step:]), size + step
+    return (keys & ~_HIGH).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_A`` and of its inverse for the places of a chunk."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(_CHUNK - 1, np.uint64(base))]) for base in (_A, _A_INVERSE))
 
 
 class Block:
@@ -84,41 +96,35 @@ class Block:
         self.ids = rows.column("doc_id").to_numpy()
         texts = [t.as_py() or b"" for t in rows.column("text").cast(pa.large_binary())]
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        found: list[tuple[np.ndarray, ...]] = []
-        at = 0
-        while at < len(texts):
-            end = at + 1
-            while end < len(texts) and self.starts[end] + self.sizes[end] - self.starts[at] <= _CHUNK:
-                end += 1
-            found.append(self._runs(at, end))
-            at = end
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 6
-        self.doc, self.anchor, self.first, self.last, self.hash, self.whole = columns
-
-    def _runs(self, at: int, end: int) -> tuple[np.ndarray, ...]:
-        base, stop = int(self.starts[at]), int(self.starts[end - 1] + self.sizes[end - 1])
+        # Chunks overlap by less than a window, so that each string starts in one of them; runs may be cut there.
+        found = [self._runs(at, min(at + _CHUNK, len(self.data))) for at in range(0, max(0, len(self.data) - WINDOW + 1), _CHUNK - WINDOW + 1)]
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=t) for t in _RUN_TYPES]
+        self.anchor, self.first, self.last, self.hash, self.whole = columns
+        self.doc = np.searchsorted(self.ends, self.first, side="right")
+
+    def _runs(self, base: int, stop: int) -> tuple[np.ndarray, ...]:
         data = self.data[base:stop]
-        if len(data) < WINDOW:
-            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
         hashes = _anchor_hashes(data)
         best = _leftmost_least(hashes)
-        doc = np.repeat(np.arange(at, end), self.sizes[at:end])
-        starts = np.arange(len(best))
-        inside = doc[starts] == doc[starts + WINDOW - 1]
-        starts, best = starts[inside], best[inside]
+        whole = np.ones(len(best) + 1, dtype=bool)  # strings that lie in one document
+        lo, hi = np.searchsorted(self.ends, [base, stop], side="right")
+        for end in (self.ends[lo:hi] - base).tolist():
+            if end > 0:
+                whole[max(0, end - WINDOW + 1) : end] = False
+        starts = np.flatnonzero(whole[:-1])
         if not len(starts):
-            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-        new = np.r_[True, (best[1:] != best[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]
-        head = np.flatnonzero(new)
-        first, last, anchor = starts[head], starts[np.r_[head[1:], len(starts)] - 1], best[head].astype(np.int64)
+            return tuple(np.zeros(0, dtype=t) for t in _RUN_TYPES)
+        best = best[starts]
+        head = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)])
+        first, last, anchor = starts[head], starts[np.r_[head[1:], len(starts)] - 1], best[head]
         # The hash of each run's bytes from running sums of symbol times power.
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(len(data) - 1, np.uint64(_A))])
-        sums = np.r_[np.uint64(0), np.cumsum(data.astype(np.uint64) * powers)]
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(data) - 1, np.uint64(_A_INVERSE))])
-        whole = _mix((sums[last + WINDOW] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
-        return doc[first], anchor + base, first + base, last + base, hashes[anchor], whole
+        powers, inverse = _powers()
+        sums = np.r_[np.uint64(0), np.cumsum(data * powers[: len(data)])]
+        content = _mix((sums[last + WINDOW] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        return anchor + base, first + base, last + base, hashes[anchor], content
 
     def anchors(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchor hashes by bucket and hash, each run's place among them, whether several ids have one, and the buckets."""
@@ -164,35 +170,53 @@ class Block:
         return out
 
 
-def _least_ids(frames: np.ndarray, group: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _least_ids(frames: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each sequence and place of the anchor (0 to ``_SPAN`` - 1) the least id with the string that starts so far before it.
 
-    ``group`` numbers the anchors in ascending order; sequences of different anchors never meet.
+    Equal sequences count once; an anchor with a single sequence needs no order.
     """
+    anchors = np.ascontiguousarray(frames[:, _SPAN - 1 : _SPAN - 1 + ANCHOR]).view(f"V{ANCHOR}").ravel()
+    group = np.unique(anchors, return_inverse=True)[1].ravel()
+    weights = np.array([pow(_A, i + 1, 1 << 64) for i in range(_FRAME)], dtype=np.uint64)
+    content = np.zeros(len(frames), dtype=np.uint64)
+    for column in range(_FRAME):
+        content += frames[:, column] * weights[column]
+    order = np.lexsort((ids, content, group))
+    same = (group[order[1:]] == group[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    same[same] = (frames[order[1:][same]] == frames[order[:-1][same]]).all(axis=1)
+    new = np.r_[True, ~same]
+    kind = np.empty(len(order), dtype=np.int64)
+    kind[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    least = np.broadcast_to(ids[firsts][:, None], (len(firsts), _SPAN)).copy()
+    several = np.bincount(group[firsts])[group[firsts]] > 1
+    if several.any():
+        own = firsts[several]
+        least[several] = _ordered(frames[own], group[own], ids[own], low[own], high[own])
+    return least[kind]
+
+
+def _ordered(frames: np.ndarray, group: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The column-wise construction over distinct sequences; those of different anchors (``group``, ascending) never meet."""
     out = np.broadcast_to(ids[:, None], (len(ids), _SPAN)).copy()
-    order = np.argsort(group, kind="stable")
-    common = np.where(np.r_[-1, group[order][:-1]] == group[order], 0, -1).astype(np.int32)  # with the one before; -1 at a new anchor
+    order, columns = np.arange(len(ids)), np.ascontiguousarray(frames.T)
+    new_group = np.r_[True, group[1:] != group[:-1]]  # groups keep their places in every order
+    common = np.where(new_group, -1, 0).astype(np.int16)  # with the one before; -1 at a new anchor
     for column in range(_FRAME - 1, -1, -1):
-        symbol = frames[order, column]
+        symbol = columns[column][order]
         # A stable partition by anchor and new symbol keeps the order of what follows.
-        move = np.argsort(symbol, kind="stable")
-        move = move[np.argsort(group[order][move], kind="stable")]
-        lengths = np.zeros(len(order), dtype=np.int32)
-        for value in np.unique(symbol):
-            at = np.flatnonzero(symbol == value)
-            # The least common prefix on the way from the last one with this symbol, and one symbol more.
-            if len(at) > 1:
-                lengths[at[1:]] = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) + 1
-        order, common = order[move], lengths[move]
-        new_group = np.r_[True, group[order][1:] != group[order][:-1]]
-        new_symbol = np.r_[True, frames[order, column][1:] != frames[order, column][:-1]]
-        common = np.where(new_group, -1, np.where(new_symbol, 0, common))
+        move = np.lexsort((symbol, group))
+        # The least common prefix on the way from the one before with this symbol, and one symbol more.
+        way = np.minimum.reduceat(np.r_[common, np.int16(-1)], np.c_[move[:-1] + 1, move[1:] + 1].ravel())[::2] if len(move) > 1 else np.zeros(0, dtype=np.int16)
+        order, symbol = order[move], symbol[move]
+        common = np.r_[np.int16(-1), np.where(symbol[1:] == symbol[:-1], way + 1, 0)].astype(np.int16)
+        common[new_group] = -1
         place = _SPAN - 1 - column
         if place >= 0:
             valid = (low[order] <= place) & (place <= high[order])
             classes = np.cumsum(common < WINDOW) - 1
             least = np.full(classes[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, classes[valid], ids[order][valid])
+            np.minimum.at(least, classes[valid], ids[order[valid]])
             out[order[valid], place] = least[classes[valid]]
     return out
 
@@ -261,13 +285,12 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def tell_least(rows: pa.Table) -> pa.Table:
         parts = [_unpack_sequences(p) for p in rows.column("payload").to_pylist()]
         ids, low, high, frames = (np.concatenate(c) for c in zip(*parts))
-        anchors = np.ascontiguousarray(frames[:, _SPAN - 1 : _SPAN - 1 + ANCHOR]).view(f"V{ANCHOR}").ravel()
-        group = np.unique(anchors, return_inverse=True)[1]
-        least = _least_ids(frames, group.ravel(), ids, low, high)
+        least = _least_ids(frames, ids, low, high)
         out, at = [], 0
         for number, part in zip(rows.column("block").to_pylist(), parts):
             own = least[at : at + len(part[0])]
-            lower = own < part[0][:, None]
+            places = np.arange(_SPAN)
+            lower = (own < part[0][:, None]) & (places >= part[1][:, None]) & (places <= part[2][:, None])
             # Stretches of places with one smaller id.
             start = lower & np.c_[np.ones(len(own), dtype=bool), (own[:, 1:] != own[:, :-1]) | ~lower[:, :-1]]
             end = lower & np.c_[(own[:, 1:] != own[:, :-1]) | ~lower[:, 1:], np.ones(len(own), dtype=bool)]
