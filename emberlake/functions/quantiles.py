@@ -26,7 +26,7 @@ def grouped_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     extras: dict[str, Column] | None = None,
-    accuracies: Sequence[int] = (1_000, 100_000),
+    accuracy: int = 1_000,
     max_candidates: int = 5_000_000,
 ) -> DataFrame:
     """One row per group and measure: ``keys, measure, n, mean, std, low, high, q, *extras``.
@@ -35,23 +35,29 @@ def grouped_quantiles(
     aggregates of the whole group. Rows with a null key are dropped, as are groups whose measure is
     always null.
 
-    A bracket spans ``8 / accuracy`` of a group. The next accuracy is used when that is more than
+    A bracket spans ``8 / accuracy`` of a group. The accuracy grows tenfold until that is at most
     ``max_candidates`` rows of the largest group.
     """
     keys, extras = list(keys), extras or {}
     source = df.dropna(subset=keys) if keys else df
-    for accuracy in accuracies:
+    while True:
         # One row per group, read by the second pass and again for the result.
         summary = stage(_summary(source, keys, columns, probs, extras, accuracy), "quantiles")
         largest = summary.agg(F.max(F.array_max(F.transform("stats", lambda s: s["n"])))).first()[0] or 0
         if largest * 8 / accuracy <= max_candidates:
             break
-    edges = summary.select(*keys, F.transform("stats", lambda s: s["edges"]).alias("__edges"), F.lit(1).alias("__one"))
-    values = source.select(*keys, F.array(*[_number(c) for c in columns]).alias("__values"), F.lit(1).alias("__one"))
+        accuracy *= 10
+    edges = summary.select(*keys, F.transform("stats", lambda s: s["edges"]).alias("__edges"))
+    values = source.select(*keys, F.array(*[_number(c) for c in columns]).alias("__values"))
+    if keys:
+        bracketed = values.join(edges, keys)
+    else:  # one row with a few numbers per measure
+        known = F.array(*[F.array(*[F.lit(float(e)) for e in measure]) for measure in edges.first()[0]])
+        bracketed = values.withColumn("__edges", known)
 
     # One row per value with the edges of its measure. The edges cut the line into cells; a value inside
     # a bracket is a candidate and kept, all others of a cell are only counted.
-    placed = values.join(edges, keys or ["__one"]).select(
+    placed = bracketed.select(
         *keys, F.posexplode(F.arrays_zip("__values", "__edges")).alias("__m", "__x")
     ).select(*keys, "__m", F.col("__x.__values").alias("__v"), F.col("__x.__edges").alias("__e")).where(F.col("__v").isNotNull())
     value = F.col("__v")

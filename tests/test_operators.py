@@ -36,7 +36,7 @@ def test_quantiles_match_pandas_with_a_hot_group_and_ties(spark):
     })
     pdf.loc[rng.random(30_000) < 0.1, "x"] = None
     probs = [0.25, 0.5, 0.75]
-    got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], ["x", "y"], probs, accuracies=(200, 500), max_candidates=900).collect()
+    got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], ["x", "y"], probs, accuracy=10, max_candidates=900).collect()
     assert len(got) == 6
     for r in got:
         want = pdf[pdf.g == r.g][r.measure].dropna()
