@@ -35,6 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 _END = "\n"  # stands for the suffix at the end of a word; no token has a raw line feed
 _MAX_WORDS = 150_000  # of the per-task tables of encoded words and chunks; a table starts anew when full
 _MAX_PAIRS = 300_000
+_ROWS = 1_000  # coded at once, so that a task holds few texts as Python strings
 # The Unicode characters of the property White_Space.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 # Python's str.split() also cuts at these, which are no white space in Unicode.
@@ -223,11 +224,13 @@ def encode(docs: DataFrame, vocab_path: str, text_column: str = "text", output:
     names, where = [*kept.columns, output], kept.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = [codec(vocab_path).encode(t) for t in batch.column(where).to_pylist()]
-            offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                coded = [codec(vocab_path).encode(t) for t in batch.column(where).to_pylist()]
+                offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
 
     return kept.mapInArrow(run, schema)
 
