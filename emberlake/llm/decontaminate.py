@@ -7,8 +7,8 @@ WAND, taken a block at a time, returns all items from the score ``RETRIEVE`` on.
 in five-word shingles, stand in the passage. The question is the text up to the last question mark, or all
 but the last sentence; the answer is the rest; an item of one sentence is both.
 
-Windows are first bounded from above: words of little impact that could not add up to half the threshold in any window are
-left out, and a window whose other words stay below the rest is skipped. The bound never drops a hit.
+All windows of a text are bounded at once, by the sum of their words' largest impacts and then by that sum in each block;
+only blocks that reach the threshold are read. The bounds never drop a hit.
 
 The index of the items goes to the tasks. Items are dealt into shards of at most ``SHARD_CHARACTERS`` characters, so it has
 a fixed size; more shards mean further passes over the documents. Word statistics are those of all items.
@@ -35,6 +35,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 SHARD_CHARACTERS = 8_000_000
 _BLOCK = 8
+_WINDOWS = 256  # bounded together
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 
@@ -81,36 +82,43 @@ class Index:
                     lists.append([])
                 lists[term].append((number, impact / least))
         # Per word the postings by block: which blocks it is in, its largest impact there, and the impacts themselves.
-        self.blocks, self.block_most, self.postings = [], [], []
+        blocks, block_most, self.postings = [], [], []
         for postings in lists:
             inside: dict[int, list[tuple[int, float]]] = {}
             for number, impact in postings:
                 inside.setdefault(number // _BLOCK, []).append((number, impact))
             self.postings.append(inside)
-            self.blocks.append(np.array(list(inside), dtype=np.int64))
-            self.block_most.append(np.array([max(i for _, i in x) for x in inside.values()]))
-        self.most = np.array([m.max() for m in self.block_most] + [0.0])  # the last stands for unknown words
-        # Words of least impact that together stay below half the threshold never decide alone.
-        order = np.argsort(self.most[:-1], kind="stable")
-        slight = order[np.cumsum(self.most[order]) < RETRIEVE / 2]
-        self.weighty = self.most.copy()
-        self.weighty[slight] = 0.0
-
-    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
+            blocks.append(list(inside))
+            block_most.append([max(i for _, i in x) for x in inside.values()])
+        # The same end to end, with where each word begins.
+        self.offset = np.cumsum([0, *map(len, blocks)])
+        self.block = np.array([b for x in blocks for b in x], dtype=np.int64)
+        self.block_most = np.array([m for x in block_most for m in x])
+        self.most = np.array([*map(max, block_most), 0.0])  # the last stands for unknown words
+
+    def bounds(self, windows: np.ndarray, terms: np.ndarray, n_windows: int) -> np.ndarray:
+        """For each window and block the sum of the largest impacts of the window's ``terms`` in the block."""
+        n_blocks = -(-len(self.items) // _BLOCK)
+        begin = self.offset[terms]
+        size = self.offset[terms + 1] - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(windows, size) * n_blocks + self.block[at]
+        return np.bincount(cell, weights=self.block_most[at], minlength=n_windows * n_blocks).reshape(n_windows, n_blocks)
+
+    def retrieve(self, terms: list[int], blocks: list[int] | None = None) -> list[tuple[int, float]]:
         """All items that reach ``RETRIEVE`` with the distinct ``terms``.
 
-        The sum of the words' largest impacts in a block bounds its items' scores; blocks below the threshold are skipped.
-        In the others the words come in order of their impact, and no item is taken up once those to come could not lift
-        it over the threshold.
+        Only ``blocks`` whose bound reaches the threshold are read. There the words come in order of their impact, and no
+        item is taken up once those to come could not lift it over the threshold.
         """
-        if not terms:
-            return []
-        bounds = np.bincount(np.concatenate([self.blocks[t] for t in terms]), weights=np.concatenate([self.block_most[t] for t in terms]))
+        if blocks is None:
+            bound = self.bounds(np.zeros(len(terms), dtype=np.int64), np.asarray(terms, dtype=np.int64), 1)[0]
+            blocks = np.flatnonzero(bound >= RETRIEVE - 1e-9).tolist()
         found: list[tuple[int, float]] = []
-        for block in np.flatnonzero(bounds >= RETRIEVE - 1e-9).tolist():
-            rest = float(bounds[block])
+        for block in blocks:
             scores: dict[int, float] = {}
             inside = sorted(((max(i for _, i in self.postings[t][block]), t) for t in terms if block in self.postings[t]), reverse=True)
+            rest = sum(most for most, _ in inside)
             for most, term in inside:
                 for number, impact in self.postings[term][block]:
                     if number in scores or rest >= RETRIEVE - 1e-9:
@@ -123,33 +131,37 @@ class Index:
 
     def hits(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
         """``(item_id, first word, score, question overlap, answer overlap)``: the best passage for each item found."""
-        tokens = words(text)
-        unknown = len(self.vocabulary)
+        tokens, reach, n_terms = words(text), self.longest, len(self.vocabulary)
         get = self.vocabulary.get
-        ids = np.array([get(w, unknown) for w in tokens], dtype=np.int64)
+        ids = np.array([get(w, n_terms) for w in tokens], dtype=np.int64)
         best: dict[int, tuple[int, int, float, float, float]] = {}
-        if not self.longest or not len(ids):
+        if not reach or not len(ids):
             return []
-        reach = np.r_[0.0, np.cumsum(self.weighty[ids])]
-        starts = np.arange(0, max(1, len(ids) - self.longest), self.longest)
-        ends = np.minimum(starts + 2 * self.longest, len(ids))
-        for start, stop in zip(starts.tolist(), ends.tolist()):
-            if reach[stop] - reach[start] < RETRIEVE / 2 - 1e-9:
-                continue
-            terms = np.unique(ids[start:stop])
-            terms = terms[terms < unknown]
-            if self.most[terms].sum() < RETRIEVE - 1e-9:
-                continue
-            passage = None
-            for number, score in self.retrieve(terms.tolist()):
-                passage = passage or {n: _shingles(tokens[start:stop], n) for n in range(1, SHINGLE + 1)}
-                overlaps = []
-                for part in self.parts[number]:
-                    size = len(next(iter(part), ()))
-                    overlaps.append(len(part & passage[size]) / len(part) if size else 0.0)
-                item_id = self.items[number][0]
-                if min(overlaps) >= OVERLAP and (number not in best or score > best[number][2]):
-                    best[number] = (item_id, start, score, *overlaps)
+        n_windows = max(1, -(-(len(ids) - reach) // reach))
+        for first in range(0, n_windows, _WINDOWS):
+            many = min(_WINDOWS, n_windows - first)
+            # Window w starts at word w * reach and is twice as long: each word is in its own window and the one before.
+            own = ids[first * reach : (first + many + 1) * reach]
+            known = np.flatnonzero(own < n_terms)
+            window = np.concatenate([known // reach, known // reach - 1])
+            keys = (window * n_terms + np.concatenate([own[known]] * 2))[(window >= 0) & (window < many)]
+            windows, terms = np.divmod(np.unique(keys), n_terms)
+            enough = np.bincount(windows, weights=self.most[terms], minlength=many) >= RETRIEVE - 1e-9
+            windows, terms = windows[enough[windows]], terms[enough[windows]]
+            near = self.bounds(windows, terms, many) >= RETRIEVE - 1e-9
+            for w in np.flatnonzero(near.any(axis=1)).tolist():
+                start = (first + w) * reach
+                passage = None
+                lo, hi = np.searchsorted(windows, [w, w + 1])
+                for number, score in self.retrieve(terms[lo:hi].tolist(), np.flatnonzero(near[w]).tolist()):
+                    passage = passage or {n: _shingles(tokens[start : start + 2 * reach], n) for n in range(1, SHINGLE + 1)}
+                    overlaps = []
+                    for part in self.parts[number]:
+                        size = len(next(iter(part), ()))
+                        overlaps.append(len(part & passage[size]) / len(part) if size else 0.0)
+                    item_id = self.items[number][0]
+                    if min(overlaps) >= OVERLAP and (number not in best or score > best[number][2]):
+                        best[number] = (item_id, start, score, *overlaps)
         return list(best.values())
 
 
