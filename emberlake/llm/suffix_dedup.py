@@ -93,8 +93,9 @@ class Block:
     """The documents of a block, and the runs of neighbouring strings with one anchor, in order of their places."""
 
     def __init__(self, rows: pa.Table) -> None:
-        self.ids = rows.column("doc_id").to_numpy()
-        texts = [t.as_py() or b"" for t in rows.column("text").cast(pa.large_binary())]
+        # In one order at every reading, as exchanges deliver rows in any order and the runs are numbered.
+        found = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()))
+        self.ids, texts = np.array([i for i, _ in found], dtype=np.int64), [t for _, t in found]
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes

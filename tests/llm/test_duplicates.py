@@ -66,6 +66,17 @@ class TestRepeatedStrings:
         rows = [(2, long), (1, long[1000:1100]), (3, "x" + long[200_000:200_050] + "y"), (4, "\0" * 200), (5, "\0" * 70)]
         assert self.found(documents(spark, rows)) == self.brute(rows)
 
+    def test_rows_in_any_order_give_the_same_runs(self):
+        import pyarrow as pa
+
+        draw = random.Random(6)
+        rows = [(i, "".join(draw.choice("abcdef ") for _ in range(30_000)).encode()) for i in range(50)]
+        blocks = []
+        for order in (rows, rows[::-1], draw.sample(rows, len(rows))):
+            blocks.append(suffix_dedup.Block(pa.table({"doc_id": [i for i, _ in order], "text": pa.array([t for _, t in order], pa.binary())})))
+        for block in blocks[1:]:
+            assert (block.hash == blocks[0].hash).all() and (block.whole == blocks[0].whole).all()
+
     def test_given_table(self, spark):
         docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
         rows = [(r.doc_id, r.text) for r in docs.collect()]
