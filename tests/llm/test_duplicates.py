@@ -7,7 +7,7 @@ from importlib.util import find_spec
 import numpy as np
 import pytest
 
-from emberlake.llm import line_dedup, simhash, suffix_dedup
+from emberlake.llm import line_dedup, near_copies, simhash, suffix_dedup
 from emberlake.llm.common import connected_components
 from emberlake.llm.queries import QUERIES, SQL
 from tests.compare import connect, difference
@@ -165,6 +165,63 @@ class TestNearDuplicates:
         assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+class TestNearCopies:
+    """The near-duplicate stage: links are Jaccard similarities of five-word shingles of at least 0.8."""
+
+    def brute(self, rows):
+        sets = {}
+        for i, t in rows:
+            words = (t or "").lower().split()
+            sets.setdefault(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset(), set()).add(i)
+        keys = sorted(sets, key=lambda s: min(sets[s]))
+        root = {s: s for s in keys}
+
+        def find(s):
+            while root[s] is not s:
+                s = root[s]
+            return s
+
+        for k, s in enumerate(keys):
+            for o in keys[:k]:
+                if 5 * len(s & o) >= 4 * len(s | o):
+                    root[max(find(s), find(o), key=lambda x: min(sets[x]))] = min(find(s), find(o), key=lambda x: min(sets[x]))
+        return {(i, min(sets[find(s)])) for s in keys for i in sets[s]}
+
+    def found(self, docs):
+        return {(r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()}
+
+    def test_against_brute_force(self, spark, monkeypatch):
+        draw = random.Random(8)
+        base = [[f"w{draw.randint(0, 5000)}" for _ in range(draw.randint(1, 300))] for _ in range(12)]
+        passage = [f"p{k}" for k in range(60)]
+        rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one two three")]
+        for i in range(6, 160):
+            words = list(draw.choice(base))
+            for _ in range(draw.choice([0, 1, 2, 4, 6])):
+                words[draw.randrange(len(words))] = f"x{draw.randint(0, 9)}"
+            rows.append((i, " ".join(words + (passage if draw.random() < 0.3 else []))))
+        draw.shuffle(rows)
+        docs = documents(spark, rows)
+        assert len({c for _, c in self.brute(rows)}) < len(rows) - 20
+        assert self.found(docs) == self.brute(rows)
+        monkeypatch.setattr(near_copies, "MAX_LIST", 7)
+        monkeypatch.setattr(near_copies, "_FREQUENT", 3)
+        assert self.found(docs) == self.brute(rows)
+        assert near_copies.near_copies(documents(spark, [])).count() == 0
+
+    @pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+    def test_the_stage_removes_what_four_bits_miss_and_keeps_what_is_below(self, spark):
+        import corpus_pipeline
+
+        words = [f"w{k}" for k in range(100)]
+        edited = [w + "x" if k in (30, 70) else w for k, w in enumerate(words)]  # 86 of 106 shingles shared: 0.81
+        further = [w + "y" if k in (20, 45, 80) else w for k, w in enumerate(words)]  # 81 of 111: 0.73
+        rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(further))]
+        assert (simhash.fingerprint_of(rows[0][1]) ^ simhash.fingerprint_of(rows[1][1])).bit_count() > 4
+        kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), FOLDER)
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
