@@ -139,6 +139,21 @@ class TestPages:
         rows = {r.page_id: r.text for r in html_text.extract(pages).collect()}
         assert rows == {1: "", 2: "Hello there, world."}
 
+    @pytest.mark.parametrize("head, tail", [
+        ('<html><body class="no-sidebar"><div>', "</div></body></html>"), ('<article class="post comments-open">', "</article>"),
+        ('<main role="search">', "</main>"), ('<div class="content header-fixed">', "</div>"), ('<html class="cookie-ok"><body><div id="share">', "</div></body>"),
+    ])
+    def test_marker_words_do_not_take_the_article(self, head, tail):
+        page = f'{head}<h1><a href="x">A linked title</a></h1><p>First, a text. It goes on, and on.</p><p>Second, a text. It ends here.</p>{tail}'
+        assert html_text.main_text(page) == "A linked title\nFirst, a text. It goes on, and on.\nSecond, a text. It ends here."
+
+    def test_parts_inside_the_article_stay(self):
+        page = """<body><article><h2 id="related-work">Related</h2><div><p>First, a long text. It goes on, and on, and on, as texts do.</p>
+        <p>Second, a long text. It goes on, and on, and on.</p></div><figure><figcaption>A caption.</figcaption></figure><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in it.</p>
+        <ul><li><a href="x">An item, linked</a></li></ul></article><div class="related"><p>Another one, short.</p></div></body>"""
+        text = html_text.main_text(page).split("\n")
+        assert text[0] == "Related" and text[3:] == ["A caption.", "With x=1 in it.", "An item, linked"]
+
     def test_all_articles(self, spark):
         from html import unescape
         import re
