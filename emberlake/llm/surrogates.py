@@ -50,7 +50,6 @@ _SOUNDS = {
 _GENDER_OF = {w: g for g, words in (*_TITLES.items(), *_GIVEN.items()) for w in words}
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][\w'’]*[^\W\d_]"
 _NAMES = frozenset(_GENDER_OF)
-_CALLED = frozenset([*_NAMES, *(f"{w}." for words in _TITLES.values() for w in words)])
 _TITLE = "|".join(w for words in _TITLES.values() for w in words)
 _FIRST = "|".join(w for words in _GIVEN.values() for w in words)
 
@@ -66,7 +65,7 @@ _NUMBERS = {
 }
 _PERSON = re.compile(rf"\b(?:(?P<title>{_TITLE})\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}|(?:{_FIRST}) {_CAPITAL})\b")
 _DIGIT = re.compile(r"\d")
-_OPENING = re.compile(r"[(\[{\"'«“‘„/-]")
+_POSSESSIVE = re.compile(r"['’]s$", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -82,10 +81,8 @@ def _script(word: str) -> str:
 
 
 def _named(text: str) -> bool:
-    """Whether a title or a given name may occur: a cheap test before the pattern for persons."""
-    if not _CALLED.isdisjoint(text.split()):
-        return True
-    return _OPENING.search(text) is not None and not _NAMES.isdisjoint(_LETTERS.findall(text))
+    """Whether a title or a given name occurs as a run of letters, without which the pattern for persons cannot match."""
+    return not _NAMES.isdisjoint(_LETTERS.findall(text))
 
 
 def _matches(text: str) -> Iterator[tuple[str, re.Match[str]]]:
@@ -107,12 +104,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, canonical form)`` of every mention, from left to right and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
-    for kind, m in _matches(text) if text else ():
-        start, end = m.span("value") if kind == "secret" else m.span()
+    surnames: set[str] = set()
+
+    def free(start: int, end: int) -> bool:
         at = bisect(taken, (start, end))
         if at and taken[at - 1][1] > start or at < len(taken) and taken[at][0] < end:
-            continue
+            return False
         taken.insert(at, (start, end))
+        return True
+
+    for kind, m in _matches(text) if text else ():
+        start, end = m.span("value") if kind == "secret" else m.span()
+        if not free(start, end):
+            continue
         value = text[start:end]
         if kind == "email":
             found.append((start, end, kind, value.lower()))
@@ -122,12 +126,20 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             words = words[1:] if m["title"] else words
             for i, (a, b, word) in enumerate(words):
                 given = i < len(words) - 1
+                if not given:
+                    word = _POSSESSIVE.sub("", word)
+                    b = a + len(word)
+                    surnames |= {word, word.upper(), word.capitalize()}
                 gender_here = _GENDER_OF.get(word, gender) if given else "n"
                 found.append((a, b, f"given-{gender_here}-{_script(word)}" if given else f"surname-{_script(word)}", word.lower()))
         elif kind in ("iban", "ssn", "card", "phone"):
             found.append((start, end, kind, re.sub(r"[^A-Z0-9]", "", value)))
         else:
             found.append((start, end, kind, value))
+    if surnames:  # alone, anywhere in the text, they refer to the same person
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames)))})(?!\w)", text):
+            if free(*m.span()):
+                found.append((*m.span(), f"surname-{_script(m[0])}", m[0].lower()))
     return sorted(found)
 
 

@@ -164,6 +164,21 @@ class TestPages:
             assert html_text.main_text(row.html) == "\n".join(b for b in blocks if b)
 
 
+class TestNamesInTexts:
+    @pytest.mark.parametrize("text", ["Author:Jane Smith", ">Jane Smith", "—John Doe", "a|Mr Jones", "x,Dr. Jones", "…Анна Каренина"])
+    def test_names_after_any_sign(self, text):
+        assert any(kind.startswith("surname") for _, _, kind, _ in surrogates.detect(text))
+
+    def test_a_surname_alone_is_replaced_alike(self, spark):
+        text = "Smith came. John Smith's car; SMITH again, Smithson and Smith. Blacksmith, smith@a.org."
+        found = surrogates.detect(text)
+        assert [text[a:b] for a, b, kind, c in found if (kind, c) == ("surname-latin", "smith")] == ["Smith", "Smith", "SMITH", "Smith"]
+        row = surrogates.pseudonymise(documents(spark, [(1, text)]), key="k").first()
+        words = row.text.replace("'s", "").replace(".", "").replace(",", "").split()
+        assert "Smith " not in row.text and "SMITH" not in row.text and "Smithson" in row.text and "Blacksmith" in row.text
+        assert words[0] == words[3] == words[9] and words[5] == words[0].upper() and row.n_replaced == 6
+
+
 class TestRules:
     def test_repeat_words(self, spark):
         def brute(text):
