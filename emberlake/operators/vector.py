@@ -135,7 +135,10 @@ def _ranked_blocks(
     )
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a[a["v"].map(lambda x: x is not None and len(x) == width)]
+        a = a[a["v"].notna()]
+        wrong = [n for n in map(len, a["v"]) if n != width]
+        if wrong:
+            raise ValueError(f"vectors of size {wrong[0]} among those of size {width}")
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         matrix, questions = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["w"].to_numpy()).astype(np.float64)

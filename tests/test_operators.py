@@ -188,6 +188,14 @@ def test_many_queries_agree_with_and_without_blocks(spark):
     assert rows(a, "query_id", "rank") == rows(b, "query_id", "rank")
 
 
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_many_queries_refuse_vectors_of_another_size_at_every_size(spark, most):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0, 3.0]), (3, None)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "q long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors of size 3 among those of size 2"):
+        vector.nearest_many(df, asked, 2, id_column="id", query_id="q", max_query_numbers=most).collect()
+
+
 def test_vectors_of_two_sizes_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>")
     with pytest.raises(ValueError):
