@@ -15,6 +15,7 @@ from emberlake.llm.line_dedup import OP8_SQL, op8_lines
 from emberlake.llm.simhash import op10_simhash
 from emberlake.llm.suffix_dedup import op1_suffix_dedup
 from emberlake.llm.surrogates import op2_surrogates
+from emberlake.llm.token_alignment import op11_alignment
 from emberlake.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 
 SQL: dict[str, str] = {
