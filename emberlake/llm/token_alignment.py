@@ -193,18 +193,18 @@ class Aligned:
             ids_b, times_b = np.unique(self.b[start_b[g] : start_b[g] + self.size_b[g]], return_counts=True)
             parts.append(((self.text_of_group[g] * width + ids_a[:, None] * width_b + ids_b).ravel(), np.outer(times_a, times_b).ravel()))
         links[large] = 0
-        bounds = np.searchsorted(np.cumsum(links), np.arange(0, int(links.sum()) + _SLICE_LINKS, _SLICE_LINKS))
-        for g, h in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            groups = np.arange(g, min(h + 1, len(links)) if h == bounds[-1] else h)
-            tokens = np.arange(start_a[groups[0]], start_a[groups[-1]] + self.size_a[groups[-1]]) if len(groups) else np.empty(0, dtype=np.int64)
+        slices = (np.cumsum(links) - links) // _SLICE_LINKS
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(slices)) + 1, [len(links)]]).tolist()
+        for g, h in zip(edges[:-1], edges[1:]) if len(links) else ():
+            tokens = np.arange(start_a[g], start_a[h - 1] + self.size_a[h - 1])
             tokens = tokens[links[self.group_a[tokens]] > 0]
             of = self.group_a[tokens]
             times = self.size_b[of]
             left = np.repeat(self.text_of_group[of] * width + self.a[tokens] * width_b, times)
             right = np.repeat(start_b[of] - (np.cumsum(times) - times), times) + np.arange(len(left))
             parts.append(np.unique(left + self.b[right], return_counts=True))
-        if len(parts) == 1:
-            return parts[0]
+        if len(parts) < 2:
+            return parts[0] if parts else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
