@@ -12,6 +12,7 @@ from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
 from emberlake.llm.html_text import op9_html
 from emberlake.llm.line_dedup import OP8_SQL, op8_lines
+from emberlake.llm.periodic_runs import op13_runs
 from emberlake.llm.simhash import op10_simhash
 from emberlake.llm.suffix_dedup import op1_suffix_dedup
 from emberlake.llm.surrogates import op2_surrogates
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op13_runs": op13_runs,
 }
 
 SQL: dict[str, str] = {
