@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm.bpe import op6_bpe
+from emberlake.llm.chat_format import OP12_SQL, op12_chat
 from emberlake.llm.decontaminate import op5_decontaminate
 from emberlake.llm.host_rules import OP3_SQL, op3_host_rules
 from emberlake.llm.language import op7_language
@@ -31,10 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_chat": op12_chat,
     "op13_runs": op13_runs,
 }
 
 SQL: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
     "op8_lines": OP8_SQL,
+    "op12_chat": OP12_SQL,
 }
