@@ -233,7 +233,7 @@ def _(spark, sf):
 # --- schema search -----------------------------------------------------------------------------------
 
 _SEARCH_SQL = f"""
-WITH a AS (SELECT * FROM {ANALYSED_SQL} x WHERE question_id LIKE 'c%'), d AS (SELECT * FROM {CONNECTIONS_SQL} x),
+WITH a AS (SELECT * FROM {ANALYSED_SQL} x), d AS (SELECT * FROM {CONNECTIONS_SQL} x),
 p AS (SELECT a.*, d.*, (emsn IS NULL AND mpan IS NULL AND mprn IS NULL AND uprn IS NULL AND len(postcodes) = 0 AND street IS NULL) AS bare FROM a JOIN d
   ON (a.emsn IS NULL OR list_contains(d.EMSN_, a.emsn)) AND (a.mpan IS NULL OR list_contains(d.MPAN_, a.mpan)) AND (a.mprn IS NULL OR list_contains(d.MPRN_, a.mprn))
   AND (a.uprn IS NULL OR list_contains(d.UPRN_, a.uprn)) AND (len(a.postcodes) = 0 OR len(list_filter(a.postcodes, lambda z: starts_with(upper(d.POSTCODE_[1]), z))) > 0)
@@ -251,8 +251,7 @@ for _f in ("EMSN", "MPAN", "MPRN", "UPRN", "POSTCODE", "ADDRESS"):
 
 
 def _searched(spark, sf):
-    own = _all_questions(spark, sf).where(F.col("question_id").startswith("c"))
-    return schema_search(own, connections(spark, sf), CONNECTIONS)
+    return schema_search(_all_questions(spark, sf), connections(spark, sf), CONNECTIONS)
 
 
 @query("txt18_schema_search", _SEARCH_SQL)

@@ -1,9 +1,7 @@
 """Schema-driven search: many questions against a document collection, without comparing all pairs.
 
-Every criterion becomes an equi-join key: an identifier value, a postcode prefix, or a word of the
-address. A question's criteria are joined to the documents that carry its key. A question with a
-single key only ever needs the first ``limit`` documents of that key, so keys are cut to that length
-before the join and a key that holds a third of all documents costs no more than any other.
+Every criterion becomes a lookup in a posting index: an identifier value, a postcode prefix, or the words of the address that
+contain the asked part. Questions with the same criteria share one search.
 """
 
 from __future__ import annotations
@@ -11,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.operators.combine import newest_per_key
 from emberlake.operators.questions import analyse, relevance
+from emberlake.plans.posting_index import PostingIndex, build_index, search_index
 from emberlake.session import stage
 from emberlake.spec import CollectionSpec
 
@@ -47,8 +45,8 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of_size(n) for n in (1, 2, 3)]))
 
 
-def question_terms(analysed: DataFrame, question_id: str) -> tuple[DataFrame, DataFrame]:
-    """``question_id, search`` per question, and ``search, criteria, criterion, kind, term`` per search.
+def with_terms(analysed: DataFrame) -> DataFrame:
+    """Add ``terms``, what a question looks for, and ``search``, its fingerprint.
 
     A search is a set of criteria that must all hold; questions with the same criteria share one.
     Postcodes are one criterion with several terms. Without any criterion the first number of the
@@ -66,80 +64,62 @@ def question_terms(analysed: DataFrame, question_id: str) -> tuple[DataFrame, Da
         F.array_compact(F.array(F.when(F.col("street").isNotNull(), term(F.lit("ADDRESS"), F.lit("ADDRESS"), F.col("street"))))),
         F.array_compact(F.array(F.when(none & F.col("number").isNotNull(), term(F.lit("UPRN"), F.lit("UPRN"), F.col("number"))))),
     )
-    asked = stage(analysed.select(F.col(question_id).alias("question_id"), F.array_sort(terms).alias("terms")).withColumn(
-        "search", F.sha2(F.to_json("terms"), 256)
-    ), "searches")
+    return analysed.withColumn("terms", F.array_sort(terms)).withColumn("search", F.sha2(F.to_json("terms"), 256))
+
+
+def search_terms(asked: DataFrame) -> DataFrame:
+    """``search, criteria, criterion, kind, term`` per search of questions ``with_terms``."""
     searches = asked.where(F.size("terms") > 0).groupBy("search").agg(F.any_value("terms").alias("terms"))
     criteria = F.size(F.array_distinct(F.transform("terms", lambda t: t["criterion"])))
-    return asked.select("question_id", "search", (F.size("terms") == 0).alias("is_open")), searches.select(
-        "search", criteria.alias("criteria"), F.explode("terms").alias("t")
-    ).select("search", "criteria", "t.*")
+    return searches.select("search", criteria.alias("criteria"), F.explode("terms").alias("t")).select("search", "criteria", "t.*")
 
 
-def _with_address_words(terms: DataFrame, keys: DataFrame) -> DataFrame:
+def _with_address_words(terms: DataFrame, index: PostingIndex) -> DataFrame:
     """Replace each asked address part by the address words that contain it.
 
     An asked part is a piece of one word, so it is matched against the vocabulary of address words,
     by a shared piece of up to three letters, and never against the addresses.
     """
-    asked = terms.where("kind = 'ADDRESS'").select("term").distinct()
-    words = keys.where("kind = 'ADDRESS'").select(F.col("term").alias("word")).distinct()
-    by_piece = words.select("word", F.explode(_grams(F.col("word"))).alias("piece"))
-    pairs = (
-        asked.withColumn("piece", F.left(F.col("term"), F.lit(3)))
-        .join(by_piece, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word").distinct()
-    )
-    address = terms.where("kind = 'ADDRESS'").join(pairs, "term").select(
-        "search", "criteria", "criterion", "kind", F.col("word").alias("term")
-    )
+    asked = terms.where("kind = 'ADDRESS'").select("term").distinct().withColumn("piece", F.left(F.col("term"), F.lit(3)))
+    words = index.terms.where("kind = 'ADDRESS'").select(F.col("term").alias("word"), F.explode(_grams(F.col("term"))).alias("piece"))
+    pairs = asked.join(words, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word").distinct()
+    address = terms.where("kind = 'ADDRESS'").join(pairs, "term", "left").select("search", "criteria", "criterion", "kind", F.coalesce("word", "term").alias("term"))
     return terms.where("kind <> 'ADDRESS'").unionByName(address)
 
 
+def collection_index(documents: DataFrame, spec: CollectionSpec, key: str = "_id", path: str | None = None) -> PostingIndex:
+    """The posting index of a collection, stored below ``path`` or a new folder of the shared one."""
+    return build_index(document_keys(documents, key, spec), documents.count(), path)
+
+
 def find_documents(
-    analysed: DataFrame, documents: DataFrame, spec: CollectionSpec, question_id: str, key: str, limit: int = 20,
-    index: DataFrame | None = None,
+    asked: DataFrame, documents: DataFrame, spec: CollectionSpec, question_id: str, key: str, limit: int = 20,
+    index: PostingIndex | None = None,
 ) -> DataFrame:
-    """``question_id, doc``: up to ``limit`` documents per question, by document key.
+    """``question_id, doc``: up to ``limit`` documents per question ``with_terms``, by document key.
 
-    ``index`` is a stored ``document_keys`` table; without one it is built for this call.
+    ``index`` is a stored index of ``documents``; without one it is built for this call.
     """
-    keys = stage(document_keys(documents, key, spec), "keys") if index is None else index
-    asked, terms = question_terms(analysed, question_id)
-    lookups = stage(_with_address_words(terms, keys), "lookups")
-
-    first = newest_per_key(keys, ["kind", "term"], [F.col("doc")], limit)
-    single = lookups.where("criteria = 1").join(first, ["kind", "term"]).select("search", "doc").distinct()
-
-    # Several criteria: the one with the fewest documents gives candidates, the others test them.
-    several = lookups.where("criteria > 1")
-    frequency = keys.join(several.select("kind", "term").distinct(), ["kind", "term"], "left_semi").groupBy("kind", "term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    leading = several.join(frequency, ["kind", "term"]).groupBy("search", "criterion").agg(F.sum("n").alias("n")).groupBy("search").agg(
-        F.min(F.struct("n", "criterion")).alias("least")
-    ).select("search", F.col("least.criterion").alias("leading"))
-    marked = several.join(leading, "search")
-    candidates = marked.where("criterion = leading").join(keys, ["kind", "term"]).select("search", "doc").distinct()
-    tests = marked.where("criterion <> leading").join(candidates, "search")
-    both = tests.join(keys, ["kind", "term", "doc"], "left_semi").select("search", "criteria", "criterion", "doc").distinct().groupBy(
-        "search", "doc"
-    ).agg(F.count(F.lit(1)).alias("met"), F.any_value("criteria").alias("criteria")).where("met = criteria - 1").select("search", "doc")
-
-    found = newest_per_key(single.unionByName(both), ["search"], [F.col("doc")], limit)
-    answered = asked.where("NOT is_open").join(found, "search").select("question_id", "doc")
-
-    # No criterion and no number: the first documents of the collection, at most ``limit`` rows.
-    start = documents.select(F.col(key).alias("doc")).orderBy("doc").limit(limit).withColumn("is_open", F.lit(True))
-    general = asked.where("is_open").join(F.broadcast(start), "is_open").select("question_id", "doc")
+    index = index or collection_index(documents, spec, key)
+    asked = asked.select(F.col(question_id).alias("question_id"), "terms", "search")
+    found = search_index(index, stage(_with_address_words(search_terms(asked), index), "lookups"), limit)
+    answered = asked.where(F.size("terms") > 0).join(found, "search").select("question_id", "doc")
+
+    # No criterion and no number: the first ``limit`` documents of the collection.
+    first = [row["doc"] for row in documents.select(F.col(key).alias("doc")).orderBy("doc").limit(limit).collect()]
+    kind = documents.schema[key].dataType
+    general = asked.where(F.size("terms") == 0).select("question_id", F.explode(F.array(*[F.lit(d).cast(kind) for d in first]).cast(f"array<{kind.simpleString()}>")).alias("doc"))
     return answered.unionByName(general)
 
 
 def schema_search(
     questions: DataFrame, documents: DataFrame, spec: CollectionSpec, *, question: str = "question", question_id: str = "question_id",
-    key: str = "_id", limit: int = 20, index: DataFrame | None = None,
+    key: str = "_id", limit: int = 20, index: PostingIndex | None = None,
 ) -> DataFrame:
     """Documents found for each question, with intent, confidence and relevance."""
-    analysed = stage(analyse(questions, spec, question), "analysed")
+    # Questions are few beside the documents and dear to analyse: all cores share them.
+    shared = questions.repartition(questions.sparkSession.sparkContext.defaultParallelism)
+    analysed = stage(with_terms(analyse(shared, spec, question)), "analysed")
     pairs = find_documents(analysed, documents, spec, question_id, key, limit, index)
     fields = [c for c in spec.essential_columns if c in documents.columns and c not in spec.exclude_columns]
     kinds = {f.name: f.dataType.typeName() for f in documents.schema}

@@ -359,3 +359,33 @@ def test_text_search_score(spark):
     df = spark.createDataFrame([(1, "Ring ring, data."), (2, "ringing"), (3, "data")], "id long, text string")
     got = {r.id: r.score for r in vector.text_search(df, "text", "the ring data", id_column="id").collect()}
     assert got == {1: round(2 * math.log(4) + math.log(2.5), 6), 3: round(math.log(2.5), 6)}
+
+
+def test_stored_index_gives_the_same_and_no_nested_loops(spark, tmp_path):
+    from emberlake.plans import posting_index, schema_search as search
+    from tests.conftest import plan_of
+
+    documents = spark.range(300).select(
+        F.col("id").alias("_id"), F.array(F.col("id").cast("string")).alias("UPRN"), F.array(F.concat(F.lit("E"), F.col("id") % 50)).alias("EMSN"), F.array().cast("array<string>").alias("MPAN"),
+        F.lit(None).cast("array<string>").alias("MPRN"), F.array(F.lit("SE23 2UN")).alias("POSTCODE"), F.array(F.when(F.col("id") % 2 == 0, "OAK ROAD").otherwise("ELM DRIVE")).alias("ADDRESS"))
+    asked = spark.createDataFrame([(1, "EMSN E7 in SE23"), (2, "EMSN E8 on oak road in SE23"), (3, "SE23"), (4, "EMSN E999 in SE23"), (5, "hello")], "question_id long, question string")
+    index = posting_index.build_index(search.document_keys(documents, "_id", CONNECTIONS), 300, str(tmp_path / "index"), docs_per_block=40)
+    assert index.postings.select(F.max(F.size("docs"))).first()[0] < 80  # SE23 is carried by all 300
+    assert index.terms.where("kind = 'POSTCODE' and term = 'SE23'").first()["n"] == 300
+    index = posting_index.load_index(spark, str(tmp_path / "index"))
+    found = search.schema_search(asked, documents, CONNECTIONS, index=index)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.question_id, []).append(r.doc)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [7, 57, 107, 157, 207, 257], 2: [8, 58, 108, 158, 208, 258], 3: list(range(20)), 5: list(range(20))}
+
+
+def test_index_of_an_empty_collection(spark):
+    from emberlake.plans import posting_index
+
+    keys = spark.createDataFrame([], "kind string, term string, doc string")
+    index = posting_index.build_index(keys, 0)
+    lookups = spark.createDataFrame([("s", 1, "A", "A", "x")], "search string, criteria int, criterion string, kind string, term string")
+    assert posting_index.search_index(index, lookups, 5).count() == 0
