@@ -8,6 +8,7 @@ from emberlake.catalog.base import query, rounded
 from emberlake.operators import points as PO
 from emberlake.plans.stand_ins import query_log
 from emberlake.session import fresh_path
+from emberlake.sources import published as PB
 from emberlake.sources import readers as R
 from emberlake.sources import writers as W
 from emberlake.sources.readers import table
@@ -129,9 +130,27 @@ def _(spark, sf):
     new = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("value"), F.lit("new").alias("origin"),
                                               F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     path = fresh_path(spark, "points")
-    W.overwrite(old, path)
-    version = W.upsert_collection(spark, path, new, "id", [F.desc(c) for c in ("at", "line", "a", "b")])
-    return rounded(spark.read.parquet(version).select("id", "value", "origin"))
+    PB.create_published(spark, path, old.schema, "id", buckets=8)
+    PB.upsert_published(path, old)
+    PB.upsert_published(path, new, [F.desc(c) for c in ("at", "line", "a", "b")])
+    return rounded(PB.read_published(spark, path).select("id", "value", "origin"))
+
+
+@query("snk04_partial_upsert", """
+SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'new' ELSE 'old' END AS origin, count(*) OVER () AS rows FROM orders""")
+def _(spark, sf):
+    """A second batch replaces some orders and is sent twice; a reader of the old version still sees the old rows."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    path = fresh_path(spark, "points")
+    PB.create_published(spark, path, orders.select("id", F.lit("old").alias("origin")).schema, "id", buckets=8)
+    PB.upsert_published(path, orders.select("id", F.lit("old").alias("origin")), source="orders", batch=0)
+    before = PB.read_published(spark, path)
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select("id", F.lit("new").alias("origin"))
+    versions = {PB.upsert_published(path, urgent, source="orders", batch=1) for _ in range(2)}
+    if len(versions) > 1:
+        raise RuntimeError("a repeated batch made a version of its own")
+    rows = before.where("origin = 'old'").agg(F.count("*")).scalar()
+    return PB.read_published(spark, path).select("id", "origin", rows.alias("rows"))
 
 
 @query("snk05_create_collection", "SELECT 64 AS vector_size, count(*) AS rows FROM embeddings")

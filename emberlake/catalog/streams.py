@@ -10,14 +10,35 @@ from emberlake.operators.project import composite_id, labelled_text
 from emberlake.operators.vector import embed_text
 from emberlake.plans.stand_ins import QUERY_LOG_SQL, query_log_of
 from emberlake.session import fresh_path
+from emberlake.sources.published import read_published
 from emberlake.sources.readers import table
 from emberlake.streaming import jobs as J
 
 LOG = f"{QUERY_LOG_SQL} q"
 
 
-def _log_stream(spark, sf):
-    return query_log_of(J.table_stream(spark, sf, "events", table(spark, sf, "events").schema))
+FILES = 4
+
+
+def _landed(spark, sf, name: str, by: str, heartbeat: dict | None = None):
+    """A table as ``FILES`` files that came in one after the other, cut at equal steps of ``by``; read as one batch each.
+
+    ``heartbeat`` adds a last file with a single row of these values, null elsewhere.
+    """
+    rows, path = table(spark, sf, name), fresh_path(spark, "landed")
+    at = F.col(by).cast("timestamp").cast("double") if dict(rows.dtypes)[by].startswith("timestamp") else F.col(by).cast("double")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    step = F.least(F.floor((at - low) / max((high - low) / FILES, 1e-9)), F.lit(FILES - 1))
+    for k in range(FILES):
+        rows.where(step == k).coalesce(1).write.parquet(f"{path}/load={k}.parquet")
+    if heartbeat:
+        last = rows.agg(*[F.coalesce(v, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c, v in heartbeat.items()])
+        last.select(*[F.col(c) if c in heartbeat else F.lit(None).cast(f.dataType).alias(c) for c, f in zip(rows.columns, rows.schema)]).write.parquet(f"{path}/load={FILES}.parquet")
+    return J.table_stream(spark, path, "load=*", rows.schema, files_per_batch=1)
+
+
+def _log_stream(spark, sf, heartbeat: dict | None = None):
+    return query_log_of(_landed(spark, sf, "events", "ts", heartbeat))
 
 
 def _windows(df):
@@ -34,11 +55,31 @@ _TUMBLING = f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS
   {_stats(LOG)} GROUP BY 1, 2"""
 
 
+def _closed_windows(spark, sf, *window: str):
+    """Windows in append mode; a row a day after the last one closes them all."""
+    path = fresh_path(spark, "windows")
+    stream = _log_stream(spark, sf, {"ts": F.max("ts") + F.expr("INTERVAL 1 DAY")})
+    J.append_closed(J.windowed_performance(stream, *window), f"{path}/result", f"{path}/checkpoint")
+    return _windows(spark.read.parquet(f"{path}/result"))
+
+
 @query("str02_windows_on_stream", _TUMBLING)
 def _(spark, sf):
+    return _closed_windows(spark, sf)
+
+
+@query("str02_stream_batches", """
+SELECT k AS batch, (SELECT count(*) FROM (SELECT least(floor((epoch(ts) - lo) / ((hi - lo) / 4)), 3) AS f FROM events, (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events)) WHERE f = k) AS rows, 0::BIGINT AS late
+FROM (SELECT unnest(range(4)) AS k)""")
+def _(spark, sf):
+    """Rows and late rows of each batch with data, as the stream reports them; the state is checked to have been given up."""
     path = fresh_path(spark, "windows")
-    J.replace_with(J.windowed_performance(_log_stream(spark, sf)), f"{path}/result", f"{path}/checkpoint")
-    return _windows(J.newest_result(spark, f"{path}/result"))
+    stream = _log_stream(spark, sf, {"ts": F.max("ts") + F.expr("INTERVAL 1 DAY")})
+    batches = J.append_closed(J.windowed_performance(stream), f"{path}/result", f"{path}/checkpoint")
+    if batches[-1]["state"] > 1:
+        raise RuntimeError(f"windows are left in state: {batches}")
+    rows = [(b["batch"], b["rows"], b["late"]) for b in batches if b["rows"] and b["batch"] < FILES]  # one row a batch
+    return spark.createDataFrame(rows, "batch long, rows long, late long")
 
 
 @query("str02_windows_on_table", _TUMBLING)
@@ -71,8 +112,8 @@ def _(spark, sf):
 @query("str04_counters", f"SELECT event_type, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM {LOG} GROUP BY 1")
 def _(spark, sf):
     path = fresh_path(spark, "counters")
-    J.replace_with(J.counters(_log_stream(spark, sf), ["event_type"]), f"{path}/result", f"{path}/checkpoint")
-    return J.newest_result(spark, f"{path}/result")
+    J.merge_changes(J.counters(_log_stream(spark, sf), ["event_type"]), f"{path}/result", ["event_type"], f"{path}/checkpoint")
+    return read_published(spark, f"{path}/result").drop("key")
 
 
 @query("str06_usage", f"""
@@ -80,29 +121,42 @@ SELECT collection_name, intent AS answer_intent, count(*) + 1 AS usage_count, st
 def _(spark, sf):
     path = fresh_path(spark, "usage")
     learning = _log_stream(spark, sf).select("collection_name", F.col("intent").alias("detected_intent"), F.col("ts").alias("created_at"))
-    J.replace_with(J.usage_stream(learning), f"{path}/result", f"{path}/checkpoint")
-    uses = J.newest_result(spark, f"{path}/result")
+    J.merge_changes(J.usage_stream(learning), f"{path}/result", ["collection_name", "answer_intent"], f"{path}/checkpoint")
+    uses = read_published(spark, f"{path}/result").drop("key")
     patterns = uses.select("collection_name", "answer_intent", F.lit(1).cast("long").alias("usage_count"), F.lit(None).cast("timestamp").alias("updated_at"))
     return rounded(J.apply_usage(patterns, uses))
 
 
+def _stopped_load(spark, sf, path: str, **options) -> str:
+    """The orders in batches: a first run is stopped after two, a second goes on, a third finds all done."""
+    source = _landed(spark, sf, "orders", "o_orderkey")
+    for most in (2, None, None):
+        target = J.build_index(spark, source, f"{path}/orders", f"{path}/progress", "orders", id_column="o_orderkey", buckets=8, max_batches=most, **options)
+    return target
+
+
 @query("inc01_resumable_load", "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def _(spark, sf):
     path = fresh_path(spark, "index")
-    for _ in range(2):  # the second run finds a finished collection and does nothing
-        source = J.table_stream(spark, sf, "orders", table(spark, sf, "orders").schema)
-        target = J.build_index(spark, source, f"{path}/orders", f"{path}/progress", "orders", id_column="o_orderkey")
-    return rounded(J.read_index(spark, target, "o_orderkey").select("o_orderkey", "o_totalprice"), 2)
+    return rounded(read_published(spark, _stopped_load(spark, sf, path)).select("o_orderkey", "o_totalprice"), 2)
+
+
+@query("inc01_batches", "SELECT unnest([0, 1, 2, 3, -1])::BIGINT AS offset, 1::BIGINT AS times")
+def _(spark, sf):
+    """The offsets that the stopped load has saved: each batch once, then the end mark."""
+    path = fresh_path(spark, "index")
+    _stopped_load(spark, sf, path)
+    return spark.read.schema(J.PROGRESS_SCHEMA).parquet(f"{path}/progress").groupBy("offset").agg(F.count("*").alias("times"))
 
 
 @query("inc02_progress", "SELECT 'orders' AS collection, -1 AS last, count(*) AS rows FROM orders")
 def _(spark, sf):
     path = fresh_path(spark, "index")
-    schema = table(spark, sf, "orders").schema
-    target = J.build_index(spark, J.table_stream(spark, sf, "orders", schema), f"{path}/orders", f"{path}/progress", "orders", id_column="o_orderkey")
+    target = _stopped_load(spark, sf, path)
     J.reset_progress(spark, f"{path}/progress", "orders")
-    target = J.build_index(spark, J.table_stream(spark, sf, "orders", schema), target, f"{path}/progress", "orders", id_column="o_orderkey", force=True)
-    rows = J.read_index(spark, target, "o_orderkey").agg(F.count(F.lit(1))).scalar()
+    source = _landed(spark, sf, "orders", "o_orderkey")
+    target = J.build_index(spark, source, target, f"{path}/progress", "orders", id_column="o_orderkey", buckets=8, force=True)
+    rows = read_published(spark, target).agg(F.count(F.lit(1))).scalar()
     return J.progress(spark, f"{path}/progress").select("collection", F.col("offset").alias("last"), rows.alias("rows"))
 
 
@@ -127,9 +181,12 @@ def _(spark, sf):
     return pairs.unionByName(I.training_pairs(table(spark, sf, "documents"), ("doc_id", "lang")))
 
 
-@query("inc05_chunked_build")
+@query("inc05_chunked_build", """
+SELECT DISTINCT sha256(concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id,
+  concat_ws(' | ', 'Property type: ' || p_type, 'Bedrooms: ' || p_size, 'Address: ' || p_name) AS text, 32::BIGINT AS vector_size, 1.0::DOUBLE AS vector_length
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
 def _(spark, sf):
-    """Read, join, describe, encode and store, batch by batch; ids are key hashes, unique across batches."""
+    """Read, join, describe, encode and merge, batch by batch; ids are key hashes, unique across batches. One run is stopped half-way."""
     path = fresh_path(spark, "build")
     parts = table(spark, sf, "part")
 
@@ -139,6 +196,8 @@ def _(spark, sf):
         described = labelled_text(named).withColumn("id", F.sha2(composite_id(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), 256))
         return embed_text(described.select("id", "text"), "text", 32, "vector")
 
-    source = J.table_stream(spark, sf, "lineitem", table(spark, sf, "lineitem").schema)
-    target = J.build_index(spark, source, f"{path}/points", f"{path}/progress", "lines", id_column="id", prepare=prepare)
-    return J.read_index(spark, target, "id").select("id", "text")
+    source = _landed(spark, sf, "lineitem", "l_orderkey")
+    for most in (2, None):
+        target = J.build_index(spark, source, f"{path}/points", f"{path}/progress", "lines", id_column="id", prepare=prepare, max_batches=most)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    return rounded(read_published(spark, target).select("id", "text", F.size("vector").alias("vector_size"), F.round(length, 3).alias("vector_length")))

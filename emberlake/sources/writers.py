@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.operators.points import table_fingerprint, upsert
+from emberlake.operators.points import table_fingerprint
 from emberlake.operators.vector import vector_size
-from emberlake.session import fresh_path
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -41,16 +40,6 @@ def create_collection(df: DataFrame, path: str, vector_column: str = "embedding"
     return size
 
 
-def upsert_collection(spark: SparkSession, path: str, new: DataFrame, id_column: str, order: Sequence = ()) -> str:
-    """Merge new points into a collection and return the path of the new version.
-
-    Parquet has no in-place merge: readers keep the old version until they switch to the new path.
-    """
-    version = fresh_path(spark, "collection")
-    overwrite(upsert(spark.read.parquet(path), new, id_column, order), version)
-    return version
-
-
 def audit_row(df: DataFrame, path: str, question: str, code: str, retry: bool = False) -> DataFrame:
     """Append one audit row about a result: time, question, code, rows, columns."""
     row = df.agg(F.count(F.lit(1)).alias("row_count")).select(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,7 @@ from emberlake.operators.combine import newest_per_key
 from emberlake.operators.learning import add_usage
 from emberlake.operators.logs import performance_aggregates, query_alerts, resource_alerts
 from emberlake.session import fresh_path
+from emberlake.sources.published import create_published, exists, upsert_published
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -39,23 +41,43 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return _run(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
 
 
-def replace_with(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``path`` at the newest complete result, one folder per batch; read it with ``newest_result``."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
+def append_closed(results: DataFrame, path: str, checkpoint: str) -> list[dict[str, int]]:
+    """Append each result of an event-time aggregation to Parquet once the watermark has passed it, and drop its state.
+
+    Returns per batch the number of rows read, of groups in state afterwards, and of late rows that were left out (late rows of
+    one task and group count once, as they are combined before they reach the state).
+    """
+    query = append_to(results, path, checkpoint)
+    return [
+        {"batch": p.batchId, "rows": p.numInputRows, "state": sum(s.numRowsTotal for s in p.stateOperators), "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators)}
+        for p in query.recentProgress
+    ]
 
-    return _run(stream.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
 
+def merge_changes(counted: DataFrame, root: str, keys: Sequence[str], checkpoint: str, buckets: int = 4) -> StreamingQuery:
+    """Keep a published collection at the newest value per key: each batch merges only the keys that it has changed.
 
-def newest_result(spark: SparkSession, path: str) -> DataFrame:
-    batches = spark.read.parquet(path)
-    return batches.where(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")
+    The collection has the columns of ``counted`` and ``key``, the keys as one text. A repeated batch is merged once.
+    """
+    spark = counted.sparkSession
+    keyed = counted.withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    if not exists(spark, root):
+        create_published(spark, root, keyed.schema, "key", buckets)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        upsert_published(root, batch, source=checkpoint, batch=number)
+
+    return _run(keyed.writeStream.outputMode("update").foreachBatch(merge), checkpoint)
 
 
 # --- summaries, alerts, counters --------------------------------------------------------------------
 
 def windowed_performance(events: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Query metrics per window. Works on a stream, where rows later than ``delay`` are dropped, and on a table."""
+    """Query metrics per window. Works on a stream, where rows later than ``delay`` are dropped, and on a table.
+
+    On a stream, written by ``append_closed``, a window is given out once the newest row is ``delay`` past its end; a row that only
+    carries a later time (no duration) moves the clock on when a source falls silent.
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if timed.isStreaming:
         timed = timed.withWatermark("ts", delay)
@@ -118,42 +140,54 @@ def progress(spark: SparkSession, path: str) -> DataFrame:
 def current_offset(spark: SparkSession, path: str, collection: str) -> int | None:
     try:
         row = progress(spark, path).where(F.col("collection") == collection).first()
-    except Exception as error:  # no progress written yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # no progress written yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     return None if row is None else row.offset
 
 
+class _Stopped(Exception):
+    """A load has done as many batches as it was allowed to."""
+
+
 def build_index(
     spark: SparkSession, source: DataFrame, target: str, progress_path: str, collection: str, *, id_column: str, force: bool = False,
-    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order: Sequence[Column] = (), buckets: int = 16, max_batches: int | None = None,
 ) -> str:
-    """Load a stream of rows into a collection, continuing where the last run ended.
+    """Load a stream of rows into the published collection ``target``, continuing where the last run ended.
 
-    A finished collection is skipped. The position lives in a checkpoint beside the target, so a run
-    that stops half-way loses nothing and repeats nothing: a batch is written under its own number
-    and replaces its own earlier attempt. ``force`` starts a new version. Returns the collection's path.
+    Each batch is prepared, merged into the collection by id and noted in the progress table, in this order; readers
+    see it from then on. A run that stops half-way, by ``max_batches`` or by a failure, loses nothing: its next run begins with the
+    batch that was not finished, and one that had been merged already is recognised by its number. A finished
+    collection is skipped. ``force`` starts a new collection beside the old one. Returns the collection's path.
     """
     done = current_offset(spark, progress_path, collection)
     if done == -1 and not force:
         return target
     version = f"{target}-{os.path.basename(fresh_path(spark, 'v'))}" if force else target
+    finished = 0
 
     def write(batch: DataFrame, number: int) -> None:
+        nonlocal finished
+        if finished == max_batches:
+            raise _Stopped(f"after {finished} batches")
         rows = prepare(batch)
-        rows.write.mode("overwrite").parquet(os.path.join(version, f"load={number}"))
+        if not exists(spark, version):
+            create_published(spark, version, rows.schema, id_column, buckets)
+        upsert_published(version, rows, order, source=collection, batch=number)
         note_progress(spark, progress_path, collection, number)
+        finished += 1
 
-    _run(source.writeStream.foreachBatch(write), f"{version}.checkpoint")
+    try:
+        _run(source.writeStream.foreachBatch(write), f"{version}.checkpoint")
+    except StreamingQueryException:
+        if finished != max_batches:
+            raise
+        return version
     note_progress(spark, progress_path, collection, -1)
     return version
 
 
-def read_index(spark: SparkSession, path: str, id_column: str) -> DataFrame:
-    """The collection, one row per id: the row of the latest load wins."""
-    return newest_per_key(spark.read.parquet(path), [id_column], [F.desc("load")], 1).drop("load")
-
-
 def reset_progress(spark: SparkSession, path: str, collection: str) -> None:
     note_progress(spark, path, collection, 0)
