@@ -85,12 +85,14 @@ def _(spark, sf):
     return C.refresh_from(table(spark, sf, "customer"), best, ["c_custkey"], ["c_acctbal"]).select("c_custkey", "c_acctbal")
 
 
+_TEXT_OF = {e.column: e.description for e in CONNECTIONS.dictionary}
+
+
 @query("jon10_field_descriptions", f"""
-SELECT _id, 'Postal codes for the connection location' AS postcode_text, 'Electricity Meter Serial Number - unique meter identifier' AS emsn_text, 6 AS described
+SELECT _id, '{_TEXT_OF["POSTCODE"]}' AS postcode_text, '{_TEXT_OF["EMSN"]}' AS emsn_text, 6 AS described
 FROM {CONNECTIONS_SQL} c""")
 def _(spark, sf):
-    texts = {e.column: e.description for e in CONNECTIONS.dictionary}
-    described = C.describe_fields(connections(spark, sf), texts)
+    described = C.describe_fields(connections(spark, sf), _TEXT_OF)
     column = F.col("_field_descriptions")
     return rounded(described.select(
         "_id", column["POSTCODE"].alias("postcode_text"), column["EMSN"].alias("emsn_text"), F.size(column).alias("described")

@@ -271,14 +271,38 @@ def _(spark, sf):
     return _searched(spark, sf).select("question_id", "doc", F.col("context.intent").alias("intent"), F.col("context.confidence").alias("confidence"))
 
 
-@query("txt19_enhance", f"""
-{_best_sql(TECH_DETAILS)}, m AS (SELECT k.*, b.intent AS matched, b.score FROM k LEFT JOIN b ON b.question_id = k.question_id AND n = 1),
-i AS (SELECT *, list_concat(CASE WHEN matched IS NOT NULL THEN [matched] ELSE [] END, {_when_any(TECH_DETAILS.intent_keywords)}, {_when_any(TECH_DETAILS.question_words)}) AS names FROM m)
+def _enhance_sql(spec) -> str:
+    expected = " ".join(f"WHEN '{p.answer_intent}' THEN '{';'.join(p.expected_columns)}'" for p in spec.patterns)
+    return f"""
+{_best_sql(spec)}, m AS (SELECT k.*, b.intent AS matched, b.score FROM k LEFT JOIN b ON b.question_id = k.question_id AND n = 1),
+i AS (SELECT *, list_concat(CASE WHEN matched IS NOT NULL THEN [matched] ELSE [] END, {_when_any(spec.intent_keywords)}, {_when_any(spec.question_words)}) AS names FROM m)
 SELECT question_id, coalesce(score, 0) AS confidence_score, array_to_string(list_sort(list_distinct(names)), ';') AS intents,
-  CASE WHEN len(names) > 0 THEN 'semantic_search' ELSE 'vector_search' END AS search_strategy FROM i""")
+  CASE WHEN len(names) > 0 THEN 'semantic_search' ELSE 'vector_search' END AS search_strategy, CASE matched {expected} ELSE '' END AS expected FROM i"""
+
+
+def _enhanced(spark, sf, spec):
+    enhanced = PT.enhance(_all_questions(spark, sf), spec)
+    expected = F.transform(F.filter("relevant_columns", lambda c: F.array_contains(F.col("match.expected_columns"), c["name"])), lambda c: c["name"])
+    return rounded(enhanced.select("question_id", "confidence_score", F.array_sort("detected_intent").alias("intents"), "search_strategy", expected.alias("expected")), 6)
+
+
+@query("txt19_enhance", _enhance_sql(TECH_DETAILS))
+def _(spark, sf):
+    return _enhanced(spark, sf, TECH_DETAILS)
+
+
+@query("txt19_enhance_connections", _enhance_sql(CONNECTIONS))
+def _(spark, sf):
+    return _enhanced(spark, sf, CONNECTIONS)
+
+
+@query("txt14_columns_of_connections", f"""
+{_best_sql(CONNECTIONS)} SELECT k.question_id, CASE b.intent {' '.join(f"WHEN '{p.answer_intent}' THEN '{';'.join(p.expected_columns)}'" for p in CONNECTIONS.patterns)} ELSE '' END AS columns
+FROM k LEFT JOIN b ON b.question_id = k.question_id AND n = 1""")
 def _(spark, sf):
-    enhanced = PT.enhance(_all_questions(spark, sf), TECH_DETAILS)
-    return rounded(enhanced.select("question_id", "confidence_score", F.array_sort("detected_intent").alias("intents"), "search_strategy"), 6)
+    """No column of this collection is described for context, so only those of the matched pattern are relevant."""
+    found = PT.enhance(_all_questions(spark, sf), CONNECTIONS)
+    return rounded(found.select("question_id", F.transform("relevant_columns", lambda c: c["name"]).alias("columns")))
 
 
 # Asked names: the part names with their first letter lost; known names: those of brand and type as well.

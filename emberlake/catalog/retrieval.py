@@ -104,11 +104,10 @@ def _(spark, sf):
 SELECT doc_id, 'text_search' AS source FROM documents WHERE regexp_matches(text, 'the of', 'i') ORDER BY doc_id LIMIT 20""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    hits = V.nearest(_vectors(spark, sf), _question(spark, sf), 20, id_column="vec_id", threshold=2.0).select(F.col("vec_id").alias("doc_id"))
     return V.first_nonempty_stage({
-        "vector_search": hits,
-        "text_search": docs.where(F.col("text").rlike("(?i)the of")).select("doc_id").orderBy("doc_id").limit(20),
-        "sample_fallback": docs.select("doc_id").orderBy("doc_id").limit(20),
+        "vector_search": lambda _: V.nearest(_vectors(spark, sf), _question(spark, sf), 20, id_column="vec_id", threshold=2.0).select(F.col("vec_id").alias("doc_id")),
+        "text_search": lambda _: docs.where(F.col("text").rlike("(?i)the of")).select("doc_id").orderBy("doc_id").limit(20),
+        "sample_fallback": lambda _: docs.select("doc_id").orderBy("doc_id").limit(20),
     })
 
 
@@ -120,11 +119,14 @@ SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, 'text_search' AS source FRO
 UNION ALL SELECT CAST(label AS BIGINT), -1, 'sample_fallback' FROM l WHERE label NOT IN (SELECT query_id FROM t)""")
 def _(spark, sf):
     asked = _vectors(spark, sf).select(F.col("label").alias("query_id")).distinct()
-    named = asked.withColumn("source", F.concat(F.lit("src"), F.col("query_id").cast("string")))
-    french = V.newest_per_key(table(spark, sf, "documents").where("lang = 'fr'").select("source", "doc_id"), ["source"], [F.col("doc_id")], 5)
-    text = named.join(french, "source").select("query_id", "doc_id")
-    sample = asked.select("query_id", F.lit(-1).cast("long").alias("doc_id"))
-    return rounded(V.first_nonempty_stage({"text_search": text, "sample_fallback": sample}, "query_id").select("query_id", "doc_id", "source"))
+
+    def text(left):
+        named = left.withColumn("source", F.concat(F.lit("src"), F.col("query_id").cast("string")))
+        french = table(spark, sf, "documents").where("lang = 'fr'").select("source", "doc_id").join(named.select("source"), "source", "left_semi")
+        return named.join(V.newest_per_key(french, ["source"], [F.col("doc_id")], 5), "source").select("query_id", "doc_id")
+
+    stages = {"text_search": text, "sample_fallback": lambda left: left.select("query_id", F.lit(-1).cast("long").alias("doc_id"))}
+    return rounded(V.first_nonempty_stage(stages, asked, "query_id").select("query_id", "doc_id", "source"))
 
 
 @query("vec08_embed_text")
@@ -184,7 +186,7 @@ def _(spark, sf):
 
 @query("vec13_many_queries_in_blocks", _MANY)
 def _(spark, sf):
-    return rounded(V.nearest_many(_vectors(spark, sf), _centres(spark, sf), 10, id_column="vec_id", query_id="label", max_query_numbers=SIZE), 6)
+    return rounded(V.nearest_many(_vectors(spark, sf), _centres(spark, sf), 10, id_column="vec_id", query_id="label", wave_numbers=4 * SIZE), 6)
 
 
 @query("flt09_filter_before_ranking", f"WITH {_SCORED} SELECT vec_id FROM s WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")

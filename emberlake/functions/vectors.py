@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 COSINE_GUARD = 1e-8
 # Scores are rounded before they are compared, so that equal vectors tie whatever the summation order.
 SCORE_DIGITS = 9
+_SCORES_AT_ONCE = 2_000_000
 
 
 def parse_embedding(column: Column | str, is_text: bool = True) -> Column:
@@ -88,15 +91,24 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
 
 
-def ranking_task(
-    id_column: str, vector_column: str, query_ids: pa.Array, queries: np.ndarray, k: int, metric: str,
-):
+def read_queries(files: Sequence[str], width: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of stored queries, read by a task from any file system that Arrow knows."""
+    tables = []
+    for file in files:
+        system, path = pa.fs.FileSystem.from_uri(file)
+        tables.append(pq.read_table(path, filesystem=system))
+    found = pa.concat_tables(tables)
+    return found.column("query_id").combine_chunks(), as_matrix(found.column("vector"), width)[0]
+
+
+def ranking_task(id_column: str, vector_column: str, load: Callable[[], tuple[pa.Array, np.ndarray]], k: int, metric: str):
     """A ``mapInArrow`` function: per query keep the ``k`` best rows of the whole task.
 
-    Emits ``query_id, id, score``. Only k rows per query are held between batches and leave the
-    task, however many rows it reads.
+    ``load`` gives the ids and vectors of the queries. Emits ``query_id, id, score``. Only k rows per query are held between batches
+    and leave the task, however many rows it reads.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = load()
         scores_held: list[np.ndarray] = [np.empty(0) for _ in range(len(queries))]
         ids_held: list[np.ndarray] = []
         id_type = None
@@ -108,12 +120,14 @@ def ranking_task(
             if id_type is None:
                 id_type = id_array.type
                 ids_held = [ids[:0] for _ in range(len(queries))]
-            scores = score_block(matrix, queries, metric)
-            for j in range(len(queries)):
-                all_scores = np.concatenate([scores_held[j], scores[:, j]])
-                all_ids = np.concatenate([ids_held[j], ids])
-                best = best_rows(all_scores, all_ids, k)
-                scores_held[j], ids_held[j] = all_scores[best], all_ids[best]
+            step = max(1, _SCORES_AT_ONCE // max(1, len(matrix)))
+            for start in range(0, len(queries), step):
+                scores = score_block(matrix, queries[start : start + step], metric)
+                for j in range(start, start + scores.shape[1]):
+                    all_scores = np.concatenate([scores_held[j], scores[:, j - start]])
+                    all_ids = np.concatenate([ids_held[j], ids])
+                    best = best_rows(all_scores, all_ids, k)
+                    scores_held[j], ids_held[j] = all_scores[best], all_ids[best]
         if id_type is None:
             return
         sizes = [len(s) for s in scores_held]

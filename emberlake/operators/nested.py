@@ -20,9 +20,13 @@ def unpack_struct(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({f"{column}_{f}": F.col(column).getField(f) for f in fields})
 
 
-def map_keys_of(df: DataFrame, column: str) -> list[str]:
-    """All keys of a map column, sorted: one per column of the result. Where keys grow with the data, use ``map_entries``."""
-    return sorted(str(r.k) for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
+def map_keys_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """All keys of a map column, sorted: one per column of the result. More than ``most`` of them are an error, as such a
+    map is no set of columns; use ``map_entries`` for it."""
+    keys = sorted(str(r.k) for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(most + 1).collect())
+    if len(keys) > most:
+        raise ValueError(f"{column} has more than {most} keys")
+    return keys
 
 
 def map_entries(df: DataFrame, column: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -15,15 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.functions.bounded import rows_if_small
-from emberlake.functions.vectors import as_matrix, best_rows, ranking_task, score_block
+from emberlake.functions.vectors import ranking_task, read_queries
 from emberlake.operators.combine import newest_per_key, tagged_union
 from emberlake.operators.filters import scored_at_least
-from emberlake.session import stage
+from emberlake.session import fresh_path, stage
 from emberlake.spec import STOP_WORDS
 
-# Query vectors that may travel to every task: 8 MB of doubles.
-MAX_QUERY_NUMBERS = 1_000_000
+# What a task holds of many queries at once: so many numbers of their vectors, so many hits.
+WAVE_NUMBERS, WAVE_HITS = 4_000_000, 2_000_000
 
 
 def vector_sizes(df: DataFrame, vector_column: str = "embedding") -> DataFrame:
@@ -58,9 +58,9 @@ def nearest(
     """
     queries = np.asarray([vector], dtype=np.float64)
     kind = df.schema[id_column].dataType.simpleString()
-    task = ranking_task(id_column, vector_column, pa.array([0], pa.int32()), queries, n, metric)
-    partial = df.select(id_column, vector_column).mapInArrow(task, f"query_id int, id {kind}, score double")
-    kept = scored_at_least(partial, threshold).orderBy(F.desc("score"), "id").limit(n)
+    task = ranking_task(id_column, vector_column, lambda: (pa.array([0], pa.int32()), queries), n, metric)
+    ranked = df.select(id_column, vector_column).mapInArrow(task, f"query_id int, id {kind}, score double")
+    kept = scored_at_least(ranked, threshold).orderBy(F.desc("score"), "id").limit(n)
     return kept.select(F.col("id").alias(id_column), "score")
 
 
@@ -84,76 +84,42 @@ def search(
 
 def nearest_many(
     df: DataFrame, queries: DataFrame, k: int = 10, *, id_column: str, query_id: str, vector_column: str = "embedding",
-    query_vector: str = "embedding", metric: str = "cosine", max_query_numbers: int = MAX_QUERY_NUMBERS,
+    query_vector: str = "embedding", metric: str = "cosine", wave_numbers: int = WAVE_NUMBERS,
 ) -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` nearest rows of every query.
+    """``query_id, id, score, rank``: the ``k`` nearest rows of every query. A query without a vector has none.
 
-    Few queries travel to the tasks as one matrix, so the vectors are read once and never shuffled.
-    More of them than ``max_query_numbers`` allows meet the vectors in blocks of bounded size.
+    Vectors are never shuffled. The queries are written to files of bounded size in the shared folder; tasks read them there and
+    keep the best rows of all their batches. As many files as a task can hold make a wave; further queries are further
+    waves over the vectors. Only names of files pass through the driver.
     """
-    width = vector_size(queries, query_vector)
-    rows = rows_if_small(queries.select(query_id, query_vector), max(1, max_query_numbers // width))
-    id_kind = df.schema[id_column].dataType.simpleString()
-    query_kind = queries.schema[query_id].dataType
-    schema = f"query_id {query_kind.simpleString()}, id {id_kind}, score double"
-    if rows is not None:
-        matrix = np.asarray([r[1] for r in rows], dtype=np.float64).reshape(len(rows), width)
-        ids = pa.array([r[0] for r in rows], type=_arrow_type(query_kind))
-        task = ranking_task(id_column, vector_column, ids, matrix, k, metric)
-        partial = df.select(id_column, vector_column).mapInArrow(task, schema)
-    else:
-        partial = _ranked_blocks(df, queries, k, id_column, query_id, vector_column, query_vector, metric, width, schema)
+    spark = df.sparkSession
+    id_kind, query_kind = df.schema[id_column].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    schema = f"query_id {query_kind}, id {id_kind}, score double"
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
+    folder = fresh_path(spark, "queries")
+    bounds = vector_sizes(asked, "vector").collect()  # a sound set gives one row
+    if len(bounds) > 1:
+        raise ValueError(f"query vectors of sizes {sorted(b.vector_size for b in bounds)}")
+    width = bounds[0].vector_size if bounds else 0
+    per_wave = max(1, min(wave_numbers // max(1, width), WAVE_HITS // max(1, k)))
+    asked.write.option("maxRecordsPerFile", max(1, per_wave // 4)).parquet(folder)
+    sizes = spark.read.schema(asked.schema).parquet(folder).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect()
+    waves: list[list[str]] = []
+    held = 0
+    for row in sizes:
+        if not waves or held + row.n > per_wave:
+            waves, held = [*waves, []], 0
+        waves[-1].append(row.file)
+        held += row.n
+    rows = df.select(id_column, vector_column)
+    parts = [rows.mapInArrow(ranking_task(id_column, vector_column, partial(read_queries, files, width), k, metric), schema) for files in waves]
+    if not parts:
+        return spark.createDataFrame([], f"query_id {query_kind}, {id_column} {id_kind}, score double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("id").alias(id_column), "score", "rank")
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def _ranked_blocks(
-    df, queries, k, id_column, query_id, vector_column, query_vector, metric, width, schema,
-    block_numbers: int = 4_000_000,
-) -> DataFrame:
-    """Both sides cut by hash into blocks that fit a task; every pair of blocks is ranked on its own
-    and leaves ``k`` rows per query."""
-    rows_per_block = max(1, block_numbers // width)
-    blocks = max(1, math.ceil(df.count() / rows_per_block))
-    chunks = max(1, math.ceil(queries.count() / rows_per_block))
-    left = (
-        df.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v"))
-        .withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    )
-    right = (
-        queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("w"))
-        .withColumn("c", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    )
-
-    def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a[a["v"].notna()]
-        wrong = [n for n in map(len, a["v"]) if n != width]
-        if wrong:
-            raise ValueError(f"vectors of size {wrong[0]} among those of size {width}")
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        matrix, questions = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["w"].to_numpy()).astype(np.float64)
-        ids, out = a["id"].to_numpy(), []
-        step = max(1, 2_000_000 // len(matrix))
-        for start in range(0, len(questions), step):
-            scores = score_block(matrix, questions[start:start + step], metric)
-            for j in range(scores.shape[1]):
-                best = best_rows(scores[:, j], ids, k)
-                out.append(pd.DataFrame({"query_id": b["q"].iloc[start + j], "id": ids[best], "score": scores[best, j]}))
-        return pd.concat(out, ignore_index=True)
-
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(rank, schema)
-
-
 def hybrid_search(
     vectors: DataFrame, raw: DataFrame, vector: Sequence[float], *, id_column: str, keys: Sequence[str], n: int = 100,
     vector_column: str = "embedding", where_vectors: Column | None = None, where_raw: Column | None = None,
@@ -173,19 +139,27 @@ def hybrid_search(
     return rows.join(F.broadcast(wanted), list(keys), "left_semi")
 
 
-def first_nonempty_stage(stages: Mapping[str, DataFrame], query_id: str | None = None) -> DataFrame:
-    """Stack tagged result stages and keep, per query, the first that returned anything.
+def first_nonempty_stage(
+    stages: Mapping[str, Callable[[DataFrame | None], DataFrame]], asked: DataFrame | None = None, query_id: str | None = None
+) -> DataFrame:
+    """The rows of the first stage that returns any, with its name as ``source``; with ``asked`` per query.
 
-    Stages are result lists of limited length per query, so the window stays small.
+    Stages are functions and are called one after the other: the next only if something is left to answer, and with the
+    queries (``asked``'s rows) that none has answered so far. A stage's rows are written to the shared folder once.
     """
-    stacked = None
-    for number, (name, df) in enumerate(stages.items()):
-        tagged = df.withColumns({"stage": F.lit(number), "source": F.lit(name)})
-        stacked = tagged if stacked is None else stacked.unionByName(tagged)
-    first = stacked.groupBy(*([query_id] if query_id else [])).agg(F.min("stage").alias("__first"))
-    if query_id:
-        return stacked.join(first, query_id).where("stage = __first").drop("stage", "__first")
-    return stacked.where(F.col("stage") == first.scalar()).drop("stage")
+    answered: list[DataFrame] = []
+    left = asked
+    for name, search in stages.items():
+        hits = stage(search(left).withColumn("source", F.lit(name)), "hits")
+        answered.append(hits)
+        if left is None:
+            if not hits.isEmpty():
+                return hits
+        else:
+            left = stage(left.join(hits.select(query_id).distinct(), query_id, "left_anti"), "unanswered")
+            if left.isEmpty():
+                break
+    return answered[-1] if asked is None else reduce(DataFrame.unionByName, answered)
 
 
 def tokens(column: Column) -> Column:
@@ -252,9 +226,7 @@ def text_search(
 
 
 def _words(text: str) -> list[str]:
-    import regex
-
-    return regex.findall(r"[\p{L}\p{N}_]+", text.lower())
+    return re.findall(r"\w+", text.lower())
 
 
 def search_tables(

@@ -181,10 +181,10 @@ def test_nearest_matches_brute_force_with_many_copies(spark):
     assert [r.id for r in copies] == list(range(0, 75, 3))
 
 
-def test_many_queries_agree_with_and_without_blocks(spark):
+def test_many_queries_agree_in_one_wave_and_in_several(spark):
     v = readers.table(spark, SF, "embeddings")
     a = vector.nearest_many(v, v, 4, id_column="vec_id", query_id="vec_id")
-    b = vector.nearest_many(v, v, 4, id_column="vec_id", query_id="vec_id", max_query_numbers=64)
+    b = vector.nearest_many(v, v, 4, id_column="vec_id", query_id="vec_id", wave_numbers=64 * 100)
     assert rows(a, "query_id", "rank") == rows(b, "query_id", "rank")
 
 
@@ -193,7 +193,7 @@ def test_many_queries_refuse_vectors_of_another_size_at_every_size(spark, most):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0, 3.0]), (3, None)], "id long, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "q long, embedding array<double>")
     with pytest.raises(Exception, match="vectors of size 3 among those of size 2"):
-        vector.nearest_many(df, asked, 2, id_column="id", query_id="q", max_query_numbers=most).collect()
+        vector.nearest_many(df, asked, 2, id_column="id", query_id="q", wave_numbers=most).collect()
 
 
 def test_vectors_of_two_sizes_are_refused(spark):
@@ -389,3 +389,47 @@ def test_index_of_an_empty_collection(spark):
     index = posting_index.build_index(keys, 0)
     lookups = spark.createDataFrame([("s", 1, "A", "A", "x")], "search string, criteria int, criterion string, kind string, term string")
     assert posting_index.search_index(index, lookups, 5).count() == 0
+
+
+def test_null_query_vectors_have_no_hits_and_rows_without_vectors_are_no_hits(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "q string, embedding array<double>")
+    found = vector.nearest_many(df, asked, 5, id_column="id", query_id="q").collect()
+    assert [(r.query_id, r.id, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [("a", 1, 1), ("a", 2, 2)]
+    nobody = vector.nearest_many(df, asked.where("q = 'b'"), 5, id_column="id", query_id="q")
+    assert nobody.columns == ["query_id", "id", "score", "rank"] and nobody.count() == 0
+
+
+def test_fall_back_stages_run_only_for_what_is_left(spark):
+    seen = []
+
+    def search(name, ids):
+        def run(left):
+            seen.append((name, sorted(r.q for r in left.collect())))
+            return left.where(F.col("q").isin(ids)).select("q", F.lit(name).alias("hit"))
+
+        return run
+
+    asked = spark.range(4).select(F.col("id").alias("q"))
+    found = vector.first_nonempty_stage({"a": search("a", [0, 1]), "b": search("b", [1, 2, 3]), "c": search("c", [0, 1, 2, 3])}, asked, "q")
+    assert sorted((r.q, r.source) for r in found.collect()) == [(0, "a"), (1, "a"), (2, "b"), (3, "b")]
+    assert seen == [("a", [0, 1, 2, 3]), ("b", [2, 3])]
+    fail = lambda _: 1 / 0
+    assert vector.first_nonempty_stage({"a": lambda _: asked, "b": fail}).count() == 4
+
+
+def test_too_many_map_keys_are_an_error(spark):
+    from emberlake.operators import nested
+
+    rows = spark.range(20).select(F.create_map(F.col("id").cast("string"), F.lit(1)).alias("m"))
+    assert len(nested.map_keys_of(rows, "m", most=20)) == 20
+    with pytest.raises(ValueError, match="more than 19 keys"):
+        nested.map_keys_of(rows, "m", most=19)
+
+
+def test_columns_of_connections_are_those_of_the_pattern(spark):
+    asked = spark.createDataFrame([("show me string or integer things",), ("show me connection for EMSN 24E8049370",)], "question string")
+    found = [[c["name"] for c in r.relevant_columns] for r in patterns.enhance(asked, CONNECTIONS).collect()]
+    assert found == [[], ["EMSN", "ADDRESS", "POSTCODE", "UPRN", "apiStatus"]]
+    with pytest.raises(TypeError):
+        type(CONNECTIONS.dictionary[0])("UPRN", "text", "string")
