@@ -7,7 +7,8 @@ its prefix: similar sets share a word there. Pairs that meet in a prefix pass th
 (what may still overlap after the two places must reach the needed overlap), and are verified on their words.
 
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
-that is the same for all lines gives the exact join; rarity only keeps the posting lists short.
+that is the same for all lines gives the exact join; rarity only keeps the posting lists short. In lists a word is known by 58 bits of
+its hash and the magnitude of its count, equal sets by the MD5 of their sorted words; sizes are those of the words themselves.
 
 So that many variants of one line are not paired with each other, each set first meets, by its rarest words, only the earliest
 set of about its length; sets removed that way no longer ask, and only the others meet whole lists.
@@ -60,11 +61,12 @@ def _needed(n: Column, percent: int) -> Column:
 def _sets(lines: DataFrame, percent: int) -> DataFrame:
     """Every line with its set's size, its earliest equal, and, if it is that itself, its prefix."""
     rarity = _rarity(lines)
-    key = lambda w: F.shiftleft(F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("long"), 32).bitwiseOR(F.hash(w).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words("line"), key))))
-    rows = rows.select("doc_id", "place", "keys", F.size("keys").alias("n"))
-    rows = rows.select("doc_id", "place", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1).alias("prefix"))
-    equal = Window.partitionBy("h1", "h2", "n").orderBy("doc_id", "place")
+    level = lambda w: F.floor(F.log2(F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")) + 1)).cast("long")
+    key = lambda w: F.shiftleft(level(w), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
+    rows = lines.withColumn("words", F.sort_array(F.array_distinct(_words("line"))))
+    rows = rows.select("doc_id", "place", F.size("words").alias("n"), F.unhex(F.md5(F.array_join("words", " "))).alias("digest"), F.sort_array(F.transform("words", key)).alias("keys"))
+    rows = rows.select("doc_id", "place", "n", "digest", F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1).alias("prefix"))
+    equal = Window.partitionBy("digest").orderBy("doc_id", "place")
     rows = rows.withColumns({"first_doc": F.first("doc_id").over(equal), "first_place": F.first("place").over(equal), "nth": F.row_number().over(equal)})
     return rows.select("doc_id", "place", "n", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
 
