@@ -51,8 +51,8 @@ def family_of(language: str) -> str:
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each character of the basic plane: itself if it is a letter, else a space."""
-    return np.array([ord(c) if (c := chr(i)).isalpha() else 32 for i in range(0x10000)], dtype=np.uint32)
+    """For each character of all planes: itself if it is a letter, else a space."""
+    return np.array([ord(c) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32)
 
 
 def features(text: str | None) -> np.ndarray | None:
@@ -61,7 +61,7 @@ def features(text: str | None) -> np.ndarray | None:
     table, counts, some = _letters(), np.zeros(_SIZE, dtype=np.int64), False
     for at in range(0, len(codes), _BLOCK):
         part = codes[at : at + _BLOCK + 2]
-        part = np.where(part < 0x10000, table[np.minimum(part, 0xFFFF)], part)
+        part = table[part]
         filled = part != 32
         some = some or bool(filled.any())
         last = len(part) - 2 if at + _BLOCK < len(codes) else len(part)
