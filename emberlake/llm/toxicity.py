@@ -30,8 +30,6 @@ from emberlake.session import stage
 
 THRESHOLD = 0.3
 _LENGTHS = (4, 5, 6, 7)
-_MAX_ENTRIES = 2_000
-_MAX_CANDIDATES = 20_000
 _LEAST_ROWS = 8
 
 # Letters of other scripts that look like Latin ones.
@@ -134,7 +132,7 @@ def _counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, max_entries: int) -> dict[str, float]:
     """Entries that occur far more often in toxic rows, without those that a better one makes superfluous."""
     base = n_toxic / (n_toxic + n_clean)
     weights: dict[str, float] = {}
@@ -156,7 +154,7 @@ def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     purity = lambda e: toxic[e] / (toxic[e] + clean.get(e, 0))
     covered = lambda e: any(e[:n] in begins and e[:n] != e and purity(e[:n]) >= purity(e) - 0.05 for n in _LENGTHS if len(e) > n)
     kept = {e: w for e, w in kept.items() if not covered(e)}
-    return dict(sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:_MAX_ENTRIES])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:max_entries])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -170,27 +168,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_training_rows: int = 30_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_training_rows: int = 30_000, max_candidates: int = 20_000, max_entries: int = 2_000) -> Model:
     """Learn a model from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``.
 
     At most ``max_training_rows`` labelled rows are used: those first by a hash of their id. ``usable`` restricts
-    them by a condition on ``doc_id``.
+    them by a condition on ``doc_id``. Equal texts are one row, toxic if any of them is. Of the entries of toxic training rows the
+    ``max_candidates`` most frequent are weighed; lexicon and exceptions hold up to ``max_entries`` each, the heaviest and most
+    frequent first.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known if usable is None else known.where(usable)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_rows)
     # The hint is on at most max_training_rows rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    rows = stage(rows.repartition(F.xxhash64("text")).dropDuplicates(["text"]), "training")
+    rows = stage(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "training")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
-    toxic_counts = _counts(rows.where("toxic = 1"), None).where(F.col("n") >= _LEAST_ROWS).orderBy(F.desc("n"), "entry").limit(_MAX_CANDIDATES)
+    toxic_counts = _counts(rows.where("toxic = 1"), None).where(F.col("n") >= _LEAST_ROWS).orderBy(F.desc("n"), "entry").limit(max_candidates)
     toxic = {r["entry"]: r["n"] for r in toxic_counts.collect()}
     clean = {r["entry"]: r["n"] for r in _counts(rows.where("toxic = 0"), frozenset(toxic)).collect()}
-    weights = _choose(toxic, clean, sizes[1], sizes[0])
+    weights = _choose(toxic, clean, sizes[1], sizes[0], max_entries)
     model = Model({e[:-1]: w for e, w in weights.items() if e.endswith("$")}, {e: w for e, w in weights.items() if not e.endswith("$")})
-    model.exceptions = _exceptions(rows, model)
+    model.exceptions = _exceptions(rows, model, max_entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.matcher()
@@ -204,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     return model
 
 
-def _exceptions(rows: DataFrame, model: Model) -> list[str]:
+def _exceptions(rows: DataFrame, model: Model, most: int) -> list[str]:
     """Two-word phrases around an entry that are found in harmless rows only, in three or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _exceptions(rows: DataFrame, model: Model) -> list[str]:
 
     counts = rows.select("toxic", "text").mapInArrow(run, "phrase string, toxic int, n long").groupBy("phrase")
     counts = counts.agg(F.sum(F.expr("if(toxic = 0, n, 0)")).alias("clean"), F.sum(F.expr("if(toxic = 1, n, 0)")).alias("bad"))
-    return [r["phrase"] for r in counts.where("clean >= 3 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(_MAX_ENTRIES).collect()]
+    return [r["phrase"] for r in counts.where("clean >= 3 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(most).collect()]
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -272,3 +272,29 @@ class TestChat:
 
     def test_empty_table(self, spark):
         assert chat_format.formatted(self.rows(spark, [])).count() == 0
+
+
+class TestMended:
+    def test_signs_of_other_planes_are_no_letters(self):
+        from emberlake.llm import language
+
+        assert language.features("😀😀") is None and language.features("🎉 123 !") is None
+        assert language.features("𐐀𐐁") is not None  # letters beyond the basic plane
+
+    def test_equal_texts_with_both_labels_are_toxic(self, spark):
+        from emberlake.llm import toxicity
+
+        rows = [(i, f"some calm words number {i % 7}") for i in range(40)] + [(100 + i, f"you vorpal snark {i % 7}") for i in range(40)]
+        labels = [(i, int(i >= 100)) for i, _ in rows] + [(200, 0)]
+        docs = spark.createDataFrame([*rows, (200, "you vorpal snark 1")], "doc_id long, text string")
+        labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+        models = [toxicity.learn(docs.repartition(n), labelled.repartition(n)) for n in (1, 5)]
+        assert models[0] == models[1]
+
+    def test_lines_of_words_with_equal_short_hashes_stay(self, spark):
+        from emberlake.llm import line_dedup
+
+        # These two words agree in Spark's 32-bit hash.
+        docs = spark.createDataFrame([(1, "w138121 same line here"), (2, "w314567 same line here"), (3, "w138121"), (4, "w314567"), (5, "w138121")], "doc_id long, text string")
+        assert docs.select(F.hash(F.split("text", " ")[0]).alias("h")).distinct().count() == 1
+        assert sorted((r.doc_id, r.place, r.other_doc) for r in line_dedup.matches(docs).collect()) == [(5, 0, 3)]
