@@ -86,6 +86,25 @@ def _(spark, sf):
     return dirty_readings(spark, sf).groupBy(PA.value_kind(F.col("reading")).alias("kind")).agg(F.count(F.lit(1)).alias("count"))
 
 
+# Values of four kinds: numbers, texts, truth values, objects.
+_MIXED = """CASE event_type WHEN 'click' THEN CAST(event_id AS STRING) WHEN 'error' THEN 'true' WHEN 'view' THEN props ELSE '"' || event_type || '"' END"""
+
+
+@query("cln07_mixed_kinds", f"""
+SELECT event_id, CASE event_type WHEN 'click' THEN CAST(event_id AS STRING) WHEN 'error' THEN 'true' WHEN 'view' THEN replace(props, ': ', ':') ELSE event_type END AS mixed,
+  'string' AS kind_of_mixed, 'variant' AS kind_of_numbers, CAST(event_id AS STRING) AS numbers FROM events""")
+def _(spark, sf):
+    parsed = table(spark, sf, "events").select("event_id", F.parse_json(F.expr(_MIXED)).alias("mixed"), F.parse_json(F.col("event_id").cast("string")).alias("numbers"))
+    cleaned = C.auto_clean(parsed)
+    kinds = dict(cleaned.dtypes)
+    return cleaned.select("event_id", "mixed", F.lit(kinds["mixed"]).alias("kind_of_mixed"), F.lit(kinds["numbers"]).alias("kind_of_numbers"), F.col("numbers").cast("string").alias("numbers"))
+
+
+@query("cln07_kind_report", f"SELECT 'mixed' AS \"column\", 4 AS kinds, round(count(*) FILTER (event_type = 'view') * 1.0 / count(*), 4) AS structured FROM events")
+def _(spark, sf):
+    return rounded(C.kind_report(table(spark, sf, "events").select(F.parse_json(F.expr(_MIXED)).alias("mixed"))))
+
+
 @query("cln08_capacity", f"""
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(regexp_extract(battery_capacity, '^(\\d+\\.\\d+)', 1) AS DOUBLE) AS capacity FROM {DIRTY_SQL} d""")
 def _(spark, sf):

@@ -226,11 +226,21 @@ def _(spark, sf):
     return P.progress_report(rows.select("collection", F.when(F.col("collection") == "src0", F.lit(-1)).otherwise(F.col("last")).alias("offset")))
 
 
-@query("prf22_json_structure")
+# Objects with a key of their own per event type; the kind of "k" varies.
+_OBJECTS = """CASE event_type WHEN 'click' THEN props WHEN 'error' THEN '{"k": "x", "codes": [1, 2]}' ELSE '{"' || event_type || '": {"deep": ' || CAST(event_id % 7 AS STRING) || '.5}}' END"""
+
+
+@query("prf22_json_structure", """
+SELECT key, kind, count(*) AS count FROM (
+  SELECT unnest(CASE event_type WHEN 'click' THEN [{key: '$.k', kind: 'BIGINT'}] WHEN 'error' THEN [{key: '$.k', kind: 'STRING'}, {key: '$.codes', kind: 'ARRAY'}]
+    ELSE [{key: '$.' || event_type, kind: 'OBJECT'}, {key: '$.' || event_type || '.deep', kind: 'DECIMAL'}] END, recursive := true) FROM events) GROUP BY 1, 2""")
 def _(spark, sf):
-    return P.json_structure(table(spark, sf, "events"), "props")
+    return rounded(P.json_structure(table(spark, sf, "events").select(F.expr(_OBJECTS).alias("text")), "text"))
 
 
-@query("prf22_field_structure")
+@query("prf22_field_structure", f"""
+SELECT unnest([{{field: '_id', type: 'bigint', max_length: NULL::BIGINT}}, {{field: 'UPRN', type: 'array<string>', max_length: max(len("UPRN"))}}, {{field: 'EMSN', type: 'array<string>', max_length: max(len("EMSN"))}},
+  {{field: 'MPAN', type: 'array<string>', max_length: max(len("MPAN"))}}, {{field: 'MPRN', type: 'array<string>', max_length: max(len("MPRN"))}}, {{field: 'POSTCODE', type: 'array<string>', max_length: max(len("POSTCODE"))}},
+  {{field: 'ADDRESS', type: 'array<string>', max_length: max(len("ADDRESS"))}}, {{field: 'api_ok', type: 'string', max_length: NULL::BIGINT}}], recursive := true) FROM {CONNECTIONS_SQL} c""")
 def _(spark, sf):
-    return P.field_structure(connections(spark, sf))
+    return rounded(P.field_structure(connections(spark, sf)))

@@ -19,7 +19,9 @@ from emberlake.operators.profile import value_counts
 from emberlake.operators.project import string_columns
 from emberlake.spec import CollectionSpec
 
-Action = Literal["number", "plain_number", "capacity", "timestamp", "epoch", "boolean", "keep"]
+Action = Literal["number", "plain_number", "capacity", "timestamp", "epoch", "boolean", "text", "keep"]
+# With more kinds of values than this a column is text; above this share of arrays and objects it stays as it is.
+MOST_KINDS, MOST_STRUCTURED = 2, 0.5
 
 # --- Fixed values: words in a column name that hint at its type --------------------------------
 NUMERIC_NAME_WORDS = [
@@ -66,13 +68,15 @@ class ColumnEvidence:
     truth_words: int
     other_words: int
     digits: float
+    kinds: int
+    structured: float
 
 
 def evidence_report(df: DataFrame) -> DataFrame:
-    """The shares behind every decision, one row per text column, from one pass over all rows.
+    """The shares behind every decision, one row per text column, measured over all rows.
 
-    The columns are laid out as ``column, value`` rows, so each test is written once however many
-    columns there are; a task sends one partial row per column.
+    The columns are laid out as ``column, value`` rows and counted by value first, which tasks combine before anything is sent.
+    The rules then look at distinct values only, each weighing as many rows as hold it.
     """
     names = string_columns(df)
     value = F.col("value")
@@ -90,23 +94,27 @@ def evidence_report(df: DataFrame) -> DataFrame:
             (~plain & text.rlike(P.UNIT_NUMBER)).alias("unit"), dated.alias("date"),
             (dated & P.parsed_timestamp(text).isNotNull()).alias("moment"), text.rlike(r"^\d{9,10}(\.\d+)?$").alias("epoch"),
             word_bit.alias("word_bit"), (F.col("named") & P.let(F.regexp_replace(text, r"[^0-9.]", ""), digits)).alias("digits"),
+            P.value_kind(text).alias("kind"),
         ]
 
     # Only a column with a telling name is judged by its digits.
     named = F.col("column").isin([c for c in names if _named(c, LAST_PASS_NAME_WORDS)])
-    rows = df.select(*names).unpivot([], names, "column", "value").where(value.isNotNull()).select(
-        "column", named.alias("named"), strip(value).alias("text")
-    ).select("column", *tests(F.col("text")))
+    counted = df.select(*names).unpivot([], names, "column", "value").where(value.isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select("column", "n", named.alias("named"), strip(value).alias("text")).select("column", "n", *tests(F.col("text")))
+
+    def number(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     def share(condition: Column) -> Column:
-        return F.coalesce(F.try_divide(F.count_if(F.col("meant") & condition).cast("double"), F.count_if("meant")), F.lit(0.0))
+        return F.coalesce(F.try_divide(number(F.col("meant") & condition).cast("double"), number(F.col("meant"))), F.lit(0.0))
 
     found = rows.groupBy("column").agg(
-        F.count_if("meant").alias("filled"), share(F.col("plain") | F.col("unit")).alias("numeric"), share(F.col("unit")).alias("unit"),
+        number(F.col("meant")).alias("filled"), share(F.col("plain") | F.col("unit")).alias("numeric"), share(F.col("unit")).alias("unit"),
         share(F.col("date")).alias("date"), share(F.col("moment")).alias("date_parsed"), share(F.col("epoch")).alias("epoch"),
         # One bit per known word.
         F.bit_count(F.coalesce(F.bit_or(F.col("word_bit")), F.lit(0))).alias("truth_words"),
-        F.count_if(F.col("word_bit") == 0).alias("other_words"), share(F.col("digits")).alias("digits"),
+        number(F.col("word_bit") == 0).alias("other_words"), share(F.col("digits")).alias("digits"),
+        F.count_distinct(F.when(F.col("meant"), F.col("kind"))).cast("int").alias("kinds"), share(F.col("kind").isin("array", "object")).alias("structured"),
     )
     # A column without any value has no rows above; it is reported with nothing in it.
     return _with_empty_columns(found, names)
@@ -144,7 +152,11 @@ def decide(e: ColumnEvidence, strict: bool = True) -> Action:
         return "boolean"
     if _named(name, LAST_PASS_NAME_WORDS) and e.digits > 0.3:
         return "plain_number"
-    return "keep"
+    return "text" if is_mixed(e.kinds, e.structured) and not is_id and "embedding" not in name else "keep"
+
+
+def is_mixed(kinds: int, structured: float) -> bool:
+    return kinds > MOST_KINDS and structured <= MOST_STRUCTURED
 
 
 HINTED: dict[str, Action] = {
@@ -154,12 +166,23 @@ HINTED: dict[str, Action] = {
 }
 
 
+def kind_report(df: DataFrame) -> DataFrame:
+    """How many kinds of values each variant column holds, and the share of arrays and objects among them, over all rows."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
+    kinds = [F.regexp_extract(F.schema_of_variant(F.col(n)), r"^\w+", 0).alias(n) for n in names]
+    counted = df.select(*kinds).unpivot([], names, "column", "kind").where("kind <> 'VOID'").groupBy("column", "kind").agg(F.count("*").alias("n"))
+    structured = F.sum(F.when(F.col("kind").isin("ARRAY", "OBJECT"), F.col("n")).otherwise(0))
+    return counted.groupBy("column").agg(F.count("*").cast("int").alias("kinds"), (structured / F.sum("n")).alias("structured"))
+
+
 def cleaning_plan(df: DataFrame, spec: CollectionSpec | None = None, strict: bool = True) -> dict[str, Action]:
-    """An action per text column. Collects one row per column."""
+    """An action per text column, and per variant column of mixed kinds. Collects one row per column."""
     names = string_columns(df)
+    plan: dict[str, Action] = {}
+    if any(isinstance(f.dataType, T.VariantType) for f in df.schema):
+        plan |= {r["column"]: "text" for r in kind_report(df).collect() if is_mixed(r["kinds"], r["structured"])}
     if not names:
-        return {}
-    plan = {}
+        return plan
     for row in evidence_report(df).collect():
         e = ColumnEvidence(**row.asDict())
         hint = HINTED.get((spec.column_types if spec else {}).get(e.column, "").lower())
@@ -178,6 +201,7 @@ def converted(column: str, action: Action) -> Column:
         "timestamp": P.parsed_timestamp,
         "epoch": P.epoch_timestamp,
         "boolean": P.truth_value,
+        "text": lambda v: v.cast("string"),
         "keep": lambda v: v,
     }[action](value)
 

@@ -320,9 +320,21 @@ def progress_report(progress: DataFrame, batch: int = 1000) -> DataFrame:
     )
 
 
-def json_structure(df: DataFrame, column: str) -> DataFrame:
-    """The merged schema of all JSON texts of a column, as one row of text."""
-    return df.agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("structure"))
+def json_structure(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
+    """``key, kind, count``: every key path of the objects in a JSON text column, with each kind of value found there, over all rows.
+
+    Objects are opened level by level, ``depth`` of them; a row leaves one row per key. Texts that are no JSON are left out.
+    """
+    level = df.select(F.lit("$").alias("key"), F.try_parse_json(column).alias("value")).where("value is not null")
+    found = None
+    for _ in range(depth):
+        # variant_explode also opens arrays, whose entries have no key.
+        level = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).select(F.col("key").alias("name"), F.col("value").alias("inner")))
+        level = level.where("name is not null").select(F.concat_ws(".", "key", "name").alias("key"), F.col("inner").alias("value"))
+        kinds = level.groupBy("key", F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0).alias("kind")).agg(F.count("*").alias("count"))
+        found = kinds if found is None else found.unionByName(kinds)
+        level = level.where(F.schema_of_variant("value").startswith("OBJECT"))
+    return found
 
 
 def field_structure(df: DataFrame) -> DataFrame:
