@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlake.catalog.base import query, rounded
+from emberlake.catalog.base import query, rounded, token_slots_sql
 from emberlake.operators import learning as LE
 from emberlake.operators import logs as LO
 from emberlake.operators.vector import embed_text
@@ -106,10 +106,21 @@ def _(spark, sf):
     return login.join(code, "event_id").join(LO.sql_events(rows).select("event_id", F.col("message").alias("sql")), "event_id")
 
 
-@query("vec10_search_logs")
+_ASKED = "error error part-3"
+
+
+@query("vec10_search_logs", f"""
+WITH logs AS (SELECT event_id, event_type, component, concat_ws(' ', event_type, log_level, component, props) AS text FROM {LOG}),
+texts AS (SELECT event_id, text FROM logs WHERE event_type IN ('error', 'click') UNION ALL SELECT -1, '{_ASKED}'), {token_slots_sql("texts", "event_id", "text", 64)},
+v AS (SELECT key, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY key)))::FLOAT::DOUBLE AS w FROM slots),
+norms AS (SELECT key, sqrt(sum(w * w)) AS size FROM v GROUP BY key),
+scored AS (SELECT key AS event_id, round(coalesce(dot, 0) / (size * (SELECT size FROM norms WHERE key = -1) + 1e-8), 9) AS score
+  FROM norms LEFT JOIN (SELECT a.key, sum(a.w * b.w) AS dot FROM v a JOIN v b ON a.slot = b.slot AND b.key = -1 GROUP BY a.key) USING (key) WHERE key <> -1)
+SELECT event_id, event_type, component, round(score, 6) AS score FROM scored JOIN logs USING (event_id) ORDER BY scored.score DESC, event_id LIMIT 50""")
 def _(spark, sf):
+    """From a question in words to the logs nearest to it."""
     logs = embed_text(query_log(spark, sf).withColumn("text", F.concat_ws(" ", "event_type", "log_level", "component", "props")), "text")
-    wanted = embed_text(spark.createDataFrame([("error error part-3",)], "text string"), "text").first().embedding
+    wanted = embed_text(spark.createDataFrame([(_ASKED,)], "text string"), "text").first().embedding
     hits = LO.search_logs(logs.select("event_id", "event_type", "component", "props", "embedding"), wanted, {"event_type": ["error", "click"]})
     return hits.select("event_id", "event_type", "component", F.round("score", 6).alias("score"))
 

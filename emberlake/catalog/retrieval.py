@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlake.catalog.base import query, rounded
+from emberlake.catalog.base import query, rounded, token_slots_sql
 from emberlake.functions import vectors as VX
 from emberlake.operators import vector as V
 from emberlake.sources.readers import scan_vectors, table
@@ -129,9 +129,13 @@ def _(spark, sf):
     return rounded(V.first_nonempty_stage(stages, asked, "query_id").select("query_id", "doc_id", "source"))
 
 
-@query("vec08_embed_text")
+@query("vec08_embed_text", f"""
+WITH {token_slots_sql("documents", "doc_id", "text", 64)}
+SELECT key AS doc_id, slot, round((n / sqrt(sum(n * n) OVER (PARTITION BY key)))::FLOAT::DOUBLE, 4) AS weight FROM slots""")
 def _(spark, sf):
-    return rounded(V.embed_text(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding"))
+    """The vectors of all documents, their entries other than zero as rows."""
+    vectors = V.embed_text(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
+    return rounded(vectors.where("weight <> 0"))
 
 
 @query("vec09_vector_sizes", "SELECT CAST(len(embedding) AS BIGINT) AS vector_size, count(*) AS count FROM embeddings GROUP BY 1")

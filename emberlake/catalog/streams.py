@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlake.catalog.base import query, rounded
+from emberlake.catalog.base import query, rounded, token_slots_sql
 from emberlake.operators import incremental as I
 from emberlake.operators.project import composite_id, labelled_text
 from emberlake.operators.vector import embed_text
@@ -181,10 +181,12 @@ def _(spark, sf):
     return pairs.unionByName(I.training_pairs(table(spark, sf, "documents"), ("doc_id", "lang")))
 
 
-@query("inc05_chunked_build", """
-SELECT DISTINCT sha256(concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id,
-  concat_ws(' | ', 'Property type: ' || p_type, 'Bedrooms: ' || p_size, 'Address: ' || p_name) AS text, 32::BIGINT AS vector_size, 1.0::DOUBLE AS vector_length
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+@query("inc05_chunked_build", f"""
+WITH lines AS (SELECT DISTINCT sha256(concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id,
+  concat_ws(' | ', 'Property type: ' || p_type, 'Bedrooms: ' || p_size, 'Address: ' || p_name) AS text FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+texts AS (SELECT DISTINCT text FROM lines), {token_slots_sql("texts", "text", "text", 32)},
+v AS (SELECT key, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY key)))::FLOAT::DOUBLE AS w FROM slots)
+SELECT id, text, vector FROM lines JOIN (SELECT key, string_agg(slot || '=' || CAST(round(w * 1000) AS BIGINT), ';' ORDER BY slot) AS vector FROM v GROUP BY key) ON key = text""")
 def _(spark, sf):
     """Read, join, describe, encode and merge, batch by batch; ids are key hashes, unique across batches. One run is stopped half-way."""
     path = fresh_path(spark, "build")
@@ -199,5 +201,6 @@ def _(spark, sf):
     source = _landed(spark, sf, "lineitem", "l_orderkey")
     for most in (2, None):
         target = J.build_index(spark, source, f"{path}/points", f"{path}/progress", "lines", id_column="id", prepare=prepare, max_batches=most)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return rounded(read_published(spark, target).select("id", "text", F.size("vector").alias("vector_size"), F.round(length, 3).alias("vector_length")))
+    entries = F.filter(F.transform("vector", lambda w, i: F.struct(i.alias("slot"), F.round(w.cast("double") * 1000).cast("long").alias("w"))), lambda e: e["w"] != 0)
+    vector = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["slot"], e["w"])), ";")
+    return read_published(spark, target).select("id", "text", vector.alias("vector"))

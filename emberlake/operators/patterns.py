@@ -1,7 +1,7 @@
 """Question patterns: scoring, best match, query enhancement, fuzzy names.
 
-Scoring compares every question with every pattern, but no pair ever becomes a row: the patterns sit
-beside the question as an array, and an expression reduces it to the best one.
+A collection's own patterns, a bounded list, sit beside the question as an array, and an expression reduces it to the best one.
+Stored patterns, any number of them, are found by an index of their texts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators.containment import contained_pairs
 from emberlake.operators.questions import mentioned, mentions_any
+from emberlake.session import stage
 from emberlake.spec import MATCH_THRESHOLD, CollectionSpec, Pattern
 
 # Scores of the match rules.
@@ -23,7 +25,6 @@ PATTERN_TYPE = (
     "struct<place:double, question_pattern:string, answer_intent:string, samples:array<string>, "
     "entities:array<string>, expected_columns:array<string>, search_strategy:string>"
 )
-PATTERNS_PER_CHUNK = 500
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -86,14 +87,14 @@ def match_patterns(
 
     ``stored`` holds further patterns (``question_pattern, answer_intent, samples, entities,
     expected_columns, search_strategy, confidence_score``), taken after the collection's own in order
-    of confidence, pattern and intent, and matched chunk by chunk; those without a pattern are left out.
+    of confidence, pattern and intent, and found by pieces of their texts; those without a pattern are left out, and so are empty entities.
     """
     q = F.col(question)
     prepared = df.withColumns({"__q": F.lower(q), "__k": keyword_share(q, spec)})
     own = pattern_array(spec.patterns)
     best = _best(own, F.col("__q"), F.col("__k"), threshold)
     if stored is not None:
-        prepared = _chunked_best(prepared, _stored_rows(stored), threshold)
+        prepared = _stored_best(prepared, _stored_rows(stored), threshold)
         late = F.col("__late")
         best = F.when(best.isNull() | (late["negative"] < best["negative"]), late).otherwise(best) if spec.patterns else late
     return prepared.withColumn("__m", best).withColumn("match", F.when(F.col("__m").isNotNull(), F.struct(
@@ -108,29 +109,57 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name)
 
     return stored.where("question_pattern is not null").select(
-        "question_pattern", "answer_intent", array_or_empty("samples"), array_or_empty("entities"),
+        "question_pattern", "answer_intent", array_or_empty("samples"),
+        F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: e != "").alias("entities"),
         array_or_empty("expected_columns"), F.coalesce("search_strategy", F.lit("")).alias("search_strategy"),
         F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
     ).distinct()
 
 
-def _chunked_best(df: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Every question visits every chunk of patterns and leaves one candidate per chunk."""
-    chunks = max(1, math.ceil(rows.count() / PATTERNS_PER_CHUNK))
-    packed = rows.select(
-        F.pmod(F.xxhash64(*rows.columns), F.lit(chunks)).cast("int").alias("__c"),
-        F.struct(
-            (-F.col("confidence_score")).alias("place"), "question_pattern", "answer_intent", "samples", "entities",
-            "expected_columns", "search_strategy",
-        ).alias("p"),
-    ).groupBy("__c").agg(F.collect_list("p").alias("__patterns"))  # a hash chunk: about PATTERNS_PER_CHUNK rows
-    visits = df.withColumn("__id", F.xxhash64("__q")).select("__id", "__q", "__k").distinct().withColumn(
-        "__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    )
-    found = visits.join(packed, "__c").select(
-        "__q", _best(F.col("__patterns"), F.col("__q"), F.col("__k"), threshold).alias("b")
-    ).groupBy("__q").agg(F.min("b").alias("__late"))
-    return df.join(found, "__q", "left")
+def _candidate(score: Column, best: Column) -> Column:
+    """A pattern with its score, as a struct that sorts first where it is better."""
+    return F.struct((-score).alias("negative"), *[best[n].alias(n) for n in ("place", "question_pattern", "answer_intent", "expected_columns", "search_strategy")])
+
+
+def _stored_best(df: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Add ``__late``, the best stored pattern of each question at or above the threshold.
+
+    Patterns whose text or samples contain the question, or are contained in it, are found by pieces of their texts. Equal
+    texts stand for the best of their patterns. Patterns that score by their entities can only reach the threshold for questions
+    whose keyword share leaves enough; only those meet entities, and equal lists of entities are one.
+    """
+    asked = stage(df.select("__q", "__k").where("__q is not null").distinct(), "asked")
+    best = F.min(F.struct((-F.col("confidence_score")).alias("place"), "question_pattern", "answer_intent", "expected_columns", "search_strategy")).alias("best")
+    by_text = [
+        rows.select(F.lower("question_pattern").alias("text"), F.lit(SCORE_PATTERN).alias("score"), *rows.columns),
+        rows.select(F.explode(F.transform("samples", F.lower)).alias("text"), F.lit(SCORE_SAMPLE).alias("score"), *rows.columns),
+    ]
+    texts = stage(by_text[0].unionByName(by_text[1]).where(F.col("text").isNotNull() & (F.col("score") >= threshold)).groupBy("text", "score").agg(best), "texts")
+    inside = contained_pairs(texts.select(F.col("text").alias("part")), asked.select(F.col("__q").alias("whole"))).select(F.col("part").alias("text"), F.col("whole").alias("__q"))
+    around = contained_pairs(asked.select(F.col("__q").alias("part")), texts.select(F.col("text").alias("whole"))).select(F.col("whole").alias("text"), F.col("part").alias("__q"))
+    by_text_found = inside.unionByName(around).join(texts, "text").select("__q", _candidate(F.col("score"), F.col("best")).alias("c"))
+
+    # The keyword share bounds what entities can add.
+    score = lambda share: F.least(share * WEIGHT_ENTITIES + F.col("__k") * WEIGHT_KEYWORDS, F.lit(SCORE_CAP))
+    lists = rows.withColumn("list", F.transform("entities", F.lower)).groupBy("list").agg(best)
+    words = lists.select("list", F.explode("list").alias("entity")).groupBy("list", "entity").agg(F.count("*").alias("times"))
+    able = asked.where(score(F.lit(1.0)) >= threshold)
+    met = contained_pairs(words.select(F.col("entity").alias("part")), able.select(F.col("__q").alias("whole"))).select(F.col("part").alias("entity"), F.col("whole").alias("__q"))
+    hits = met.join(words, "entity").groupBy("__q", "list").agg(F.sum("times").alias("hits"))
+    scored = hits.join(lists, "list").join(able, "__q").withColumn("s", score(F.col("hits") / F.size("list"))).where(F.col("s") >= threshold)
+    found = by_text_found.unionByName(scored.select("__q", _candidate(F.col("s"), F.col("best")).alias("c")))
+
+    # What holds for all questions alike: an empty text is in each of them, an empty question is in each text, and
+    # without any entity the first pattern is as good as all others.
+    everywhere = texts.where("text = ''").agg(F.min(_candidate(F.col("score"), F.col("best"))).alias("c")).scalar()
+    anywhere = texts.agg(F.min(_candidate(F.col("score"), F.col("best"))).alias("c")).scalar()
+    first = lists.agg(F.min("best").alias("best")).scalar()
+    found = asked.join(found.groupBy("__q").agg(F.min("c").alias("c")), "__q", "left")
+    more = [F.col("c"), everywhere, F.when(F.col("__q") == "", anywhere)]
+    if threshold <= WEIGHT_KEYWORDS:
+        more.append(F.when(score(F.lit(0.0)) >= threshold, _candidate(score(F.lit(0.0)), first)))
+    late = found.select("__q", F.array_min(F.array_compact(F.array(*more))).alias("__late"))
+    return df.join(late, "__q", "left")
 
 
 def intents_mentioned(question: Column, words: Mapping[str, Sequence[str]]) -> Column:

@@ -433,3 +433,55 @@ def test_columns_of_connections_are_those_of_the_pattern(spark):
     assert found == [[], ["EMSN", "ADDRESS", "POSTCODE", "UPRN", "apiStatus"]]
     with pytest.raises(TypeError):
         type(CONNECTIONS.dictionary[0])("UPRN", "text", "string")
+
+
+def test_contained_pairs_equal_all_pairs(spark):
+    import random
+
+    from emberlake.operators.containment import contained_pairs
+
+    draw = random.Random(2)
+    word = lambda low, high: "".join(draw.choice("abé🎉") for _ in range(draw.randint(low, high)))
+    parts, wholes = [word(0, 5) for _ in range(60)] + [None], [word(0, 30) for _ in range(80)] + [None, "a", "ab"]
+    found = contained_pairs(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
+    want = {(p, w) for p in parts for w in wholes if p and w is not None and p in w}
+    got = [(r.part, r.whole) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.92])
+def test_stored_patterns_equal_scoring_all(spark, threshold):
+    import random
+
+    draw = random.Random(4)
+    words = ["mpan", "error", "meter", "postcode", "xx", "q", "supplier", "é"]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(draw.randint(1, n)))
+    stored = [(text(3), f"intent{i % 7}", [text(4) for _ in range(i % 3)], [draw.choice(words).upper() for _ in range(i % 4)], [f"c{i}"], "s", round(draw.random(), 1)) for i in range(40)]
+    stored += [(None, "none", [], [], [], "s", 1.0), stored[0]]
+    kind = "question_pattern string, answer_intent string, samples array<string>, entities array<string>, expected_columns array<string>, search_strategy string, confidence_score double"
+    asked = [text(7).title() for _ in range(60)] + ["", None, "Mpan", "nothing known"]
+    spec = type(TECH_DETAILS)("own", intent_keywords={"a": ("mpan", "error"), "b": ("supplier", "zz")})
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i long, question string")
+    found = {r.i: r.match for r in patterns.match_patterns(df, spec, stored=spark.createDataFrame(stored, kind), threshold=threshold).collect()}
+    assert len(found) == len(asked)
+    for i, q in enumerate(asked):
+        low = None if q is None else q.lower()
+        options = []
+        for p, intent, samples, entities, columns, strategy, confidence in [s for s in stored if s[0]] if q is not None else []:
+            share = sum(w.lower() in low for w in ("mpan", "error", "supplier", "zz")) / 4.0
+            part = sum(e.lower() in low for e in entities) / len(entities) if entities else 0.0
+            meets = lambda t: t.lower() in low or low in t.lower()
+            score = 0.95 if meets(p) else 0.9 if any(map(meets, samples)) else min(part * 0.4 + share * 0.6, 0.85)
+            if score >= threshold:
+                options.append((-score, -confidence, p, intent, columns))
+        best = min(options) if options else None
+        got = found[i] and (-found[i].score, found[i].question_pattern, found[i].answer_intent, found[i].expected_columns)
+        assert got == (best and (best[0], *best[2:])), q
+
+
+def test_no_question_visits_all_stored_patterns(spark):
+    stored = spark.range(50).select(F.concat(F.lit("pattern "), "id").alias("question_pattern"), F.lit("i").alias("answer_intent"), F.array().cast("array<string>").alias("samples"),
+        F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("expected_columns"), F.lit("s").alias("search_strategy"), F.lit(1.0).alias("confidence_score"))
+    asked = spark.range(50).select(F.concat(F.lit("show pattern "), "id").alias("question"))
+    plan = plan_of(patterns.match_patterns(asked, type(TECH_DETAILS)("own"), stored=stored))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
