@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberlake.catalog.base import query, rounded
@@ -54,6 +56,15 @@ def _(spark, sf):
     return rounded(R.read_lake_table(spark, f"{sf}/customer.parquet"))
 
 
+@query("src06_catalog_table", f"SELECT * FROM ({CUSTOMER_SQL}) UNION ALL (SELECT * FROM ({CUSTOMER_SQL}) ORDER BY c_acctbal DESC, c_custkey LIMIT 25)")
+def _(spark, sf):
+    """A table of the session's catalog by its name, whole, and its first rows in an order."""
+    name = f"customers_{uuid.uuid4().hex}"
+    table(spark, sf, "customer").createTempView(name)
+    first = R.read_lake_table(spark, name, limit=25, order=[F.desc("c_acctbal"), "c_custkey"])
+    return rounded(R.read_lake_table(spark, name).unionByName(first))
+
+
 @query("src08_documents", "SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
 def _(spark, sf):
     docs = table(spark, sf, "documents").withColumn("_id", F.col("doc_id")).select("_id", "doc_id", "lang").orderBy("doc_id")

@@ -135,8 +135,8 @@ def hybrid_search(
         hits = hits.join(pool.select(id_column, *[k for k in keys if k != id_column]), id_column)
     wanted = hits.select(*keys).distinct()
     rows = raw if where_raw is None else raw.where(where_raw)
-    # At most n keys.
-    return rows.join(F.broadcast(wanted), list(keys), "left_semi")
+    # At most n keys; Spark broadcasts them if they are few.
+    return rows.join(wanted, list(keys), "left_semi")
 
 
 def first_nonempty_stage(

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: By application: the paths that ``fresh_path`` has given out.
+_GIVEN: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "emberlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,7 +51,21 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Remove what this session has put below its fresh paths; returns how many there were.
+
+    For the owner of a job, once its results are written elsewhere: results that still read staged folders end with them.
+    """
+    paths = _GIVEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -80,10 +80,17 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
-def read_lake_table(spark: SparkSession, name_or_path: str, format: str = "parquet", limit: int | None = None) -> DataFrame:
-    """A catalog table, or a path in a lake format; Delta works where its package is installed."""
+def read_lake_table(spark: SparkSession, name_or_path: str, format: str = "parquet", limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """A table or view of the session's catalog, or a path in a lake format; Delta works where its package is installed.
+
+    A limit takes the first rows in the given order.
+    """
     df = spark.read.format(format).load(name_or_path) if "/" in name_or_path else spark.read.table(name_or_path)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    if not order:
+        raise ValueError("a limit needs an order")
+    return df.orderBy(*order).limit(limit)
 
 
 def read_documents(df: DataFrame, where: Column | None = None, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:

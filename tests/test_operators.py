@@ -485,3 +485,23 @@ def test_no_question_visits_all_stored_patterns(spark):
     asked = spark.range(50).select(F.concat(F.lit("show pattern "), "id").alias("question"))
     plan = plan_of(patterns.match_patterns(asked, type(TECH_DETAILS)("own"), stored=stored))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_staged_folders_go_with_their_owner(spark, monkeypatch):
+    import os
+
+    from emberlake import session
+
+    monkeypatch.setattr(session, "_GIVEN", {})
+    staged = session.stage(spark.range(10), "numbers")
+    folder = session._GIVEN[spark.sparkContext.applicationId][0].removeprefix("file:")
+    assert staged.count() == 10 and os.path.isdir(folder)
+    assert session.remove_staged(spark) == 1 and not os.path.exists(folder)
+    assert session.remove_staged(spark) == 0
+
+
+def test_a_limited_lake_table_needs_an_order(spark):
+    spark.range(9).createOrReplaceTempView("nine")
+    assert rows(readers.read_lake_table(spark, "nine", limit=2, order=[F.desc("id")])) == [(8,), (7,)]
+    with pytest.raises(ValueError):
+        readers.read_lake_table(spark, "nine", limit=2)
