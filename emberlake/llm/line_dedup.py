@@ -7,8 +7,9 @@ its prefix: similar sets share a word there. Pairs that meet in a prefix pass th
 (what may still overlap after the two places must reach the needed overlap), and are verified on their words.
 
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
-that is the same for all lines gives the exact join; rarity only keeps the posting lists short. In lists a word is known by 58 bits of
-its hash and the magnitude of its count, equal sets by the MD5 of their sorted words; sizes are those of the words themselves.
+that is the same for all lines gives the exact join; rarity only keeps the posting lists short. Inside a line a word is known by the
+magnitude of its count and 58 bits of its hash, equal sets by 128 bits of those, in lists a word is known by 32 bits; every pair that
+the lists give is compared on the words themselves.
 
 So that many variants of one line are not paired with each other, each set first meets, by its rarest words, only the earliest
 set of about its length; sets removed that way no longer ask, and only the others meet whole lists.
@@ -34,23 +35,24 @@ _GAPS = " \t\n\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, place, line)``: the lines with a word, trimmed; places count from 0 over all lines of a text."""
+    """``(doc_id, place, line)``: the lines with a word, with plain spaces and trimmed; places count from 0 over all lines of a text."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text_column, "\n")).alias("place", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(_GAPS))).where("line <> ''")
+    return rows.withColumn("line", F.btrim(F.translate("line", _GAPS, " " * len(_GAPS)))).where("line <> ''")
 
 
 def _words(line: str) -> Column:
-    return F.split(line, WORD_GAP)
+    """The words of a line from ``lines_of``, perhaps with empty ones between."""
+    return F.split(line, " ")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """How often the words of each bucket occur, as one constant array of ``BUCKETS`` numbers."""
+def _magnitudes(lines: DataFrame) -> Column:
+    """The binary magnitude of how often the words of each bucket occur, as one constant array of ``BUCKETS`` numbers."""
     word = lines.select(F.explode(_words("line")).alias("word"))
-    counts = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n")).collect()
     table = [0] * BUCKETS
     for row in counts:
-        table[row["bucket"]] = min(row["n"], (1 << 30) - 1)
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+        table[row["bucket"]] = min(31, row["n"].bit_length())
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -60,28 +62,30 @@ def _needed(n: Column, percent: int) -> Column:
 
 def _sets(lines: DataFrame, percent: int) -> DataFrame:
     """Every line with its set's size, its earliest equal, and, if it is that itself, its prefix."""
-    rarity = _rarity(lines)
-    level = lambda w: F.floor(F.log2(F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")) + 1)).cast("long")
-    key = lambda w: F.shiftleft(level(w), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
-    rows = lines.withColumn("words", F.sort_array(F.array_distinct(_words("line"))))
-    rows = rows.select("doc_id", "place", F.size("words").alias("n"), F.unhex(F.md5(F.array_join("words", " "))).alias("digest"), F.sort_array(F.transform("words", key)).alias("keys"))
-    rows = rows.select("doc_id", "place", "n", "digest", F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1).alias("prefix"))
-    equal = Window.partitionBy("digest").orderBy("doc_id", "place")
+    magnitudes = _magnitudes(lines)
+    empty = F.xxhash64(F.lit(""))
+    rows = lines.select("doc_id", "place", F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), empty).alias("hashes"))
+    key = lambda h: F.shiftleft(F.get(magnitudes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    rows = rows.select("doc_id", "place", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    prefix = F.transform(F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1), lambda k: F.shiftrightunsigned(F.shiftleft(k, 32), 32) - 2**31)
+    rows = rows.select("doc_id", "place", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.cast("array<int>").alias("prefix"))
+    equal = Window.partitionBy("h1", "h2").orderBy("doc_id", "place")
     rows = rows.withColumns({"first_doc": F.first("doc_id").over(equal), "first_place": F.first("place").over(equal), "nth": F.row_number().over(equal)})
     return rows.select("doc_id", "place", "n", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
 
 
 def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs (doc_id, place, other_doc, other_place)`` whose lines are similar enough, by their words.
+    """Per line of ``pairs (doc_id, place, other_doc, other_place)`` the earliest other that is similar enough by its words.
 
-    ``placed`` holds the lines dealt out by document and place; both joins read that one exchange.
+    ``placed`` holds the lines dealt out by document and place; all joins read that one exchange.
     """
     theirs = placed.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("line").alias("other_line"))
     both = pairs.join(theirs, ["other_doc", "other_place"]).join(placed, ["doc_id", "place"])
-    both = both.withColumns({"a": F.array_distinct(_words("line")), "b": F.array_distinct(_words("other_line"))})
+    words = lambda line: F.array_remove(F.array_distinct(_words(line)), "")
+    both = both.select("doc_id", "place", "other_doc", "other_place", words("line").alias("a"), words("other_line").alias("b"))
     both = both.withColumn("overlap", F.size(F.array_intersect("a", "b")))
-    similar = 100 * F.col("overlap") >= percent * (F.size("a") + F.size("b") - F.col("overlap"))
-    return both.where(similar).select("doc_id", "place", "other_doc", "other_place")
+    similar = both.where(100 * F.col("overlap") >= percent * (F.size("a") + F.size("b") - F.col("overlap")))
+    return similar.groupBy("doc_id", "place").agg(F.min(F.struct("other_doc", "other_place")).alias("o"))
 
 
 def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -97,17 +101,16 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rarest = rarest.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     lists = Window.partitionBy("word", "band").orderBy("doc_id", "place")
     earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"))}
-    near = _verified(_filtered(rarest.withColumns(earliest), percent), placed, percent).dropDuplicates(["doc_id", "place"])
-    near = stage(near, "near-lines")
-
-    # Those not removed so far ask all earlier sets of their lists; both sides read one exchange.
-    resolved = near.select("doc_id", "place", F.lit(False).alias("asks"))
-    listed = firsts.join(resolved, ["doc_id", "place"], "left").withColumn("asks", F.col("asks").isNull())
-    listed = listed.select("doc_id", "place", "n", "asks", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("n").alias("m"), F.col("at").alias("other_at"))
-    rest = _verified(_filtered(listed.where("asks").join(others, "word"), percent), placed, percent)
-    found = near.unionByName(rest).groupBy("doc_id", "place").agg(F.min(F.struct("other_doc", "other_place")).alias("o"))
-    return equal.unionByName(found.select("doc_id", "place", "o.other_doc", "o.other_place"))
+    near = _verified(_filtered(rarest.withColumns(earliest), percent), placed, percent)
+
+    # Those not removed so far ask all earlier sets of their lists; both sides read one exchange. A set that asks no more has its
+    # size negative.
+    listed = firsts.join(near.select("doc_id", "place", F.lit(-1).alias("sign")), ["doc_id", "place"], "left")
+    listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), F.posexplode("prefix").alias("at", "word")).repartition("word")
+    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.abs("n").alias("m"), F.col("at").alias("other_at"))
+    rest = _verified(_filtered(listed.where("n > 0").join(others, "word"), percent), placed, percent)
+    found = near.unionByName(rest).select("doc_id", "place", "o.other_doc", "o.other_place")
+    return equal.unionByName(found)
 
 
 def _filtered(met: DataFrame, percent: int) -> DataFrame:
