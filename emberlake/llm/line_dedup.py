@@ -3,8 +3,9 @@
 A line is the set of its words. A line is removed if an earlier one (by document id, then place) has a Jaccard
 similarity of ``percent`` hundredths or more with it; both count as they stand in the input. Lines with equal sets are
 first reduced to the earliest. Of each set the words are put in order of rarity and the first ``n - ceil(t n) + 1`` are
-its prefix: similar sets share a word there. Pairs that meet in a prefix pass the length filter and the positional filter
-(what may still overlap after the two places must reach the needed overlap), and are verified on their words.
+its prefix: similar sets share a word there. Pairs that meet in a prefix pass the length filter, the positional filter
+(what may still overlap after the two places must reach the needed overlap) and a filter by 64-bit maps of the words (each
+bit in which two maps differ is a word that the sets do not share), and are verified on their words.
 
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
 that is the same for all lines gives the exact join; rarity only keeps the posting lists short. Inside a line a word is known by the
@@ -31,13 +32,17 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: How many words of a prefix the first, cheap round looks at.
 _RAREST = 3
-_GAPS = " \t\n\x0b\x0c\r"
+#: What separates words besides the space.
+_GAPS = "\t\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, place, line)``: the lines with a word, with plain spaces and trimmed; places count from 0 over all lines of a text."""
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text_column, "\n")).alias("place", "line"))
-    return rows.withColumn("line", F.btrim(F.translate("line", _GAPS, " " * len(_GAPS)))).where("line <> ''")
+    text = F.col(text_column)
+    for gap in _GAPS:
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    return rows.withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def _words(line: str) -> Column:
@@ -66,12 +71,13 @@ def _sets(lines: DataFrame, percent: int) -> DataFrame:
     empty = F.xxhash64(F.lit(""))
     rows = lines.select("doc_id", "place", F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), empty).alias("hashes"))
     key = lambda h: F.shiftleft(F.get(magnitudes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-    rows = rows.select("doc_id", "place", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    rows = rows.select("doc_id", "place", F.size("hashes").alias("n"), bits.alias("bits"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     prefix = F.transform(F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1), lambda k: F.shiftrightunsigned(F.shiftleft(k, 32), 32) - 2**31)
-    rows = rows.select("doc_id", "place", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.cast("array<int>").alias("prefix"))
+    rows = rows.select("doc_id", "place", "n", "bits", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.cast("array<int>").alias("prefix"))
     equal = Window.partitionBy("h1", "h2").orderBy("doc_id", "place")
     rows = rows.withColumns({"first_doc": F.first("doc_id").over(equal), "first_place": F.first("place").over(equal), "nth": F.row_number().over(equal)})
-    return rows.select("doc_id", "place", "n", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
+    return rows.select("doc_id", "place", "n", "bits", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
 
 
 def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -94,33 +100,34 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     sets = stage(_sets(lines, percent), "line-sets")
     placed = lines.repartition("doc_id", "place")
     equal = sets.where("doc_id <> first_doc or place <> first_place").select("doc_id", "place", F.col("first_doc").alias("other_doc"), F.col("first_place").alias("other_place"))
-    firsts = sets.where("prefix is not null").select("doc_id", "place", "n", "prefix")
+    firsts = sets.where("prefix is not null").select("doc_id", "place", "n", "bits", "prefix")
 
     # By their rarest words sets of about one size (bands a quarter apart) meet the earliest one.
-    rarest = firsts.select("doc_id", "place", "n", F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
+    rarest = firsts.select("doc_id", "place", "n", "bits", F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
     rarest = rarest.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     lists = Window.partitionBy("word", "band").orderBy("doc_id", "place")
-    earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"))}
+    earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"), ("other_bits", "bits"))}
     near = _verified(_filtered(rarest.withColumns(earliest), percent), placed, percent)
 
     # Those not removed so far ask all earlier sets of their lists; both sides read one exchange. A set that asks no more has its
     # size negative.
     listed = firsts.join(near.select("doc_id", "place", F.lit(-1).alias("sign")), ["doc_id", "place"], "left")
-    listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), F.posexplode("prefix").alias("at", "word")).repartition("word")
-    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.abs("n").alias("m"), F.col("at").alias("other_at"))
+    listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.abs("n").alias("m"), F.col("at").alias("other_at"), F.col("bits").alias("other_bits"))
     rest = _verified(_filtered(listed.where("n > 0").join(others, "word"), percent), placed, percent)
     found = near.unionByName(rest).select("doc_id", "place", "o.other_doc", "o.other_place")
     return equal.unionByName(found)
 
 
 def _filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a set with an earlier one that pass the length and the positional filter."""
+    """Distinct pairs of a set with an earlier one that pass the filters by length, position and word maps."""
     earlier = (F.col("other_doc") < F.col("doc_id")) | ((F.col("other_doc") == F.col("doc_id")) & (F.col("other_place") < F.col("place")))
     lengths = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # Overlap o gives a similarity of o / (n + m - o); from a common word on the sets may still share the rest.
     needed = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     position = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= needed
-    return met.where(earlier & lengths & position).select("doc_id", "place", "other_doc", "other_place").distinct()
+    maps = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= F.col("n") + F.col("m") - 2 * needed
+    return met.where(earlier & lengths & maps & position).select("doc_id", "place", "other_doc", "other_place").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
