@@ -114,7 +114,8 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     listed = firsts.join(near.select("doc_id", "place", F.lit(-1).alias("sign")), ["doc_id", "place"], "left")
     listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
     others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.abs("n").alias("m"), F.col("at").alias("other_at"), F.col("bits").alias("other_bits"))
-    rest = _verified(_filtered(listed.where("n > 0").join(others, "word"), percent), placed, percent)
+    # The sign is tested on joined rows: before the join the test would give the sides plans of their own, and so two exchanges.
+    rest = _verified(_filtered(listed.join(others, "word").where(F.col("n") * F.col("m") > 0), percent), placed, percent)
     found = near.unionByName(rest).select("doc_id", "place", "o.other_doc", "o.other_place")
     return equal.unionByName(found)
 
