@@ -4,8 +4,9 @@ A line is the set of its words. A line is removed if an earlier one (by document
 similarity of ``percent`` hundredths or more with it; both count as they stand in the input. Lines with equal sets are
 first reduced to the earliest. Of each set the words are put in order of rarity and the first ``n - ceil(t n) + 1`` are
 its prefix: similar sets share a word there. Pairs that meet in a prefix pass the length filter, the positional filter
-(what may still overlap after the two places must reach the needed overlap) and a filter by 64-bit maps of the words (each
-bit in which two maps differ is a word that the sets do not share), and are verified on their words.
+(what may still overlap after the two places must reach the needed overlap), a filter by 64-bit maps of the words (each
+bit in which two maps differ is a word that the sets do not share) and one by the number of words that their prefixes share, and
+are verified on their words.
 
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
 that is the same for all lines gives the exact join; rarity only keeps the posting lists short. Inside a line a word is known by the
@@ -13,7 +14,8 @@ magnitude of its count and 58 bits of its hash, equal sets by 128 bits of those,
 the lists give is compared on the words themselves.
 
 So that many variants of one line are not paired with each other, each set first meets, by its rarest words, only the earliest
-set of about its length; sets removed that way no longer ask, and only the others meet whole lists.
+set of about its length; sets removed that way no longer ask, and only the others meet whole lists. The result names one earlier
+line for each line to remove, not all that are like it.
 
 Edge cases: null and empty texts have no lines; lines without a word never match and stay; equal lines within one
 document count as repeats; rows that share an id count as one document, whose lines at one place go together; an
@@ -31,7 +33,7 @@ from emberlake.session import stage
 PERCENT = 80
 BUCKETS = 1 << 16
 #: How many words of a prefix the first, cheap round looks at.
-_RAREST = 3
+_RAREST = 2
 #: What separates words besides the space.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -100,7 +102,9 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     sets = stage(_sets(lines, percent), "line-sets")
     placed = lines.repartition("doc_id", "place")
     equal = sets.where("doc_id <> first_doc or place <> first_place").select("doc_id", "place", F.col("first_doc").alias("other_doc"), F.col("first_place").alias("other_place"))
-    firsts = sets.where("prefix is not null").select("doc_id", "place", "n", "bits", "prefix")
+    # None of the columns is null; said here, so that no join adds such a test to one side only and keeps it from sharing an exchange.
+    known = " and ".join(f"{c} is not null" for c in ("prefix", "doc_id", "place", "n", "bits"))
+    firsts = sets.where(known).select("doc_id", "place", "n", "bits", "prefix")
 
     # By their rarest words sets of about one size (bands a quarter apart) meet the earliest one.
     rarest = firsts.select("doc_id", "place", "n", "bits", F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
@@ -113,22 +117,49 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     # size negative.
     listed = firsts.join(near.select("doc_id", "place", F.lit(-1).alias("sign")), ["doc_id", "place"], "left")
     listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    others = listed.select("word", F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.abs("n").alias("m"), F.col("at").alias("other_at"), F.col("bits").alias("other_bits"))
+    others = listed.select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "place", "n", "at", "bits")])
+    others = others.withColumnsRenamed({"other_doc_id": "other_doc", "other_n": "m"})
     # The sign is tested on joined rows: before the join the test would give the sides plans of their own, and so two exchanges.
-    rest = _verified(_filtered(listed.join(others, "word").where(F.col("n") * F.col("m") > 0), percent), placed, percent)
-    found = near.unionByName(rest).select("doc_id", "place", "o.other_doc", "o.other_place")
+    met = listed.join(others, "word").where(F.col("n") * F.abs("m") > 0).withColumn("m", F.abs("m"))
+    pairs = _counted(met, percent)
+    # Of many earlier lines like it a line first meets the one with which it shares most; the others only if that is none.
+    closest = pairs.groupBy("doc_id", "place").agg(F.min(F.struct(-F.col("shared"), "other_doc", "other_place")).alias("c")).select("doc_id", "place", "c.other_doc", "c.other_place")
+    soon = _verified(closest, placed, percent)
+    late = _verified(pairs.drop("shared").join(soon.select("doc_id", "place"), ["doc_id", "place"], "left_anti"), placed, percent)
+    found = near.unionByName(soon).unionByName(late).select("doc_id", "place", "o.other_doc", "o.other_place")
     return equal.unionByName(found)
 
 
-def _filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a set with an earlier one that pass the filters by length, position and word maps."""
+def _possible(percent: int) -> tuple[Column, Column]:
+    """What a pair of sets must fulfil by order, sizes and word maps alone, and the overlap that it needs."""
     earlier = (F.col("other_doc") < F.col("doc_id")) | ((F.col("other_doc") == F.col("doc_id")) & (F.col("other_place") < F.col("place")))
     lengths = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    # Overlap o gives a similarity of o / (n + m - o); from a common word on the sets may still share the rest.
+    # Overlap o gives a similarity of o / (n + m - o).
     needed = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    position = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= needed
     maps = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= F.col("n") + F.col("m") - 2 * needed
-    return met.where(earlier & lengths & maps & position).select("doc_id", "place", "other_doc", "other_place").distinct()
+    return earlier & lengths & maps, needed
+
+
+def _filtered(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a set with an earlier one that can be similar, given one common word: from it on the sets may still share the rest."""
+    possible, needed = _possible(percent)
+    position = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= needed
+    return met.where(possible & position).select("doc_id", "place", "other_doc", "other_place").distinct()
+
+
+def _counted(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can be similar, given all common words of their prefixes, with the number of these.
+
+    A common word leaves out what only one of the sets can have on each side of it. The prefix that ends first in the order of
+    words has all common words up to its end; behind it lie at most ``ceil(t n) - 1``.
+    """
+    possible, needed = _possible(percent)
+    n, m, at, other_at = (F.col(c) for c in ("n", "m", "at", "other_at"))
+    position = F.least(at, other_at) + F.least(n - at, m - other_at) >= needed
+    pair = ["doc_id", "place", "other_doc", "other_place"]
+    counted = met.where(possible & position).groupBy(*pair).agg(F.count("*").cast("int").alias("shared"), F.min("n").alias("n"), F.min("m").alias("m"))
+    behind = F.greatest(_needed(n, percent), _needed(m, percent)) - 1
+    return counted.where(F.col("shared") + behind >= needed).select(*pair, "shared")
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
