@@ -109,6 +109,28 @@ class TestLines:
         assert {(r.doc_id, r.place) for r in found} == self.brute(rows)
         assert len(found) == len(self.brute(rows))
 
+    @pytest.mark.parametrize("seed", [1, 2])
+    def test_long_lines_and_many_rare_words_against_brute_force(self, spark, seed):
+        draw = random.Random(seed)
+        word = lambda: f"w{int(draw.paretovariate(0.4)) % 5000}"
+        base = [[word() for _ in range(draw.choice([3, 30, 60, 150, 400]))] for _ in range(25)]
+        rows = []
+        for i in range(70):
+            lines = []
+            for _ in range(draw.randint(1, 5)):
+                words = list(draw.choice(base)) if draw.random() < 0.8 else [word() for _ in range(draw.randint(1, 80))]
+                for _ in range(int(len(words) * draw.choice([0, 0.02, 0.08, 0.11, 0.15]))):
+                    words[draw.randrange(len(words))] = word()
+                lines.append(draw.choice([" ", "  ", "\t", "\x0b "]).join(words))
+            rows.append((i, "\n".join(lines)))
+        found = line_dedup.matches(documents(spark, rows)).collect()
+        assert {(r.doc_id, r.place) for r in found} == self.brute(rows)
+        assert len(found) == len(self.brute(rows))
+        sets = {(i, p): set(x.split()) for i, t in rows for p, x in enumerate(t.split("\n"))}
+        for r in found:
+            a, b = sets[r.doc_id, r.place], sets[r.other_doc, r.other_place]
+            assert (r.other_doc, r.other_place) < (r.doc_id, r.place) and 10 * len(a & b) >= 8 * len(a | b)
+
     def test_texts(self, spark):
         rows = [(1, "one two three\nfour five"), (2, "x\none two three\ny z"), (3, "one two three"), (4, None), (5, ""), (None, "one two three")]
         docs = documents(spark, rows)
