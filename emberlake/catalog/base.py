@@ -64,7 +64,7 @@ def token_slots_sql(source: str, key: str, text: str, size: int) -> str:
     seed 42, which the default encoder uses, written out in SQL."""
     turned = "(xor(a::UBIGINT, b::UBIGINT)::HUGEINT * 8192 % 4294967296 + xor(a::UBIGINT, b::UBIGINT)::HUGEINT // 524288)"
     return f"""
-tok AS (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')) AS t FROM {source}),
+tok AS (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {source}),
 hexed AS (SELECT t, hex(encode(t)) AS h, octet_length(encode(t)) AS len FROM (SELECT DISTINCT t FROM tok)),
 body AS (SELECT t, h, len, list_reduce(list_concat([42::HUGEINT], list_transform(range(len // 4), lambda i: {_mixed_sql(_word_sql("8 * i"))})),
   lambda a, b: ({turned} * 5 + 3864292196) % 4294967296) AS x FROM hexed),

@@ -103,10 +103,17 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select(P.composite_id(["l_orderkey", "l_linenumber"]).alias("unique_id"))
 
 
-@query("prj12_row_hash")
+_ROW = " || ',' || ".join(
+    [f"""'"{c}":' || {c}""" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + [f"""'"{c}":"' || {c} || '"'""" for c in ("l_returnflag", "l_linestatus")]
+    + ["""'"l_shipdate":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%g') || '"'"""]
+)
+
+
+@query("prj12_row_hash", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, sha256('{{' || {_ROW} || '}}') AS row_key FROM lineitem")
 def _(spark, sf):
     df = table(spark, sf, "lineitem")
-    return df.select("l_orderkey", "l_linenumber", P.row_hash(df).alias("row_key"))
+    return rounded(df.select("l_orderkey", "l_linenumber", P.row_hash(df).alias("row_key")))
 
 
 @query("prj13_payload", "SELECT vec_id, CAST(label AS BIGINT) AS payload_label, vec_id AS payload_id FROM embeddings")
