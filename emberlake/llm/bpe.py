@@ -247,8 +247,8 @@ def decode(coded: DataFrame, vocab_path: str, ids_column: str = "ids", output: s
             column = batch.column(where)
             sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
             done, at = np.cumsum(sizes), 0
-            while at < batch.num_rows:  # some million tokens at a time, as one buffer holds 2 GB
-                end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 5_000_000, "right")))
+            while at < batch.num_rows:  # half a million tokens at a time
+                end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 500_000, "right")))
                 offsets = pa.array(np.r_[0, np.cumsum(sizes[at:end])].astype(np.int32))
                 tokens = strings.take(column.slice(at, end - at).flatten().cast(pa.int32()))
                 texts = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
