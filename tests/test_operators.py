@@ -265,11 +265,11 @@ def test_context_is_cut_and_sampled(spark):
 
 
 def test_vehicle_reports(spark):
-    data = [("V001", 100.0), ("V002", 42.2), ("V003", 95.0), ("V004", 80.0), ("V005", 77.0), ("V006", None)]
+    data = [("car-a", 61.5), ("car-b", 30.0), ("car-c", 58.0), ("car-d", 51.0), ("car-e", 44.5), ("car-f", None)]
     df = spark.createDataFrame(data, "Vehicle_ID string, full double")
-    assert vehicles.best_row(df, "full", "Vehicle_ID").first().Vehicle_ID == "V001"
-    assert [r.Vehicle_ID for r in vehicles.top_rows(df, "full", "Vehicle_ID").collect()] == ["V001", "V003", "V004", "V005", "V002"]
-    assert vehicles.spread(df, "full").first()["median"] == 80.0
+    assert vehicles.best_row(df, "full", "Vehicle_ID").first().Vehicle_ID == "car-a"
+    assert [r.Vehicle_ID for r in vehicles.top_rows(df, "full", "Vehicle_ID").collect()] == ["car-a", "car-c", "car-d", "car-e", "car-b"]
+    assert vehicles.spread(df, "full").first()["median"] == 51.0
 
 
 def test_meter_coverage_and_missing_columns(spark):
@@ -505,3 +505,20 @@ def test_a_limited_lake_table_needs_an_order(spark):
     assert rows(readers.read_lake_table(spark, "nine", limit=2, order=[F.desc("id")])) == [(8,), (7,)]
     with pytest.raises(ValueError):
         readers.read_lake_table(spark, "nine", limit=2)
+
+
+def test_columns_of_many_kinds_become_text_and_others_stay(spark):
+    texts = [("1", "1", "[1]"), ("true", "2", "[2]"), ('"x"', "3", '{"a": 1}'), ("null", "null", '"y"'), ("2.5", "4.5", "1"), (None, None, "[3]")]
+    df = spark.createDataFrame(texts, "mixed string, numbers string, lists string").select(*[F.parse_json(c).alias(c) for c in ("mixed", "numbers", "lists")])
+    assert {r["column"]: (r.kinds, r.structured) for r in clean.kind_report(df).collect()} == {"mixed": (4, 0.0), "numbers": (2, 0.0), "lists": (4, 4 / 6)}
+    cleaned = clean.auto_clean(df)
+    assert dict(cleaned.dtypes) == {"mixed": "string", "numbers": "variant", "lists": "variant"}
+    assert [r.mixed for r in cleaned.collect()] == ["1", "true", "x", None, "2.5", None]
+
+
+def test_evidence_weighs_distinct_values_by_their_rows(spark):
+    values = ["12 kWh"] * 6 + ["7"] * 3 + ["N/A"] * 5 + ["x"]
+    df = spark.createDataFrame([(v, "free text") for v in values], "reading string, note string")
+    found = {r["column"]: r for r in clean.evidence_report(df).collect()}
+    assert (found["reading"].filled, found["reading"].numeric, found["reading"].unit, found["reading"].kinds) == (10, 0.9, 0.6, 2)
+    assert found["note"].filled == len(values) and found["note"].numeric == 0
