@@ -178,7 +178,9 @@ def _buildings(spark, sf):
     rows = table(spark, sf, "customer").select(
         "c_custkey", F.when(broken, F.lit(-1.0)).otherwise(200000.0 + key % 1000 * 300).alias("e"), (100000.0 + key % 777 * 600).alias("n")
     )
-    return rows.select("c_custkey", _building(F.col("e"), F.col("n")).alias("geom"))
+    # A Parquet row group is one task, and geometries are dear to decode: all cores share the keys.
+    shared = rows.repartition(spark.sparkContext.defaultParallelism)
+    return shared.select("c_custkey", _building(F.col("e"), F.col("n")).alias("geom"))
 
 
 @query("geo01_decode")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.functions.geometry import decode, to_geojson, to_wkt
+from emberlake.functions.geometry import decode_all, to_geojson, to_wkt
 
 GEOMETRY = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("wkt", "geojson")]
@@ -23,12 +23,11 @@ UK_WEST, UK_EAST, UK_SOUTH, UK_NORTH = -10.0, 10.0, 49.0, 61.0
 @F.pandas_udf(GEOMETRY)
 def _decoded(column: pd.Series) -> pd.DataFrame:
     rows = []
-    for data in column:
-        found = decode(bytes(data)) if data is not None else None
+    for found in decode_all(bytes(data) if data is not None else None for data in column):
         if found is None:
             rows.append((None, None, None, None, None, None))
             continue
-        points = np.vstack([r for part in found[1] for r in part])
+        points = np.concatenate([r for part in found[1] for r in part])
         low, high = points.min(axis=0), points.max(axis=0)
         rows.append((to_wkt(*found), json.dumps(to_geojson(*found)), low[0], low[1], high[0], high[1]))
     return pd.DataFrame(rows, columns=["wkt", "geojson", "min_x", "min_y", "max_x", "max_y"])

@@ -322,6 +322,30 @@ def test_grid_reference_point():
     assert lat[0] == pytest.approx(52.6580, abs=2e-4) and lon[0] == pytest.approx(1.7160, abs=3e-4)
 
 
+def test_geometries_of_a_batch_are_projected_together(monkeypatch):
+    def headed(x, y, n):
+        ring = np.array([[x + i, y + i * i] for i in range(n)], dtype="<f8")
+        return bytes(40) + struct.pack("<BII", 1, 2, n) + ring.tobytes()
+
+    plain = struct.pack("<BIdd", 1, 1, -3.5, 55.0)
+    rows = [v for i in range(200) for v in (headed(200000.0 + 900 * i, 100000.0 + 700 * i, 2 + i % 5), plain, b"bad", None)]
+    alone = [GM.decode(r) for r in rows]
+    project, sizes = GM.grid_to_wgs84, []
+
+    def counted(east, north):
+        sizes.append(len(east))
+        return project(east, north)
+
+    monkeypatch.setattr(GM, "grid_to_wgs84", counted)
+    monkeypatch.setattr(GM, "POINTS_AT_ONCE", 500, raising=False)
+    got = geo._decoded.func(pd.Series(rows))
+    assert sizes == [500, 300]
+    for found, wkt, low in zip(alone, got["wkt"], got["min_x"]):
+        assert (wkt is None) == (found is None)
+        if found:
+            assert wkt == GM.to_wkt(*found) and low == min(r[:, 0].min() for part in found[1] for r in part)
+
+
 def test_geometry_forms(spark):
     point = struct.pack("<BIdd", 1, 1, -0.1, 51.5)
     big = struct.pack(">BIdd", 0, 1, -0.1, 51.5)
