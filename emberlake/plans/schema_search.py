@@ -89,7 +89,10 @@ def _with_address_words(terms: DataFrame, index: PostingIndex) -> DataFrame:
 
 def collection_index(documents: DataFrame, spec: CollectionSpec, key: str = "_id", path: str | None = None) -> PostingIndex:
     """The posting index of a collection, stored below ``path`` or a new folder of the shared one."""
-    return build_index(document_keys(documents, key, spec), documents.count(), path)
+    # A Parquet row group is one task, and a document has dozens of terms: all cores share the documents.
+    found_by = [c for c in dict.fromkeys([key, *spec.exact_match_fields, "POSTCODE", "ADDRESS"]) if c in documents.columns]
+    shared = documents.select(*found_by).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    return build_index(document_keys(shared, key, spec), documents.count(), path)
 
 
 def find_documents(

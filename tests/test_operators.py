@@ -14,6 +14,7 @@ from emberlake.functions.quantiles import grouped_quantiles
 from emberlake.operators import clean, combine, filters, incremental, learning, limits, nested, patterns, points, profile, questions, vector
 from emberlake.operators import geo, project
 from emberlake.plans import certificates, meters, vehicles
+from emberlake.plans import schema_search as schema_search_module
 from emberlake.plans.schema_search import schema_search
 from emberlake.sources import readers, writers
 from emberlake.spec import CONNECTIONS, TECH_DETAILS, TableSpec, table_spec
@@ -361,6 +362,16 @@ def test_geometry_forms(spark):
     assert [r.wkt for r in got[5:]] == [None, None] and [r.is_valid for r in got] == [True] * 5 + [False] * 2
 
 
+def test_index_build_shares_a_one_file_collection(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(schema_search_module, "build_index", lambda keys, count, path: seen.append((keys, count)))
+    docs = spark.createDataFrame([(i, [f"u{i}"], [f"AB{i} 1CD"], None) for i in range(50)] + [(None, None, None, None)], "_id long, UPRN array<string>, POSTCODE array<string>, other string")
+    schema_search_module.collection_index(docs.coalesce(1), CONNECTIONS)
+    (keys, count), = seen
+    assert count == 51 and keys.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(keys.where("kind = 'UPRN'").collect()) == sorted(("UPRN", f"u{i}", i) for i in range(50))
+
+
 # --- plans -------------------------------------------------------------------------------------------
 
 def test_plans(spark):
