@@ -18,23 +18,30 @@ LOG = f"{QUERY_LOG_SQL} q"
 
 
 FILES = 4
+ROWS_PER_FILE = 250_000
 
 
 def _landed(spark, sf, name: str, by: str, heartbeat: dict | None = None):
-    """A table as ``FILES`` files that came in one after the other, cut at equal steps of ``by``; read as one batch each.
+    """A table as ``FILES`` loads that came in one after the other, cut at equal steps of ``by``; read as one batch each.
 
-    ``heartbeat`` adds a last file with a single row of these values, null elsewhere.
+    A load is one file, a large one several; every load has as many, if need be empty ones, so that a batch never reaches into the
+    next load. ``heartbeat`` adds a last file with a single row of these values, null elsewhere.
     """
     rows, path = table(spark, sf, name), fresh_path(spark, "landed")
     at = F.col(by).cast("timestamp").cast("double") if dict(rows.dtypes)[by].startswith("timestamp") else F.col(by).cast("double")
     low, high = rows.agg(F.min(at), F.max(at)).first()
     step = F.least(F.floor((at - low) / max((high - low) / FILES, 1e-9)), F.lit(FILES - 1))
+    largest = rows.where(step.isNotNull()).groupBy(step.alias("step")).count().agg(F.max("count")).first()[0]
+    files = max(1, -(-largest // ROWS_PER_FILE))
     for k in range(FILES):
-        rows.where(step == k).coalesce(1).write.parquet(f"{path}/load={k}.parquet")
+        load, folder = rows.where(step == k), f"{path}/load={k}.parquet"
+        (load.coalesce(1) if files == 1 else load.repartition(files)).write.parquet(folder)
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles()) if files > 1 else 0):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
     if heartbeat:
         last = rows.agg(*[F.coalesce(v, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c, v in heartbeat.items()])
         last.select(*[F.col(c) if c in heartbeat else F.lit(None).cast(f.dataType).alias(c) for c, f in zip(rows.columns, rows.schema)]).write.parquet(f"{path}/load={FILES}.parquet")
-    return J.table_stream(spark, path, "load=*", rows.schema, files_per_batch=1)
+    return J.table_stream(spark, path, "load=*", rows.schema, files_per_batch=files)
 
 
 def _log_stream(spark, sf, heartbeat: dict | None = None):
@@ -201,6 +208,7 @@ def _(spark, sf):
     source = _landed(spark, sf, "lineitem", "l_orderkey")
     for most in (2, None):
         target = J.build_index(spark, source, f"{path}/points", f"{path}/progress", "lines", id_column="id", prepare=prepare, max_batches=most)
-    entries = F.filter(F.transform("vector", lambda w, i: F.struct(i.alias("slot"), F.round(w.cast("double") * 1000).cast("long").alias("w"))), lambda e: e["w"] != 0)
+    entries = F.transform("vector", lambda w, i: F.when(w != 0, F.struct(i.alias("slot"), F.round(w.cast("double") * 1000).cast("long").alias("w"))))
+    entries = F.filter(entries, lambda e: e["w"] != 0)
     vector = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["slot"], e["w"])), ";")
     return read_published(spark, target).select("id", "text", vector.alias("vector"))

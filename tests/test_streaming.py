@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from emberlake.catalog import streams
 from emberlake.sources.published import create_published, manifest, read_published, upsert_published
 from emberlake.streaming import jobs as J
 
@@ -129,3 +130,18 @@ def test_counters_merge_only_changed_keys(spark, tmp_path):
     versions = [r.folders for r in spark.read.parquet(f"{path}/out/manifest").orderBy("version").collect()]
     changed = [sum(a != b for a, b in zip(old, new)) for old, new in zip(versions, versions[1:])]
     assert len(changed) == 3 and all(1 <= n <= most for n, most in zip(changed, (2, 1, 3)))
+
+
+def test_large_loads_are_several_files_and_one_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 10, raising=False)
+    monkeypatch.setattr(streams, "fresh_path", lambda spark, label: str(tmp_path / label))
+    keys = [k % 10 for k in range(95)] + [12, 39, None]
+    spark.createDataFrame([(k,) for k in keys], "key long").write.parquet(str(tmp_path / "orders.parquet"))
+    stream, got = streams._landed(spark, str(tmp_path), "orders", "key"), {}
+
+    def note(batch, number):
+        got[number] = sorted((r.key for r in batch.collect()), key=str)
+
+    J._run(stream.writeStream.foreachBatch(note), str(tmp_path / "checkpoint"))
+    assert got == {0: sorted(keys[:95]), 1: [12], 2: [], 3: [39, None]}
+    assert [len(list((tmp_path / "landed" / f"load={k}.parquet").glob("*.parquet"))) for k in range(4)] == [10] * 4
