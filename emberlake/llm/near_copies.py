@@ -1,9 +1,11 @@
-"""Near copies among documents: exact Jaccard similarity of word shingles, by prefix lists and verification.
+"""Near copies among documents: SimHash fingerprints, then exact Jaccard similarity of word shingles, and prefix lists for the rest.
 
 Texts link if the sets of their five-word shingles (lower-case, XXH64, seed 42) have a Jaccard similarity of at
-least four fifths. In any one order of the shingles, linked sets share a shingle among the first ``n - ceil(0.8 n) + 1``
+least four fifths. First candidates are the links of ``simhash``: fingerprints over the same shingles, lists by positional bytes, count
+filter, at most ``MAX_BITS`` differing bits. Each is verified on its whole sets. Fingerprints of sets that are just similar enough
+differ in some ten bits, which no byte lists find; for these there is an exact way. In any one order of the shingles, linked sets share a shingle among the first ``n - ceil(0.8 n) + 1``
 of each; the order puts shingles that a sample shows to be frequent last, which changes the effort and no result. Lists of
-shared prefix shingles give candidates: first every member with the least of its list, then, where a list
+shared prefix shingles give further candidates: first every member with the least of its list, then, where a list
 still joins unlinked sets, the pairs across them. Every candidate is verified on its whole sets.
 
 Edge cases: null, empty and word-less texts have the empty set and link to each other; fewer words than a shingle count as
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm import simhash
 from emberlake.llm.common import connected_components, task_count
 from emberlake.session import stage
 
@@ -27,6 +30,8 @@ SEED = 42
 SHINGLE = 5
 #: A link needs ``LEAST[1] * shared >= LEAST[0] * all`` shingles.
 LEAST = (4, 5)
+#: Fingerprints that differ in more bits are left to the prefix lists.
+MAX_BITS = 4
 MAX_LIST = 2_000
 _SAMPLE_ROWS = 10_000
 _FREQUENT = 10
@@ -155,6 +160,18 @@ def _across(members: DataFrame) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(run, "a long, b long").distinct()
 
 
+def _by_fingerprint(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets whose fingerprints are equal or linked; of equal fingerprints each set meets the least."""
+    firsts = texts.join(distinct.select("node", "first_id"), texts.doc_id == F.col("first_id")).select("doc_id", "text", "node")
+    found = simhash.fingerprints(firsts, "node", "text", SHINGLE).withColumnRenamed("doc_id", "node")
+    nodes = stage(found.distinct(), "fingerprints")
+    least = stage(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select("fp"), MAX_BITS)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return equal.unionByName(near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: the least id that each row reaches through links."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -168,7 +185,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sizes = distinct.select(F.col("node").alias("least"), F.col("n").alias("m"))
     stars = members.where("node <> least").select("node", "n", "least").distinct().join(sizes, "least")
     stars = stars.where(F.lit(LEAST[1]) * F.least("n", "m") >= F.lit(LEAST[0]) * F.greatest("n", "m"))
-    links = _verified(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), distinct, texts)
+    stars = stars.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = _verified(_by_fingerprint(texts, distinct).unionByName(stars).distinct(), distinct, texts)
     roots = connected_components(links)
     labelled = members.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("label"))
     links = links.unionByName(_verified(_across(labelled), distinct, texts))

@@ -244,6 +244,30 @@ class TestNearCopies:
         assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+    @pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+    def test_the_stage_links_fingerprints_first(self, spark, monkeypatch):
+        import corpus_pipeline
+
+        draw, links, checked = random.Random(3), simhash.links, []
+        base = [f"w{draw.randint(0, 9000)}" for _ in range(400)]
+        rows = [(1, None), (2, " "), (3, "one two")]
+        for i in range(4, 40):
+            words = list(base) if i % 2 else [f"v{draw.randint(0, 9000)}" for _ in range(50)]
+            words[draw.randrange(50)] = f"x{i}"
+            rows.append((i, " ".join(words)))
+        fps = [simhash.fingerprint_of(t, near_copies.SHINGLE) for _, t in rows]
+        assert any(0 < (x ^ y).bit_count() <= 4 for x in fps for y in fps)
+
+        def spied(distinct, max_bits):
+            checked.append((max_bits, sorted(r.fp % 2**64 for r in distinct.collect())))
+            return links(distinct, max_bits)
+
+        monkeypatch.setattr(simhash, "links", spied)
+        kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), FOLDER)
+        assert {r.doc_id for r in kept.collect()} == {c for _, c in self.brute(rows)}
+        assert checked == [(4, sorted(set(fps)))]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
