@@ -7,6 +7,9 @@ its lines keeps an empty text; the near-duplicate stage then keeps one of the em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,22 @@ from emberlake.llm.common import table
 from emberlake.session import stage
 
 
+#: How many rows go to Python at once, unless the session says otherwise: the default of 10,000 whole texts fills an executor's memory
+#: beside its heap several times over, in each task and on both sides.
+ROWS_AT_ONCE = 1_000
+_ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _in_small_batches(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(step)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_ROWS_AT_ONCE, None) is None:
+            spark.conf.set(_ROWS_AT_ONCE, str(ROWS_AT_ONCE))
+        return step(spark, docs, sf_dir)
+
+    return call
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
@@ -40,11 +59,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("simhash", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("bpe", encode),
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("line_dedup", _in_small_batches(drop_repeated_lines)),
+    ("simhash", _in_small_batches(drop_near_duplicates)),
+    ("decontamination", _in_small_batches(drop_contaminated)),
+    ("bpe", _in_small_batches(encode)),
 ]
 
 #: SQL cannot express the fitted lexicon and the tokenizer; tests hold the stages against brute force.

@@ -89,6 +89,11 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the tables that have filled while coding: a worker stays when its task is done, and others run beside it."""
+        for table in (self.pairs, self.words, self.chunks):
+            table.clear()
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging ``left``'s and ``right``'s symbols in order leaves the border between them."""
         key = left << 32 | right
@@ -231,6 +236,7 @@ def encode(docs: DataFrame, vocab_path: str, text_column: str = "text", output:
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+        codec(vocab_path).forget()
 
     return kept.mapInArrow(run, schema)
 

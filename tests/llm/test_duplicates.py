@@ -275,6 +275,19 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 @pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_sends_few_rows_at_once_to_python(spark):
+    import corpus_pipeline
+
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{FOLDER}/documents.parquet")
+    try:
+        for given, expected in ((None, "1000"), ("77", "77")):
+            spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+            corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+            assert spark.conf.get(key) == expected
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 

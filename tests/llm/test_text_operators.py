@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,16 @@ class TestTokens:
     def test_empty_table(self, spark):
         assert bpe.encode(documents(spark, []), bpe.default_vocabulary()).count() == 0
 
+    def test_a_worker_keeps_no_coded_words(self, spark):
+        path = bpe.default_vocabulary()
+        assert bpe.encode(documents(spark, [(i, f"word{i} other words") for i in range(40)]).repartition(8), path).count() == 40
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(bpe.codec(path).words) + len(bpe.codec(path).chunks)] * batch.num_rows)], names=["n"])
+
+        assert {r.n for r in spark.range(0, 16, 1, 8).mapInArrow(run, "n long").collect()} == {0}
+
 
 class TestToxicity:
     def test_fold(self):
