@@ -4,9 +4,9 @@ A line is the set of its words. A line is removed if an earlier one (by document
 similarity of ``percent`` hundredths or more with it; both count as they stand in the input. Lines with equal sets are
 first reduced to the earliest. Of each set the words are put in order of rarity and the first ``n - ceil(t n) + 1`` are
 its prefix: similar sets share a word there. Pairs that meet in a prefix pass the length filter, the positional filter
-(what may still overlap after the two places must reach the needed overlap), a filter by 64-bit maps of the words (each
-bit in which two maps differ is a word that the sets do not share) and one by the number of words that their prefixes share, and
-are verified on their words.
+(what may still overlap after the two places must reach the needed overlap), a filter by 256-bit maps of the words (each
+bit in which two maps differ is a word that the sets do not share; 64 bits are full from some hundred words on) and one by the number of
+words that their prefixes share, and are verified on their words.
 
 Rarity comes from a table of ``BUCKETS`` word counts over all lines; its size does not grow with the data. Any order
 that is the same for all lines gives the exact join; rarity only keeps the posting lists short. Inside a line a word is known by the
@@ -32,8 +32,12 @@ from emberlake.session import stage
 
 PERCENT = 80
 BUCKETS = 1 << 16
+#: Rows of the table that tells which lines' texts are to be fetched.
+SLOTS = 1 << 18
 #: How many words of a prefix the first, cheap round looks at.
 _RAREST = 2
+#: The columns of a set's map of words, 64 bits each.
+_MAP = ("bits", "bits1", "bits2", "bits3")
 #: What separates words besides the space.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -73,56 +77,78 @@ def _sets(lines: DataFrame, percent: int) -> DataFrame:
     empty = F.xxhash64(F.lit(""))
     rows = lines.select("doc_id", "place", F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), empty).alias("hashes"))
     key = lambda h: F.shiftleft(F.get(magnitudes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = rows.select("doc_id", "place", F.size("hashes").alias("n"), bits.alias("bits"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda i: F.aggregate("hashes", none, lambda bits, h: bits.bitwiseOR(F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(len(_MAP) - 1)) == i, bit(h)).otherwise(none)))
+    rows = rows.select("doc_id", "place", F.size("hashes").alias("n"), *[part(i).alias(name) for i, name in enumerate(_MAP)], F.sort_array(F.transform("hashes", key)).alias("keys"))
     prefix = F.transform(F.slice("keys", 1, F.col("n") - _needed(F.col("n"), percent) + 1), lambda k: F.shiftrightunsigned(F.shiftleft(k, 32), 32) - 2**31)
-    rows = rows.select("doc_id", "place", "n", "bits", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.cast("array<int>").alias("prefix"))
+    rows = rows.select("doc_id", "place", "n", *_MAP, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.cast("array<int>").alias("prefix"))
     equal = Window.partitionBy("h1", "h2").orderBy("doc_id", "place")
     rows = rows.withColumns({"first_doc": F.first("doc_id").over(equal), "first_place": F.first("place").over(equal), "nth": F.row_number().over(equal)})
-    return rows.select("doc_id", "place", "n", "bits", "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
+    return rows.select("doc_id", "place", "n", *_MAP, "first_doc", "first_place", F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
 
 
-def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Per line of ``pairs (doc_id, place, other_doc, other_place)`` the earliest other that is similar enough by its words.
+def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines that ``ids (doc_id, place)`` name and few others: a table of at most ``SLOTS`` words of 64 bits lets them through.
 
-    ``placed`` holds the lines dealt out by document and place; all joins read that one exchange.
+    So the text of lines that have no partner is not shuffled. A full table lets every line through, and joins on the ids follow.
     """
+    hashed = F.xxhash64("doc_id", "place")
+    slot, bit = hashed.bitwiseAND(F.lit(SLOTS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    marks = ids.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("marks"))
+    # The hint is on a table of at most SLOTS rows of two numbers.
+    return lines.withColumn("slot", slot).join(F.broadcast(marks), "slot").where(F.col("marks").bitwiseAND(bit) != 0).select("doc_id", "place", "line")
+
+
+def _placed(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines of ``pairs (doc_id, place, other_doc, other_place)``, dealt out by document and place; the joins of a job read one exchange."""
+    ids = pairs.select("doc_id", "place").unionByName(pairs.select(F.col("other_doc").alias("doc_id"), F.col("other_place").alias("place")))
+    return _wanted(lines, ids).repartition("doc_id", "place")
+
+
+def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Per line of ``pairs (doc_id, place, other_doc, other_place)`` the earliest other that is similar enough by its words in ``placed``."""
     theirs = placed.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("line").alias("other_line"))
     both = pairs.join(theirs, ["other_doc", "other_place"]).join(placed, ["doc_id", "place"])
-    words = lambda line: F.array_remove(F.array_distinct(_words(line)), "")
-    both = both.select("doc_id", "place", "other_doc", "other_place", words("line").alias("a"), words("other_line").alias("b"))
-    both = both.withColumn("overlap", F.size(F.array_intersect("a", "b")))
-    similar = both.where(100 * F.col("overlap") >= percent * (F.size("a") + F.size("b") - F.col("overlap")))
+    # In a plain condition each mention of an array would split its line again; the fields of a lambda's argument are made once.
+    # Intersection and union have each word once; what a double space leaves between the words is no word.
+    each = F.array(F.struct(_words("line").alias("a"), _words("other_line").alias("b")))
+    count = lambda words: F.size(F.array_remove(words, ""))
+    similar = both.where(F.exists(each, lambda x: 100 * count(F.array_intersect(x["a"], x["b"])) >= percent * count(F.array_union(x["a"], x["b"]))))
     return similar.groupBy("doc_id", "place").agg(F.min(F.struct("other_doc", "other_place")).alias("o"))
 
 
 def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, place, other_doc, other_place)`` of every line to remove, with an earlier line like it."""
+    """``(doc_id, place, other_doc, other_place)`` of every line to remove, with an earlier line like it.
+
+    Every step is staged, so that no two of their exchanges lie on disk together.
+    """
     lines = lines_of(docs, id_column, text_column)
     sets = stage(_sets(lines, percent), "line-sets")
-    placed = lines.repartition("doc_id", "place")
     equal = sets.where("doc_id <> first_doc or place <> first_place").select("doc_id", "place", F.col("first_doc").alias("other_doc"), F.col("first_place").alias("other_place"))
     # None of the columns is null; said here, so that no join adds such a test to one side only and keeps it from sharing an exchange.
-    known = " and ".join(f"{c} is not null" for c in ("prefix", "doc_id", "place", "n", "bits"))
-    firsts = sets.where(known).select("doc_id", "place", "n", "bits", "prefix")
+    known = " and ".join(f"{c} is not null" for c in ("prefix", "doc_id", "place", "n", *_MAP))
+    firsts = sets.where(known).select("doc_id", "place", "n", *_MAP, "prefix")
 
     # By their rarest words sets of about one size (bands a quarter apart) meet the earliest one.
-    rarest = firsts.select("doc_id", "place", "n", "bits", F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
+    rarest = firsts.select("doc_id", "place", "n", *_MAP, F.posexplode(F.slice("prefix", 1, _RAREST)).alias("at", "word"))
     rarest = rarest.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     lists = Window.partitionBy("word", "band").orderBy("doc_id", "place")
-    earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"), ("other_bits", "bits"))}
-    near = _verified(_filtered(rarest.withColumns(earliest), percent), placed, percent)
+    earliest = {name: F.first(column).over(lists) for name, column in (("other_doc", "doc_id"), ("other_place", "place"), ("m", "n"), ("other_at", "at"), *((f"other_{b}", b) for b in _MAP))}
+    first_pairs = stage(_filtered(rarest.withColumns(earliest), percent), "line-pairs")
+    near = stage(_verified(first_pairs, _placed(lines, first_pairs), percent), "line-near")
 
     # Those not removed so far ask all earlier sets of their lists; both sides read one exchange. A set that asks no more has its
     # size negative.
     listed = firsts.join(near.select("doc_id", "place", F.lit(-1).alias("sign")), ["doc_id", "place"], "left")
-    listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    others = listed.select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "place", "n", "at", "bits")])
+    listed = listed.select("doc_id", "place", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *_MAP, F.posexplode("prefix").alias("at", "word")).repartition("word")
+    others = listed.select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "place", "n", "at", *_MAP)])
     others = others.withColumnsRenamed({"other_doc_id": "other_doc", "other_n": "m"})
     # The sign is tested on joined rows: before the join the test would give the sides plans of their own, and so two exchanges.
     met = listed.join(others, "word").where(F.col("n") * F.abs("m") > 0).withColumn("m", F.abs("m"))
-    pairs = _counted(met, percent)
+    pairs = stage(_counted(met, percent), "line-pairs")
     # Of many earlier lines like it a line first meets the one with which it shares most; the others only if that is none.
+    placed = _placed(lines, pairs)
     closest = pairs.groupBy("doc_id", "place").agg(F.min(F.struct(-F.col("shared"), "other_doc", "other_place")).alias("c")).select("doc_id", "place", "c.other_doc", "c.other_place")
     soon = _verified(closest, placed, percent)
     late = _verified(pairs.drop("shared").join(soon.select("doc_id", "place"), ["doc_id", "place"], "left_anti"), placed, percent)
@@ -136,8 +162,8 @@ def _possible(percent: int) -> tuple[Column, Column]:
     lengths = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # Overlap o gives a similarity of o / (n + m - o).
     needed = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    maps = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= F.col("n") + F.col("m") - 2 * needed
-    return earlier & lengths & maps, needed
+    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in _MAP[1:]), F.bit_count(F.col(_MAP[0]).bitwiseXOR(F.col(f"other_{_MAP[0]}"))))
+    return earlier & lengths & (differing <= F.col("n") + F.col("m") - 2 * needed), needed
 
 
 def _filtered(met: DataFrame, percent: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, str] = {}
 #: By application: the paths that ``fresh_path`` has given out.
 _GIVEN: dict[str, list[str]] = {}
+#: Whether shuffle files go when the job that made them is done, instead of when the driver collects its garbage.
+_GIVE_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "emberlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,8 +73,14 @@ def remove_staged(spark: SparkSession) -> int:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a result that several later steps read to the shared folder, and read it back.
 
-    Unlike a cache it survives the loss of executors, and later plans start from a plain scan.
+    Unlike a cache it survives the loss of executors, and later plans start from a plain scan. What the write has shuffled is
+    given up once it is done, as nothing can read it again.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(_GIVE_UP, None)
+    spark.conf.set(_GIVE_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_GIVE_UP) if before is None else spark.conf.set(_GIVE_UP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from importlib.util import find_spec
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlake.llm import line_dedup, near_copies, simhash, suffix_dedup
 from emberlake.llm.common import connected_components
@@ -131,6 +132,18 @@ class TestLines:
             a, b = sets[r.doc_id, r.place], sets[r.other_doc, r.other_place]
             assert (r.other_doc, r.other_place) < (r.doc_id, r.place) and 10 * len(a & b) >= 8 * len(a | b)
 
+    def test_only_lines_with_a_partner_are_fetched(self, spark):
+        lines = line_dedup.lines_of(documents(spark, [(i, "a b\nc d\n\ne f") for i in range(500)]))
+        ids = spark.createDataFrame([(7, 0), (7, 3), (499, 1)], "doc_id long, place int")
+        found = {(r.doc_id, r.place): r.line for r in line_dedup._wanted(lines, ids).collect()}
+        assert found[7, 0] == "a b" and found[7, 3] == "e f" and found[499, 1] == "c d" and len(found) < 10
+
+    def test_maps_tell_long_lines_apart(self, spark):
+        texts = [" ".join([f"c{k}" for k in range(70)] + [f"o{i}x{k}" for k in range(70)]) for i in range(12)]
+        sets = line_dedup._sets(line_dedup.lines_of(documents(spark, list(enumerate(texts)))), 80)
+        other = sets.select(*[F.col(c).alias(f"other_{c}") for c in ("doc_id", "place", "n", *line_dedup._MAP)]).withColumnsRenamed({"other_doc_id": "other_doc", "other_n": "m"})
+        assert sets.crossJoin(other).where(line_dedup._possible(80)[0]).count() == 0
+
     def test_texts(self, spark):
         rows = [(1, "one two three\nfour five"), (2, "x\none two three\ny z"), (3, "one two three"), (4, None), (5, ""), (None, "one two three")]
         docs = documents(spark, rows)
