@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm.common import WORD_GAP
-from emberlake.session import stage
+from emberlake.session import scratch, stage
 
 PERCENT = 80
 BUCKETS = 1 << 16
@@ -190,7 +190,8 @@ def _counted(met: DataFrame, percent: int) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the lines that ``matches`` names; a document that loses all its lines keeps an empty text."""
-    gone = matches(docs, id_column, text_column, percent).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("place").alias("__gone"))
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(matches(docs, id_column, text_column, percent).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("place").alias("__gone")), "gone-lines")
     joined = docs.join(gone, docs[id_column] == F.col("__gone_id"), "left").withColumn("__lines", F.split(text_column, "\n"))
     joined = joined.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     text = F.array_join(F.transform("__kept", lambda p: F.get("__lines", p)), "\n")

@@ -1,6 +1,7 @@
 """Tests of the operators that compare documents: repeated strings, lines, near duplicates; and the pipeline."""
 
 import hashlib
+import os
 import random
 from importlib.util import find_spec
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberlake import session
 from emberlake.llm import line_dedup, near_copies, simhash, suffix_dedup
 from emberlake.llm.common import connected_components
 from emberlake.llm.queries import QUERIES, SQL
@@ -281,6 +283,62 @@ class TestNearCopies:
         assert checked == [(4, sorted(set(fps)))]
 
 
+    def test_whole_sets_are_fetched_for_links_only_and_steps_are_removed(self, spark, monkeypatch):
+        draw, staged = random.Random(9), []
+        rows = []
+        for i in range(80):  # all meet in lists of one passage
+            words = [f"w{draw.randint(0, 10**6)}" for _ in range(150)]
+            rows.append((i, " ".join([*words, *"a passage that many of them have".split()])))
+        rows.append((80, rows[3][1].replace(rows[3][1].split()[70], "other")))
+        kept = session.stage
+        monkeypatch.setattr(session, "_GIVEN", {})
+
+        def spied(df, label):
+            result = kept(df, label)
+            staged.append((label, result.count() if label == "sets" else 0))
+            return result
+
+        monkeypatch.setattr(near_copies, "stage", spied)
+        monkeypatch.setattr(near_copies, "_FREQUENT", 10**6)
+        found = self.found(documents(spark, rows))
+        assert found == {(i, 3 if i == 80 else i) for i, _ in rows} == self.brute(rows)
+        assert sum(n for _, n in staged) <= 4
+        left = [path for paths in session._GIVEN.values() for path in paths]
+        assert [os.path.basename(path).rpartition("-")[0] for path in left] == ["near-copies"]
+        assert all(os.path.exists(path.removeprefix("file://")) for path in left)
+
+    def test_filters_leave_out_no_link(self):
+        draw = np.random.default_rng(4)
+        for n in (1, 2, 7, 90, 1024, 1025, 3000):
+            pool = np.unique(draw.integers(0, 2**64, 2 * n + 8, dtype=np.uint64))
+            for gone, more in ((0, 1), (n // 20, n // 20), (n // 9, n // 9), (n // 6, 0), (0, n // 4), (n // 2, n // 2)):
+                x, y = np.sort(pool[:n]), np.sort(np.r_[pool[gone:n], pool[n : n + more]])
+                differing = len(np.setxor1d(x, y))
+                maps = [np.frombuffer(near_copies._map(v), dtype=np.uint64) for v in (x, y)]
+                for size in (min(map(len, maps)), near_copies.BRIEF // 64):
+                    assert int(np.bitwise_count(np.bitwise_xor(*(near_copies._folded(m, size) for m in maps))).sum()) <= differing
+                shared = np.intersect1d(x, y)
+                if len(shared) * 5 >= 4 * (len(x) + len(y) - len(shared)):
+                    assert differing <= len(x) + len(y) - 2 * near_copies._needed(len(x), len(y))
+                    assert near_copies._may_link(len(x), np.searchsorted(x, shared[0]), len(y), np.searchsorted(y, shared[0]))
+
+
+def test_scratch_keeps_what_it_is_told_to(spark, monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", {})
+    before = session.stage(spark.range(3), "before")
+    with session.scratch(spark) as result:
+        with session.scratch(spark) as keep:
+            session.stage(spark.range(5), "inside")
+            inner = keep(spark.range(7), "kept")
+        session.stage(spark.range(9), "inside")
+        assert inner.count() == 7
+        outer = result(inner.where("id > 4"), "kept")
+    assert (before.count(), outer.count()) == (3, 2)
+    (paths,) = session._GIVEN.values()
+    assert [os.path.basename(path).rpartition("-")[0] for path in paths] == ["before", "kept"]
+    assert session.remove_staged(spark) == 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
